@@ -14,11 +14,16 @@ from pyspark.sql import functions as F
 from .scalar import col
 
 
-def quantile_bounds(df: DataFrame, c: str, n: int) -> Column:
-    """Up to n sorted distinct cut points of a column, as a one-row scalar subquery."""
+def _cuts(c: str, n: int) -> Column:
+    """Up to n sorted distinct cut points of a column (aggregate expression)."""
     shares = F.array(*[F.lit((i + 1) / (n + 1)) for i in range(n)])
     q = F.array_sort(F.array_distinct(F.percentile_approx(F.col(c).cast("double"), shares, 10_000)))
-    return df.agg(F.coalesce(q, F.array().cast("array<double>")).alias("b")).scalar()
+    return F.coalesce(q, F.array().cast("array<double>"))
+
+
+def quantile_bounds(df: DataFrame, c: str, n: int) -> Column:
+    """Cut points of a column as a one-row scalar subquery."""
+    return df.agg(_cuts(c, n).alias("b")).scalar()
 
 
 def slice_of(c: str, bounds: str) -> Column:
@@ -39,24 +44,31 @@ def _with_offsets(df: DataFrame, group: Sequence[str], slices: Sequence[str], ou
     return df.join(offsets, keys, "left")
 
 
-def sliced_row_number(df: DataFrame, group: Sequence[str], value: str, ident: str, out: str, descending: bool = True, n: int = 32) -> DataFrame:
-    """row_number() over (partition by group order by value [desc], ident) without one task per group.
+def sliced_row_number(
+    df: DataFrame, group: Sequence[str], value: str, ident: str, out: str, measure: str, descending: bool = True, n: int = 32
+) -> DataFrame:
+    """row_number() over (partition by group, measure order by value [desc], ident), nulls last, without one task per group.
 
-    Rows are cut by value range; a value that fills a slice alone is cut again by `ident`
-    range, which is the tie-break, so the numbering is exact. Null values come last.
+    `measure` names a column with a handful of values; each has cut points of its own. Rows are
+    cut by value range, and a value that fills a slice alone is cut again by `ident` range, which
+    is the tie-break, so the numbering is exact.
     """
+    cuts = df.groupBy(measure).agg(F.struct(_cuts(value, n).alias("v"), _cuts(ident, n).alias("i")).alias("c"))
+    by_measure = cuts.agg(F.map_from_entries(F.collect_list(F.struct(measure, "c")))).scalar()
     alone = F.col("__s") % 2 == 1
     d = (
-        df.withColumns({"__vb": quantile_bounds(df, value, n), "__ib": quantile_bounds(df, ident, n)})
+        df.withColumn("__m", by_measure)
+        .withColumn("__c", F.col("__m")[F.col(measure)])
         .withColumn("__null", F.col(value).isNull().cast("int"))
-        .withColumn("__s", F.when(F.col("__null") == 1, 1).otherwise(slice_of(value, "__vb")))
-        .withColumn("__i", F.when(alone, slice_of(ident, "__ib")).otherwise(F.lit(0)))
-        .drop("__vb", "__ib")
+        .withColumn("__s", F.when(F.col("__null") == 1, 1).otherwise(slice_of(value, "__c.v")))
+        .withColumn("__i", F.when(alone, slice_of(ident, "__c.i")).otherwise(F.lit(0)))
+        .drop("__m", "__c")
     )
     keys = ["__null", "__s", "__i"]
-    d = _with_offsets(d, group, keys, "__off", [False, descending, False])
+    full = [*group, measure]
+    d = _with_offsets(d, full, keys, "__off", [False, descending, False])
     order = [F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last(), F.col(ident).asc()]
-    w = Window.partitionBy(*group, *keys).orderBy(*order)
+    w = Window.partitionBy(*full, *keys).orderBy(*order)
     return d.withColumn(out, (F.col("__off") + F.row_number().over(w)).cast("bigint")).drop(*keys, "__off")
 
 
