@@ -15,7 +15,7 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 DIGITS: dict[str, int] = {}
 
-AREAS = ["sales", "marketing", "attribution", "inventory", "performance", "snapshot"]
+AREAS = ["sales", "marketing", "attribution", "inventory", "performance", "snapshot", "features"]
 AREAS_ALL = [
     "sales", "marketing", "inventory", "performance", "attribution", "snapshot",
     "features", "quality", "validation", "kpi", "replay", "feeds",
