@@ -311,18 +311,17 @@ def trend_rows(t: Tables) -> DataFrame:
 
 
 def campaigns(t: Tables) -> DataFrame:
-    """Campaign calendar derived from the product table."""
-    p = F.col("product_id")
-    return t.products.filter(p % 3 == 0).select(
+    """Campaign calendar derived from the product table: tops and accessories, starting after their lead time."""
+    return t.products.filter(F.col("category").isin("apparel_tops", "accessories")).select(
         "product_id",
-        F.date_add(F.lit(EVENT_AS_OF).cast("date"), (p % 30).cast("int")).alias("start_date"),
+        F.date_add(F.lit(EVENT_AS_OF).cast("date"), F.col("lead_time_days").cast("int")).alias("start_date"),
         F.lit(7).alias("duration_days"),
-        (F.lit(0.1) * (1 + p % 4)).alias("lift"),
-        (F.lit(5.0) * (1 + p % 4)).alias("expected_units"),
+        (F.lit(0.01) * F.col("lead_time_days")).alias("lift"),
+        (F.lit(5.0) * F.col("lead_time_days")).alias("expected_units"),
     )
 
 
-define("campaigns", f"SELECT product_id, CAST({EV} + CAST(product_id % 30 AS INTEGER) AS DATE) AS start_date, CAST(0.1 AS DOUBLE) * (1 + product_id % 4) AS lift, CAST(5 AS DOUBLE) * (1 + product_id % 4) AS expected_units FROM products WHERE product_id % 3 = 0")
+define("campaigns", f"SELECT product_id, CAST({EV} + CAST(lead_time_days AS INTEGER) AS DATE) AS start_date, CAST(0.01 AS DOUBLE) * lead_time_days AS lift, CAST(5 AS DOUBLE) * lead_time_days AS expected_units FROM products WHERE category IN ('apparel_tops', 'accessories')")
 
 
 @query(
@@ -351,15 +350,15 @@ GLOBAL_RULES = {"lead_time_days": 42, "service_target": 0.95, "season_factor": 1
     CAST(coalesce(c.cap, 90) AS DOUBLE) AS max_stock_days, CAST(coalesce(o.moq, 1) AS DOUBLE) AS min_order_quantity, CAST(coalesce(o.multiple, 1) AS DOUBLE) AS order_multiple,
     CAST(ceil(greatest(quantity, coalesce(o.moq, 1)) / coalesce(o.multiple, 1)) * coalesce(o.multiple, 1) AS DOUBLE) AS order_quantity
     FROM (SELECT *, 1 + product_id % 200 AS quantity FROM products) p
-    LEFT JOIN (SELECT product_id, 14 AS lead, 100 AS moq, 12 AS multiple FROM products WHERE product_id % 7 = 0 AND product_id % 14 = 0) o ON o.product_id = p.product_id
+    LEFT JOIN (SELECT product_id, 14 AS lead, 100 AS moq, 12 AS multiple FROM products WHERE status = 'draft' AND inventory_quantity > 25) o ON o.product_id = p.product_id
     LEFT JOIN (SELECT * FROM (VALUES ('apparel_tops', 28, 0.98, 1.3, 60), ('accessories', NULL, 0.85, NULL, 120)) v(category, lead, target, season, cap)) c ON c.category = p.category""",
 )
 def layered(t: Tables) -> DataFrame:
     p = F.col("product_id")
     none_d, none_l = F.lit(None).cast("double"), F.lit(None).cast("int")
-    # every seventh product has an override; the odd ones ended before the reference date
-    own = t.products.filter(p % 7 == 0).select(
-        "product_id", F.lit("1995-01-01").cast("date").alias("active_from"), F.when(p % 14 == 0, F.lit("2099-01-01")).otherwise("1999-01-01").cast("date").alias("active_to"),
+    # draft products have an override; for small stocks it ended before the reference date
+    own = t.products.filter(F.col("status") == "draft").select(
+        "product_id", F.lit("1995-01-01").cast("date").alias("active_from"), F.when(F.col("inventory_quantity") > 25, F.lit("2099-01-01")).otherwise("1999-01-01").cast("date").alias("active_to"),
         F.lit(14).alias("lead_time_days"), none_d.alias("service_target"), none_d.alias("season_factor"), none_l.alias("max_stock_days"), F.lit(100).alias("min_order_quantity"), F.lit(12).alias("order_multiple"),
     )
     cats = t.products.select("category").distinct().filter(F.col("category").isin("apparel_tops", "accessories"))

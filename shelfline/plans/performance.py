@@ -365,11 +365,12 @@ def kpis(t: Tables) -> DataFrame:
 
 @query(
     "J13_missing_dates",
-    f"SELECT DISTINCT date FROM conversions WHERE date >= {EV} - 3 AND date NOT IN (SELECT DISTINCT date FROM performance WHERE extract(day FROM date) % 2 = 0)",
+    f"SELECT DISTINCT date FROM conversions WHERE date >= {EV} - 3 AND date NOT IN (SELECT DISTINCT date FROM performance WHERE date < {EV} - 2)",
 )
 def missing(t: Tables) -> DataFrame:
-    # even days of the month stand for the dates already built
-    return op.missing_dates(t.conversions, t.performance.filter(F.dayofmonth("date") % 2 == 0), EVENT_AS_OF)
+    # the build is taken to have stopped two days before the reference date
+    built = t.performance.filter(F.col("date") < F.date_sub(F.lit(EVENT_AS_OF).cast("date"), 2))
+    return op.missing_dates(t.conversions, built, EVENT_AS_OF)
 
 
 WEEK = [(dt.date(2024, 1, 30) - dt.timedelta(days=i)).isoformat() for i in range(6, -1, -1)]

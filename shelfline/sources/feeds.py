@@ -126,9 +126,13 @@ def mail_csv(raw: DataFrame) -> DataFrame:
     return raw.withColumns({"date": F.to_date("date"), **_numbers(raw, MAIL_NUMBERS), "products": items, "bad_products": items.isNull() & F.col("featured_products").isNotNull()})
 
 
-def upsert(old: DataFrame, new: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """Last row per business key over old and new rows, as one foldable aggregate (no window)."""
-    both = old.unionByName(new)
-    rest = [c for c in both.columns if c not in key and c not in order]
+def last_per_key(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """Last row per business key, ties decided by the other columns; one foldable aggregate, no window."""
+    rest = [c for c in df.columns if c not in key and c not in order]
     last = F.max(F.struct(*order, *rest)).alias("x")
-    return both.groupBy(*key).agg(last).select(*key, "x.*").select(*both.columns)
+    return df.groupBy(*key).agg(last).select(*key, "x.*").select(*df.columns)
+
+
+def upsert(old: DataFrame, new: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """Stored rows with the new batch merged in: the last row per business key wins."""
+    return last_per_key(old.unionByName(new), key, order)
