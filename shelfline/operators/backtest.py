@@ -1,0 +1,241 @@
+"""Policy back-test: replay reorder policies over real daily demand, all products and policies at once.
+
+A product's history is one bounded array (at most `days` numbers), a policy is a few integers, and
+a replay is a fold over the array inside a projection. Nothing is shared between rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.scalar import cases, ratio, whole
+from .features import newest
+from .forecast import HOLDING_RATE, ORDER_COST, STOCKOUT_PENALTY, Z_95, actual
+
+# Service target, penalty per missing share, history limits, default guess.
+SERVICE_TARGET, SERVICE_PENALTY = 0.95, 10000.0
+HISTORY_DAYS, MAX_HISTORY = 90, 180
+GUESS = {"lead_factor": 1.5, "safety_days": 7, "order_days": 30}
+METRICS = ("total_cost", "service_level", "stockout_events", "total_orders", "cost_per_unit_demand")
+
+Policy = Callable[[], tuple[Column, Column, Column]]
+
+
+def history(demand: DataFrame, products: DataFrame, days: int = HISTORY_DAYS) -> DataFrame:
+    """Newest `days` demands per product as one array, oldest first, with the product's figures."""
+    rows = newest(actual(demand), min(days, MAX_HISTORY), ["date"])
+    h = rows.groupBy("product_id").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("date", "quantity_demanded"))), lambda x: x["quantity_demanded"]).alias("demands"),
+        F.avg("quantity_demanded").alias("mean_demand"),
+        F.stddev_pop("quantity_demanded").alias("std_demand"),
+        F.max("quantity_demanded").alias("max_demand"),
+        F.count(F.lit(1)).alias("n_days"),
+    )
+    return h.join(products.select("product_id", "unit_cost", "selling_price", "lead_time_days", "min_order_quantity", "max_order_quantity"), "product_id")
+
+
+def clamp_order(c: Column) -> Column:
+    return F.least(F.greatest(c, F.col("min_order_quantity")), F.col("max_order_quantity"))
+
+
+def replay(d: DataFrame, point: str = "reorder_point", safety: str = "safety_stock", order: str = "order_quantity") -> DataFrame:
+    """Run the policy in the given columns over each row's demand array."""
+    rp, oq = F.col(point), F.col(order)
+
+    def step(s: Column, q: Column) -> Column:
+        buy = s["stock"] <= rp
+        have = s["stock"] + F.when(buy, oq).otherwise(F.lit(0).cast("bigint"))
+        sold = F.least(q, have)
+        left = have - sold
+        return F.struct(
+            left.alias("stock"),
+            (s["held"] + left).alias("held"),
+            (s["short"] + (q - sold)).alias("short"),
+            (s["events"] + F.when(q > sold, 1).otherwise(0)).cast("bigint").alias("events"),
+            (s["orders"] + F.when(buy, 1).otherwise(0)).cast("bigint").alias("orders"),
+            (s["sold"] + sold).alias("sold"),
+        )
+
+    zero = F.lit(0).cast("bigint")
+    start = F.struct((F.col(safety) + oq).alias("stock"), *[zero.alias(n) for n in ("held", "short", "events", "orders", "sold")])
+    d = d.withColumn("r", F.aggregate("demands", start, step))
+    n = F.size("demands")
+    holding = F.col("r.held") * F.col("unit_cost") * (HOLDING_RATE / 365)
+    stockout, ordering = F.col("r.short") * STOCKOUT_PENALTY, F.col("r.orders") * ORDER_COST
+    d = d.withColumns(
+        {
+            "holding_cost": holding,
+            "stockout_cost": stockout,
+            "order_cost": ordering,
+            "total_cost": holding + stockout + ordering,
+            "service_level": F.when(n > 0, 1 - F.col("r.events") / n).otherwise(1.0),
+            "stockout_events": F.col("r.events"),
+            "total_orders": F.col("r.orders"),
+            "avg_inventory": F.when(n > 0, F.col("r.held") / n).otherwise(0.0),
+            "units_sold": F.col("r.sold"),
+        }
+    )
+    return d.withColumn("objective", F.col("total_cost") + F.when(F.col("service_level") < SERVICE_TARGET, SERVICE_PENALTY * (SERVICE_TARGET - F.col("service_level"))).otherwise(0.0)).drop("r")
+
+
+def with_policy(h: DataFrame, lead_factor: float, safety_days: float, order_days: float) -> DataFrame:
+    """Policy from three settings: lead-time cover, safety days, order days."""
+    m = F.col("mean_demand")
+    return h.withColumns(
+        {
+            "reorder_point": whole(m * F.col("lead_time_days") * float(lead_factor)),
+            "safety_stock": whole(m * float(safety_days)),
+            "order_quantity": clamp_order(whole(m * float(order_days))),
+        }
+    )
+
+
+def backtest(demand: DataFrame, products: DataFrame, days: int = HISTORY_DAYS) -> DataFrame:
+    """The default guess of every product, replayed."""
+    return replay(with_policy(history(demand, products, days), **GUESS))
+
+
+def _levels(low: Column, high: Column, n: int) -> Column:
+    """n evenly spaced whole numbers from low to high (high not below low)."""
+    top = F.greatest(low, high)
+    return F.array_distinct(F.array(*[low + F.floor((top - low) * i / (n - 1)).cast("bigint") for i in range(n)]))
+
+
+def best_policy(demand: DataFrame, products: DataFrame, levels: int = 3, min_days: int = 30, days: int = MAX_HISTORY) -> DataFrame:
+    """Cheapest policy per product over a bounded grid inside the published parameter bounds.
+
+    Grid points are exploded next to the product's array, folded and reduced by a partial
+    aggregate in the same task, so only one row per product is shuffled.
+    """
+    h = history(demand, products, days).filter(F.col("n_days") >= min_days)
+    m, lead = F.col("mean_demand"), F.col("lead_time_days")
+    grid = {
+        "reorder_point": _levels(whole(m * lead * 0.5), (F.col("max_demand") * lead * 2).cast("bigint"), levels),
+        "safety_stock": _levels(F.lit(0).cast("bigint"), whole(m * 30), levels),
+        "order_quantity": _levels(F.col("min_order_quantity"), F.least(F.col("max_order_quantity"), whole(m * 60)), levels),
+    }
+    for name, options in grid.items():
+        h = h.withColumn(name, F.explode(options))
+    best = F.min(F.struct("objective", "reorder_point", "safety_stock", "order_quantity", "total_cost", "service_level")).alias("b")
+    return replay(h).groupBy("product_id").agg(best, F.count(F.lit(1)).alias("candidates")).select("product_id", "candidates", "b.*")
+
+
+def what_if(demand: DataFrame, products: DataFrame, current: dict[str, float], new: dict[str, float], days: int = HISTORY_DAYS) -> DataFrame:
+    """Differences per product when the new settings replace the current ones; the history is read once."""
+    cols = ("avg_inventory", "service_level", "stockout_events", "holding_cost", "units_sold")
+    h = history(demand, products, days)
+    a = replay(with_policy(h, **current)).withColumns({f"a_{c}": F.col(c) for c in cols})
+    keep = [*h.columns, *[f"a_{c}" for c in cols]]
+    b = replay(with_policy(a.select(*keep), **new))
+    return b.select(
+        "product_id",
+        (F.col("avg_inventory") - F.col("a_avg_inventory")).alias("inventory_change"),
+        (F.col("service_level") - F.col("a_service_level")).alias("service_level_change"),
+        (F.col("stockout_events") - F.col("a_stockout_events")).alias("stockout_events_change"),
+        (F.col("holding_cost") - F.col("a_holding_cost")).alias("holding_cost_change"),
+        ((F.col("units_sold") - F.col("a_units_sold")) * F.col("selling_price")).alias("revenue_change"),
+    )
+
+
+def _pace() -> Column:
+    return F.col("mean_demand")
+
+
+def reorder_point_policy() -> tuple[Column, Column, Column]:
+    return whole(_pace() * F.col("lead_time_days") * 1.5), whole(_pace() * 7), clamp_order(whole(_pace() * 30))
+
+
+def economic_policy() -> tuple[Column, Column, Column]:
+    eoq = F.sqrt(2 * _pace() * 365 * ORDER_COST / (F.col("unit_cost") * HOLDING_RATE))
+    return whole(_pace() * F.col("lead_time_days") * 1.2), whole(_pace() * 7), whole(clamp_order(eoq))
+
+
+def statistical_policy() -> tuple[Column, Column, Column]:
+    safety = Z_95 * F.col("std_demand") * F.sqrt(F.col("lead_time_days").cast("double"))
+    return whole(_pace() * F.col("lead_time_days") + safety), whole(safety), clamp_order(whole(_pace() * 14))
+
+
+POLICIES: dict[str, Policy] = {"economic_order": economic_policy, "reorder_point": reorder_point_policy, "statistical": statistical_policy}
+
+
+def run_policies(demand: DataFrame, products: DataFrame, policies: dict[str, Policy], days: int = HISTORY_DAYS) -> DataFrame:
+    """Every named policy replayed for every product; a policy is a function giving three column expressions."""
+    h = history(demand, products, days)
+    rows = F.array(
+        *[
+            F.struct(F.lit(n).alias("strategy"), *[c.cast("bigint").alias(k) for k, c in zip(("reorder_point", "safety_stock", "order_quantity"), p())])
+            for n, p in policies.items()
+        ]
+    )
+    d = replay(h.select("*", F.inline(rows)))
+    demanded = F.aggregate("demands", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return d.withColumn("cost_per_unit_demand", F.col("total_cost") / F.greatest(demanded, F.lit(1)))
+
+
+def strategy_statistics(runs: DataFrame) -> DataFrame:
+    """Mean, deviation, minimum and maximum of each measure per strategy."""
+    long = runs.select("strategy", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in METRICS])))
+    return long.groupBy("strategy", "metric").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"), F.count(F.lit(1)).alias("num_runs"))
+
+
+def best_strategies(runs: DataFrame) -> DataFrame:
+    """Strategy with the lowest mean cost, the highest service, and the best of both."""
+    g = runs.groupBy("strategy").agg(F.avg("total_cost").alias("c"), F.avg("service_level").alias("s"))
+    both = F.col("s") - F.col("c") / 100000
+    return g.agg(
+        F.min_by("strategy", F.struct("c", "strategy")).alias("lowest_cost"),
+        F.min_by("strategy", F.struct(-F.col("s"), "strategy")).alias("highest_service"),
+        F.min_by("strategy", F.struct(-both, "strategy")).alias("best_composite"),
+    )
+
+
+def normal_cdf(z: Column) -> Column:
+    """Standard normal distribution function (polynomial approximation, error below 1e-7)."""
+    a = F.abs(z)
+    t = 1 / (1 + 0.2316419 * a)
+    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    upper = F.exp(-a * a / 2) * 0.3989422804014327 * poly
+    return F.when(z >= 0, 1 - upper).otherwise(upper)
+
+
+def arm_of(key: str, share: float) -> Column:
+    """Deterministic arm by a multiplicative hash of the key."""
+    return F.when(F.pmod(F.col(key) * 7919 + 13, F.lit(100)) < int(share * 100), "test").otherwise("control")
+
+
+def ab_test(demand: DataFrame, products: DataFrame, control: dict[str, float], test: dict[str, float], metric: str = "total_cost", share: float = 0.1, days: int = 30) -> DataFrame:
+    """Two settings on two product groups: means, difference, Welch significance, decision."""
+    h = history(demand, products, days).withColumn("arm", arm_of("product_id", share))
+    is_test = F.col("arm") == "test"
+
+    def pick(k: str) -> Column:
+        return F.when(is_test, float(test[k])).otherwise(float(control[k]))
+
+    m = F.col("mean_demand")
+    d = h.withColumns(
+        {
+            "reorder_point": whole(m * F.col("lead_time_days") * pick("lead_factor")),
+            "safety_stock": whole(m * pick("safety_days")),
+            "order_quantity": clamp_order(whole(m * pick("order_days"))),
+        }
+    )
+    v = F.col(metric).cast("double")
+
+    def of(arm: str, f: Callable) -> Column:
+        return f(F.when(F.col("arm") == arm, v))
+
+    g = replay(d).agg(
+        *[
+            c.alias(f"{a}_{n}")
+            for a in ("control", "test")
+            for n, c in (("count", of(a, F.count)), ("mean", of(a, F.avg)), ("var", of(a, F.var_samp)))
+        ]
+    )
+    se = F.sqrt(F.col("test_var") / F.col("test_count") + F.col("control_var") / F.col("control_count"))
+    g = g.withColumn("improvement", F.col("test_mean") - F.col("control_mean"))
+    g = g.withColumn("z", ratio("improvement", se))
+    g = g.withColumn("statistical_significance", 2 * normal_cdf(F.abs("z")) - 1)
+    return g.withColumn("recommendation", cases([(F.col("statistical_significance") > 0.95, "deploy")], "continue_testing"))

@@ -15,8 +15,8 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 DIGITS: dict[str, int] = {}
 
-AREAS = ["sales", "marketing", "attribution", "inventory", "performance", "snapshot", "features", "quality", "validation", "kpi"]
-AREAS_ALL = [
+
+AREAS = [
     "sales", "marketing", "inventory", "performance", "attribution", "snapshot",
     "features", "quality", "validation", "kpi", "replay", "feeds",
 ]

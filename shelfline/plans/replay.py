@@ -1,0 +1,147 @@
+"""Policy back-tests."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from ..operators import backtest as op
+from ..sources.tables import Tables
+from .registry import query
+from .sqltext import define
+
+define("hist", "SELECT product_id, quantity_demanded AS q, row_number() OVER (PARTITION BY product_id ORDER BY date) AS i FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY date DESC) AS k FROM demand WHERE NOT is_forecast) WHERE k <= 90")
+define(
+    "demand_figures",
+    """SELECT p.*, m, sd, mx, n FROM products p JOIN (SELECT product_id, avg(q) AS m, stddev_pop(q) AS sd, max(q) AS mx, count(*) AS n FROM hist GROUP BY 1) h ON h.product_id = p.product_id""",
+)
+
+
+def _guess(lead: float, safety: float, order: float, extra: str = "") -> str:
+    return f"""SELECT product_id, unit_cost, selling_price, n, CAST(floor(m * lead_time_days * {lead}) AS BIGINT) AS rp, CAST(floor(m * {safety}) AS BIGINT) AS ss,
+    least(greatest(CAST(floor(m * {order}) AS BIGINT), min_order_quantity), max_order_quantity) AS oq, CAST(n * m AS DOUBLE) AS demanded{extra} FROM demand_figures"""
+
+
+def _replay(policies: str, tail: str) -> str:
+    """Day-by-day recursion over the policies (id, product_id, rp, ss, oq, unit_cost, n)."""
+    return f"""WITH RECURSIVE pol AS ({policies}),
+    sim AS (SELECT id, product_id, rp, oq, CAST(0 AS BIGINT) AS i, CAST(ss + oq AS BIGINT) AS stock, CAST(0 AS BIGINT) AS held, CAST(0 AS BIGINT) AS short, CAST(0 AS BIGINT) AS events, CAST(0 AS BIGINT) AS orders, CAST(0 AS BIGINT) AS sold FROM pol
+      UNION ALL SELECT id, product_id, rp, oq, i, have - least(q, have), held + have - least(q, have), short + q - least(q, have), events + CASE WHEN q > have THEN 1 ELSE 0 END, orders + buy, sold + least(q, have)
+      FROM (SELECT s.* EXCLUDE (i), h.i, h.q, CASE WHEN s.stock <= s.rp THEN 1 ELSE 0 END AS buy, s.stock + CASE WHEN s.stock <= s.rp THEN s.oq ELSE 0 END AS have FROM sim s JOIN hist h ON h.product_id = s.product_id AND h.i = s.i + 1)),
+    done AS (SELECT p.*, held, short, events, orders, sold, held * unit_cost * (CAST(0.25 AS DOUBLE) / 365) AS holding_cost, CAST(short * 10 AS DOUBLE) AS stockout_cost, CAST(orders * 50 AS DOUBLE) AS order_cost, held * unit_cost * (CAST(0.25 AS DOUBLE) / 365) + short * 10 + orders * 50 AS total_cost,
+      1 - events / p.n AS service_level, held / p.n AS avg_inventory FROM sim s JOIN pol p ON p.id = s.id AND p.product_id = s.product_id AND p.n = s.i)
+    {tail}"""
+
+
+_OBJ = "total_cost + CASE WHEN service_level < 0.95 THEN 10000 * (0.95 - service_level) ELSE 0 END"
+
+
+@query(
+    "R12_policy_backtest",
+    _replay(
+        f"SELECT 1 AS id, * FROM ({_guess(1.5, 7, 30)})",
+        f"""SELECT product_id, rp AS reorder_point, ss AS safety_stock, oq AS order_quantity, round(holding_cost, 4) AS holding_cost, stockout_cost, order_cost, round(total_cost, 4) AS total_cost, round(service_level, 6) AS service_level, events AS stockout_events, orders AS total_orders, round({_OBJ}, 4) AS objective FROM done""",
+    ),
+    digits=4,
+)
+def backtest(t: Tables) -> DataFrame:
+    return op.backtest(t.demand, t.products).select(
+        "product_id", "reorder_point", "safety_stock", "order_quantity", "holding_cost", "stockout_cost", "order_cost", "total_cost", "service_level", "stockout_events", "total_orders", "objective"
+    )
+
+
+def _lv(low: str, high: str) -> str:
+    top = f"greatest({low}, {high})"
+    return f"list_distinct([{low}, {low} + CAST(floor(({top} - {low}) / 2) AS BIGINT), {top}])"
+
+
+_GRID = f"""SELECT row_number() OVER () AS id, * FROM (SELECT product_id, unit_cost, n, rp, ss, unnest(oqs) AS oq FROM (SELECT product_id, unit_cost, n, rp, unnest(sss) AS ss, oqs FROM (SELECT product_id, unit_cost, n, unnest(rps) AS rp, sss, oqs FROM (SELECT product_id, unit_cost, n,
+    {_lv('CAST(floor(m * lead_time_days * 0.5) AS BIGINT)', 'CAST(mx * lead_time_days * 2 AS BIGINT)')} AS rps, {_lv('CAST(0 AS BIGINT)', 'CAST(floor(m * 30) AS BIGINT)')} AS sss, {_lv('min_order_quantity', 'least(max_order_quantity, CAST(floor(m * 60) AS BIGINT))')} AS oqs FROM demand_figures WHERE n >= 14))))"""
+
+
+@query(
+    "R13_best_policy",
+    _replay(
+        _GRID,
+        f"""SELECT product_id, candidates, round(objective, 4) AS objective, rp AS reorder_point, ss AS safety_stock, oq AS order_quantity, round(total_cost, 4) AS total_cost, round(service_level, 4) AS service_level FROM (SELECT *, count(*) OVER (PARTITION BY product_id) AS candidates,
+        row_number() OVER (PARTITION BY product_id ORDER BY objective, rp, ss, oq) AS k FROM (SELECT *, {_OBJ} AS objective FROM done)) WHERE k = 1""",
+    ),
+    digits=4,
+)
+def best_policy(t: Tables) -> DataFrame:
+    # the events span one month, so two weeks of history are enough here
+    return op.best_policy(t.demand, t.products, min_days=14, days=90)
+
+
+CURRENT = {"lead_factor": 1.0, "safety_days": 3, "order_days": 10}
+PROPOSED = {"lead_factor": 1.5, "safety_days": 7, "order_days": 30}
+
+
+@query(
+    "R23_what_if",
+    _replay(
+        f"SELECT 1 AS id, * FROM ({_guess(1.0, 3, 10)}) UNION ALL SELECT 2, * FROM ({_guess(1.5, 7, 30)})",
+        """SELECT b.product_id, round(b.avg_inventory - a.avg_inventory, 4) AS inventory_change, round(b.service_level - a.service_level, 4) AS service_level_change, b.events - a.events AS stockout_events_change, round(b.holding_cost - a.holding_cost, 4) AS holding_cost_change,
+        round((b.sold - a.sold) * b.selling_price, 4) AS revenue_change FROM done a JOIN done b ON a.product_id = b.product_id AND a.id = 1 AND b.id = 2""",
+    ),
+    digits=4,
+)
+def what_if(t: Tables) -> DataFrame:
+    return op.what_if(t.demand, t.products, CURRENT, PROPOSED)
+
+
+_STRATEGIES = """SELECT CASE k WHEN 1 THEN 'economic_order' WHEN 2 THEN 'reorder_point' ELSE 'statistical' END AS strategy, k AS id, product_id, unit_cost, n, CAST(n * m AS DOUBLE) AS demanded,
+    CAST(floor(CASE k WHEN 1 THEN m * lead_time_days * 1.2 WHEN 2 THEN m * lead_time_days * 1.5 ELSE m * lead_time_days + sf END) AS BIGINT) AS rp, CAST(floor(CASE k WHEN 3 THEN sf ELSE m * 7 END) AS BIGINT) AS ss,
+    CASE k WHEN 1 THEN CAST(floor(least(greatest(sqrt(2 * m * 365 * 50 / (unit_cost * CAST(0.25 AS DOUBLE))), min_order_quantity), max_order_quantity)) AS BIGINT) WHEN 2 THEN least(greatest(CAST(floor(m * 30) AS BIGINT), min_order_quantity), max_order_quantity)
+      ELSE least(greatest(CAST(floor(m * 14) AS BIGINT), min_order_quantity), max_order_quantity) END AS oq
+    FROM (SELECT *, CAST(1.6448536269514722 AS DOUBLE) * sd * sqrt(lead_time_days) AS sf FROM demand_figures), (SELECT unnest([1, 2, 3]) AS k)"""
+_MEASURES = "['total_cost', 'service_level', 'stockout_events', 'total_orders', 'cost_per_unit_demand']"
+
+
+@query(
+    "U02_policy_functions",
+    _replay(_STRATEGIES, "SELECT strategy, product_id, rp AS reorder_point, ss AS safety_stock, oq AS order_quantity, round(total_cost, 4) AS total_cost, round(service_level, 4) AS service_level FROM done"),
+    digits=4,
+)
+def policies(t: Tables) -> DataFrame:
+    return op.run_policies(t.demand, t.products, op.POLICIES).select("strategy", "product_id", "reorder_point", "safety_stock", "order_quantity", "total_cost", "service_level")
+
+
+@query(
+    "A59_strategy_statistics",
+    _replay(
+        _STRATEGIES,
+        f"""SELECT strategy, metric, round(avg(v), 4) AS mean, round(stddev_pop(v), 4) AS std, round(min(v), 4) AS "min", round(max(v), 4) AS "max", count(*) AS num_runs FROM (SELECT strategy, unnest({_MEASURES}) AS metric, unnest([total_cost, service_level, CAST(events AS DOUBLE), CAST(orders AS DOUBLE), total_cost / greatest(demanded, 1)]) AS v FROM done) GROUP BY 1, 2""",
+    ),
+    digits=4,
+)
+def statistics(t: Tables) -> DataFrame:
+    return op.strategy_statistics(op.run_policies(t.demand, t.products, op.POLICIES))
+
+
+@query(
+    "A59_best_strategies",
+    _replay(
+        _STRATEGIES,
+        """SELECT first(strategy ORDER BY c, strategy) AS lowest_cost, first(strategy ORDER BY s DESC, strategy) AS highest_service, first(strategy ORDER BY s - c / 100000 DESC, strategy) AS best_composite FROM (SELECT strategy, avg(total_cost) AS c, avg(service_level) AS s FROM done GROUP BY 1)""",
+    ),
+)
+def best(t: Tables) -> DataFrame:
+    return op.best_strategies(op.run_policies(t.demand, t.products, op.POLICIES))
+
+
+_ARM = "CASE WHEN (product_id * 7919 + 13) % 100 < 20 THEN 'test' ELSE 'control' END"
+_CDF = """CASE WHEN TRUE THEN 1 - exp(-z * z / 2) * 0.3989422804014327 * (t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * CAST(1.330274429 AS DOUBLE)))))) END"""
+
+
+@query(
+    "A61_ab_comparison",
+    _replay(
+        f"SELECT 1 AS id, * FROM ({_guess(1.0, 3, 10)}) WHERE {_ARM} = 'control' UNION ALL SELECT 2, * FROM ({_guess(1.5, 7, 30)}) WHERE {_ARM} = 'test'",
+        f"""SELECT control_count, round(control_mean, 4) AS control_mean, round(control_var, 4) AS control_var, test_count, round(test_mean, 4) AS test_mean, round(test_var, 4) AS test_var, round(test_mean - control_mean, 4) AS improvement, round(zs, 4) AS z, round(2 * cdf - 1, 4) AS statistical_significance,
+        CASE WHEN 2 * cdf - 1 > 0.95 THEN 'deploy' ELSE 'continue_testing' END AS recommendation FROM (SELECT *, {_CDF} AS cdf FROM (SELECT *, abs(zs) AS z, 1 / (1 + CAST(0.2316419 AS DOUBLE) * abs(zs)) AS t FROM (SELECT *, (test_mean - control_mean) / sqrt(test_var / test_count + control_var / control_count) AS zs FROM (SELECT
+          count(*) FILTER (id = 1) AS control_count, avg(total_cost) FILTER (id = 1) AS control_mean, var_samp(total_cost) FILTER (id = 1) AS control_var, count(*) FILTER (id = 2) AS test_count, avg(total_cost) FILTER (id = 2) AS test_mean, var_samp(total_cost) FILTER (id = 2) AS test_var FROM done))))""",
+    ),
+    digits=4,
+)
+def ab(t: Tables) -> DataFrame:
+    return op.ab_test(t.demand, t.products, CURRENT, PROPOSED, share=0.2, days=90)
