@@ -246,3 +246,84 @@ def stream_freshness(t: Tables) -> DataFrame:
     return ingest.latest_batch(t.spark, out).withColumn("hours", late)
 
 
+@query(
+    "S10_load_all_sources",
+    """SELECT order_date AS date, count(*) AS lines, CAST(sum(quantity) AS BIGINT) AS units, round(sum(revenue), 4) AS revenue FROM sales_lines GROUP BY 1""",
+    digits=4,
+)
+def load_all(t: Tables) -> DataFrame:
+    """Orders and lines written as CSV, loaded by the multi-source loader, turned into the sales feed."""
+    from ..operators import sales
+
+    root = scratch(t.spark, "sources")
+    stamp = "yyyy-MM-dd'T'HH:mm:ss"
+    o = t.shop_orders
+    text = o.select(
+        "order_id", F.date_format("created_at", stamp).alias("created_at"), F.date_format("created_at", stamp).alias("updated_at"), F.lit(None).cast("string").alias("processed_at"),
+        F.date_format("cancelled_at", stamp).alias("cancelled_at"), "customer_email", "customer_total_spent", "total_price", F.col("total_price").alias("subtotal_price"), "total_discounts",
+        "financial_status", "shipping_country", "source_name",
+    )
+    sinks.write_csv(text, f"{root}/orders")
+    sinks.write_csv(t.line_items.select("order_id", "line_number", "product_id", "quantity", "price", "total_discount"), f"{root}/line_items")
+    loaded = feeds.load_all(t.spark, {"orders": f"{root}/orders", "line_items": f"{root}/line_items"})
+    orders = loaded["orders"].withColumn("order_date", F.col("created_at").cast("date"))
+    feed = sales.sales_feed(orders, loaded["line_items"])
+    return feed.groupBy("date").agg(F.count(F.lit(1)).alias("lines"), F.sum("quantity_sold").alias("units"), F.sum("revenue").alias("revenue"))
+
+
+def _daily_revenue(df: DataFrame) -> DataFrame:
+    return df.groupBy("date", "product_id").agg(F.count(F.lit(1)).alias("orders"), F.sum("revenue").alias("revenue"))
+
+
+_DAILY = "SELECT date, product_id, count(*) AS orders, round(sum(revenue), 6) AS revenue FROM conversions GROUP BY 1, 2"
+
+
+@query("T07_incremental_rebuild", _DAILY)
+def incremental(t: Tables) -> DataFrame:
+    """A table built up to two days ago, then completed by the rebuild of missing dates."""
+    from ..streaming import jobs
+
+    path = scratch(t.spark, "rebuild")
+    old = t.conversions.filter(F.col("date") < F.date_sub(F.lit(EVENT_AS_OF).cast("date"), 2))
+    sinks.overwrite_dates(_daily_revenue(old), path)
+    jobs.rebuild_missing(t.conversions, _daily_revenue, path, EVENT_AS_OF)
+    return t.spark.read.parquet(path).select("date", "product_id", "orders", "revenue")
+
+
+@query("T08_weekly_backfill", _DAILY)
+def weekly_backfill(t: Tables) -> DataFrame:
+    from ..streaming import jobs
+
+    path = scratch(t.spark, "backfill")
+    jobs.backfill(t.conversions, _daily_revenue, path, "2024-01-01", "2024-01-31")
+    return t.spark.read.parquet(path).select("date", "product_id", "orders", "revenue")
+
+
+@query(
+    "T09_daily_job",
+    """SELECT DATE '2024-01-31' AS date, CAST(1 AS BIGINT) AS files_ok, CAST(count(*) AS BIGINT) AS records_processed, round(count(*) FILTER (date IS NOT NULL AND quantity_sold >= 0) / count(*), 6) AS success_rate, round((SELECT count(*) FILTER (status = 'pass') / count(*) FROM checks), 6) AS quality_score FROM raw_feed""",
+)
+def daily_job(t: Tables) -> DataFrame:
+    """The whole daily job over a dropped sales feed and the live tables."""
+    from ..streaming import jobs
+
+    drop, root = scratch(t.spark, "drop"), scratch(t.spark, "daily")
+    declared = feeds.declared("sales")
+    raw = raw_sales(t)
+    sinks.write_csv(raw.select(*[c if c in raw.columns else F.lit(None).cast("string").alias(c) for c in declared]), drop)
+    stream = ingest.files(t.spark, drop, feeds.text_schema(declared)).select("*", F.col("_metadata.file_name").alias("file_name"))
+    tables = {"sales": t.sales, "stock": t.stock, "signals": t.signals, "products": t.products}
+    report = jobs.daily_job(t.spark, {"sales": stream}, root, tables, EVENT_AS_OF, "2024-01-30")
+    ok = F.when(F.col("files_processed") > 0, 1).otherwise(0).cast("bigint")
+    return report.select("date", ok.alias("files_ok"), "records_processed", "success_rate", "quality_score")
+
+
+@query("S04_newest_file", "SELECT date, count(*) AS rows FROM conversions GROUP BY 1")
+def newest_file(t: Tables) -> DataFrame:
+    """Daily files written in two goes; the rows of the later write are the newest of each day."""
+    path = scratch(t.spark, "snapshots")
+    for part in ("old", "new"):
+        rows = t.conversions.select("date", F.lit(part).alias("version"))
+        rows.write.mode("overwrite").option("header", True).csv(f"{path}/{part}")
+    d = feeds.newest_write(t.spark, [f"{path}/old", f"{path}/new"])
+    return d.filter(F.col("version") == "new").groupBy(F.col("date").cast("date").alias("date")).agg(F.count(F.lit(1)).alias("rows"))

@@ -87,6 +87,13 @@ def newest_file(spark: SparkSession, directory: str) -> DataFrame:
     return df.filter(F.struct("written", "file_name") == newest).drop("written")
 
 
+def newest_write(spark: SparkSession, directories: list[str]) -> DataFrame:
+    """Rows of the directory whose files were written last, for snapshots that span many files."""
+    df = spark.read.option("header", True).csv(directories).select("*", F.col("_metadata.file_modification_time").alias("written"), F.regexp_extract(F.col("_metadata.file_path"), "^(.*)/", 1).alias("folder"))
+    newest = df.agg(F.max_by("folder", F.struct("written", "folder"))).scalar()
+    return df.filter(F.col("folder") == newest).drop("written", "folder")
+
+
 def _fill(raw: DataFrame, defaults: dict) -> dict[str, Column]:
     kinds = {bool: "boolean", int: "bigint", float: "double", str: "string"}
     out = {}
@@ -126,6 +133,14 @@ def mail_csv(raw: DataFrame) -> DataFrame:
     return raw.withColumns({"date": F.to_date("date"), **_numbers(raw, MAIL_NUMBERS), "products": items, "bad_products": items.isNull() & F.col("featured_products").isNotNull()})
 
 
+LOADERS = {"orders": orders_csv, "line_items": line_items_csv, "ads": ads_csv, "email": mail_csv}
+
+
+def load_all(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
+    """Every named source through its loader: orders, line_items, ads, email."""
+    return {name: LOADERS[name](read_csv(spark, path)) for name, path in paths.items()}
+
+
 def last_per_key(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """Last row per business key, ties decided by the other columns; one foldable aggregate, no window."""
     rest = [c for c in df.columns if c not in key and c not in order]

@@ -42,16 +42,15 @@ def backfill(source: DataFrame, build: Callable[[DataFrame], DataFrame], path: s
         sinks.overwrite_dates(build(source.filter(F.col("date").between(a, b))), path)
 
 
-def daily_job(spark: SparkSession, drop: str, root: str, tables: dict[str, DataFrame], as_of: str, day: str, retention_days: int = 90) -> DataFrame:
-    """Ingest the dropped feeds, check quality, build features for all products, apply retention, report."""
-    for feed in ("sales", "inventory", "demand"):
-        ingest.validated(ingest.feed_files(spark, drop, feed), feed, f"{root}/{feed}", f"{root}/_checkpoints/{feed}")
+def daily_job(spark: SparkSession, streams: dict[str, DataFrame], root: str, tables: dict[str, DataFrame], as_of: str, day: str, retention_days: int = 90) -> DataFrame:
+    """Ingest the feed streams, check quality, build features for all products, apply retention, report."""
+    for feed, stream in streams.items():
+        ingest.validated(stream, feed, f"{root}/{feed}", f"{root}/_checkpoints/{feed}")
     checks = quality.comprehensive(tables["sales"], tables["stock"], tables["signals"], tables["products"], as_of, day)
-    quality.metric_rows(checks, as_of).write.mode("append").partitionBy("date").parquet(f"{root}/metrics")
+    sinks.overwrite_dates(quality.metric_rows(checks, as_of), f"{root}/metrics")
     features.feature_set(tables["products"], tables["sales"], tables["stock"], tables["signals"], as_of).write.mode("overwrite").parquet(f"{root}/features")
-    kept = quality.retained(spark.read.parquet(f"{root}/metrics"), as_of, retention_days)
-    kept.write.mode("overwrite").partitionBy("date").parquet(f"{root}/metrics_kept")
-    log = spark.read.parquet(*[f"{root}/{f}/log" for f in ("sales", "inventory", "demand")])
-    report = quality.workflow_summary(log, spark.read.parquet(f"{root}/metrics_kept"), as_of)
+    metrics = quality.retained(spark.read.parquet(f"{root}/metrics"), as_of, retention_days)
+    log = spark.read.parquet(*[f"{root}/{f}/log" for f in streams])
+    report = quality.workflow_summary(log, metrics, as_of)
     sinks.write_report(report, f"{root}/reports/{as_of}")
-    return spark.read.json(f"{root}/reports/{as_of}")
+    return spark.read.schema(report.schema).json(f"{root}/reports/{as_of}")
