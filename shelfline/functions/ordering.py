@@ -34,14 +34,16 @@ def slice_of(c: str, bounds: str) -> Column:
     return below * 2 + on_cut.cast("int")
 
 
-def _with_offsets(df: DataFrame, group: Sequence[str], slices: Sequence[str], out: str, descending: Sequence[bool]) -> DataFrame:
-    """Add the number of rows in all earlier slices of the group."""
+def _with_offsets(df: DataFrame, group: Sequence[str], slices: Sequence[str], out: str, descending: Sequence[bool], total: str | None = None) -> DataFrame:
+    """Add the number of rows in all earlier slices of the group, and on request in all its slices."""
     keys = [*group, *slices]
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     order = [F.col(s).desc() if d else F.col(s).asc() for s, d in zip(slices, descending)]
-    w = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn(out, F.coalesce(F.sum("__n").over(w), F.lit(0))).drop("__n")
-    return df.join(offsets, keys, "left")
+    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn(out, F.coalesce(F.sum("__n").over(w), F.lit(0)))
+    if total:
+        offsets = offsets.withColumn(total, F.sum("__n").over(Window.partitionBy(*group)))
+    return df.join(offsets.drop("__n"), keys, "left")
 
 
 def sliced_row_number(
@@ -73,34 +75,37 @@ def sliced_row_number(
 
 
 def percent_rank_of(df: DataFrame, value: str, out: str, descending: bool = True, n: int = 64) -> DataFrame:
-    """percent_rank() over the whole table, ties sharing the lowest rank.
+    """percent_rank() over all non-null values of the table, ties sharing the lowest rank; null values get no rank.
 
     Ranks are computed on the distinct values (so a value shared by most rows costs one row),
     inside value-range slices, then joined back on the value.
     """
-    counts = df.groupBy(F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-    counts = counts.withColumn("__b", quantile_bounds(df, value, n)).withColumn("__s", slice_of("__v", "__b")).drop("__b")
-    sizes = counts.groupBy("__s").agg(F.sum("__n").alias("__c"))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    cut = counts.withColumn("__b", quantile_bounds(counts, "__v", n)).withColumn("__s", slice_of("__v", "__b")).drop("__b")
 
     def ordered(c):
         return F.col(c).desc() if descending else F.col(c).asc()
 
-    before = Window.partitionBy(F.lit(0)).orderBy(ordered("__s")).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("__s", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__off"))
-    within = Window.partitionBy("__s").orderBy(ordered("__v")).rowsBetween(Window.unboundedPreceding, -1)
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    ranks = (
-        counts.join(sizes, "__s")
-        .withColumn("__r", F.col("__off") + F.coalesce(F.sum("__n").over(within), F.lit(0)))
-        .select("__v", F.coalesce(F.try_divide(F.col("__r").cast("double"), (total - 1).cast("double")), F.lit(0.0)).alias(out))
+    everything = Window.partitionBy(F.lit(0))
+    before = everything.orderBy(ordered("__s")).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = (
+        cut.groupBy("__s")
+        .agg(F.sum("__n").alias("__c"))
+        .select("__s", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__off"), F.sum("__c").over(everything).alias("__all"))
     )
-    return df.join(ranks, F.col(value).eqNullSafe(F.col("__v")), "left").drop("__v")
+    within = Window.partitionBy("__s").orderBy(ordered("__v")).rowsBetween(Window.unboundedPreceding, -1)
+    rank = F.col("__off") + F.coalesce(F.sum("__n").over(within), F.lit(0))
+    ranks = cut.join(sizes, "__s").select("__v", F.coalesce(F.try_divide(rank.cast("double"), (F.col("__all") - 1).cast("double")), F.lit(0.0)).alias(out))
+    return df.join(ranks, F.col(value) == F.col("__v"), "left").drop("__v")
 
 
-def split_row_number(df: DataFrame, keys: Sequence[str], ts: str, tie: str, out: str, slice_seconds: int = 3600) -> DataFrame:
-    """Position of each row in its key by (ts, tie), cut into time slices so a hot key is shared out."""
+def split_row_number(df: DataFrame, keys: Sequence[str], ts: str, tie: str, out: str, total: str | None = None, slice_seconds: int = 3600) -> DataFrame:
+    """Position of each row in its key by (ts, tie), cut into time slices so a hot key is shared out.
+
+    `total` names a column for the number of rows of the key.
+    """
     d = df.withColumn("__s", time_slice(ts, slice_seconds))
-    d = _with_offsets(d, keys, ["__s"], "__off", [False])
+    d = _with_offsets(d, keys, ["__s"], "__off", [False], total)
     w = Window.partitionBy(*keys, "__s").orderBy(ts, tie)
     return d.withColumn(out, (F.col("__off") + F.row_number().over(w)).cast("bigint")).drop("__s", "__off")
 

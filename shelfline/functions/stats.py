@@ -40,8 +40,7 @@ def acceleration(y: str | Column, min_points: int = 4) -> Column:
     return F.when(n >= min_points, 2 * ratio(num, den, 0.0)).otherwise(F.lit(0.0))
 
 
-def zscore(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Population z-score against the whole column; the two totals come from a one-row subquery."""
-    totals = df.agg(F.struct(F.avg(value).alias("m"), F.stddev_pop(value).alias("s")).alias("t"))
-    t = totals.scalar()
-    return df.withColumn(out, ratio(F.col(value) - t["m"], t["s"]))
+def zscores(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Population z-scores (source column to new column); all totals come from one one-row subquery."""
+    t = df.agg(F.struct(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))]).alias("t")).scalar()
+    return df.withColumn("__t", t).withColumns({out: ratio(F.col(c) - F.col(f"__t.m_{c}"), F.col(f"__t.s_{c}")) for c, out in columns.items()}).drop("__t")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import carry, split_row_number
 from ..functions.scalar import at_least, cases, count_if, lookup, money, ratio, since
+from ..session import cut
 
 # Touch channels, decay rate, position weights and class labels.
 ADS, EMAIL = "facebook", "email"
@@ -137,8 +138,7 @@ def decay_weight(p: Column, n: Column) -> Column:
 
 def numbered(jt: DataFrame) -> DataFrame:
     """Touches with their position and the length of their journey."""
-    n = jt.groupBy("order_id").agg(F.count(F.lit(1)).alias("n"))
-    return split_row_number(jt, ["order_id"], "touch_ts", "touch_id", "position").join(n, "order_id")
+    return split_row_number(jt, ["order_id"], "touch_ts", "touch_id", "position", total="n")
 
 
 def time_decay_by_campaign(jt: DataFrame) -> DataFrame:
@@ -343,39 +343,42 @@ def channel_pairs(attr: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     )
 
 
-def journey_patterns(jt: DataFrame, summary: DataFrame, as_of: str, days: int = 90, min_count: int = 5, top: int = 20) -> DataFrame:
+def journey_patterns(jt: DataFrame, as_of: str, days: int = 90, min_count: int = 5, top: int = 20) -> DataFrame:
     """The highest-earning journey paths seen at least `min_count` times.
 
     Paths are compared by a position-aware 128-bit fingerprint, folded before the shuffle, so no
     journey is gathered just to be counted; only the winning paths are spelled out, from one
-    example order each.
+    example order each. The numbered touches are written once and read twice.
     """
-    pos = split_row_number(jt.filter(since("date", as_of, days)), ["order_id"], "touch_ts", "touch_id", "position")
+    recent = jt.filter(since("date", as_of, days)).select("order_id", "revenue", "channel", "touch_ts", "touch_id")
+    pos = cut(split_row_number(recent, ["order_id"], "touch_ts", "touch_id", "position").drop("touch_id"), "journeys")
     h1, h2 = F.xxhash64("position", "channel"), F.xxhash64("channel", F.lit("path"), "position")
-    prints = pos.groupBy("order_id", "revenue").agg(F.bit_xor(h1).alias("h1"), F.bit_xor(h2).alias("h2"))
-    j = prints.join(summary.select("order_id", "touchpoint_count", "first_touch_ts", "last_touch_ts"), "order_id")
-    hours = F.expr("timestampdiff(HOUR, first_touch_ts, last_touch_ts)")
-    best = (
-        j.groupBy("h1", "h2", "touchpoint_count")
+    prints = pos.groupBy("order_id", "revenue").agg(
+        F.bit_xor(h1).alias("h1"), F.bit_xor(h2).alias("h2"), F.count(F.lit(1)).alias("n"), F.min("touch_ts").alias("first_ts"), F.max("touch_ts").alias("last_ts")
+    )
+    hours = F.expr("timestampdiff(HOUR, first_ts, last_ts)")
+    best = cut(
+        prints.groupBy("h1", "h2", "n")
         .agg(
             F.count(F.lit(1)).alias("journey_frequency"),
             F.avg("revenue").alias("avg_revenue"),
-            F.avg("touchpoint_count").alias("avg_touchpoints"),
+            F.avg("n").alias("avg_touchpoints"),
             F.avg(hours).alias("avg_duration_hours"),
-            F.avg(F.when(hours > 0, ratio("touchpoint_count", hours))).alias("avg_velocity"),
+            F.avg(F.when(hours > 0, ratio("n", hours))).alias("avg_velocity"),
             F.sum("revenue").alias("total_revenue"),
             F.min("order_id").alias("order_id"),
         )
         .filter(F.col("journey_frequency") >= min_count)
         .orderBy(F.desc("total_revenue"), "order_id")
-        .limit(top)
+        .limit(top),
+        "patterns",
     )
     path = (
         pos.join(best.select("order_id"), "order_id")
         .groupBy("order_id")
         .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "channel"))), lambda x: x["channel"]), " -> ").alias("journey_pattern"))
     )
-    return best.join(path, "order_id").drop("order_id", "h1", "h2", "touchpoint_count")
+    return best.join(path, "order_id").drop("order_id", "h1", "h2", "n")
 
 
 def model_comparison(attr: DataFrame, as_of: str, days: int = 30) -> DataFrame:

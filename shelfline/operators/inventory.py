@@ -73,9 +73,13 @@ def recent_sales(orders: DataFrame, items: DataFrame, as_of: str) -> DataFrame:
     )
 
 
+def with_revenue_ranks(sales: DataFrame, descending: bool = True) -> DataFrame:
+    """Percent rank (0 to 100) by 30-day revenue; products without such revenue get none."""
+    return percent_rank_of(sales, "revenue_30d", "monthly_revenue_rank", descending).withColumn("monthly_revenue_rank", F.col("monthly_revenue_rank") * 100)
+
+
 def revenue_ranks(sales: DataFrame, descending: bool = True) -> DataFrame:
-    ranked = percent_rank_of(sales.filter(F.col("revenue_30d").isNotNull()).select("product_id", "revenue_30d"), "revenue_30d", "r", descending)
-    return ranked.select("product_id", "revenue_30d", (F.col("r") * 100).alias("monthly_revenue_rank"))
+    return with_revenue_ranks(sales, descending).filter(F.col("revenue_30d").isNotNull())
 
 
 def abc_ascending(sales: DataFrame) -> DataFrame:
@@ -109,9 +113,7 @@ def urgency_rank(c: Column) -> Column:
 
 
 def with_recent_sales(products: DataFrame, sales: DataFrame) -> DataFrame:
-    return products.join(sales.select("product_id", "qty_90d"), "product_id", "left").join(
-        revenue_ranks(sales).select("product_id", "monthly_revenue_rank"), "product_id", "left"
-    )
+    return products.join(with_revenue_ranks(sales).select("product_id", "qty_90d", "monthly_revenue_rank"), "product_id", "left")
 
 
 def current_inventory(products: DataFrame, orders: DataFrame, items: DataFrame, as_of: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import at_least, cases, count_if, floor_div, money, ratio, since, up_to
-from ..functions.stats import with_position, zscore
+from ..functions.stats import with_position, zscores
 
 # Pass and warning limits of each metric.
 PASS_RATIO, WARN_RATIO = 0.95, 0.90
@@ -32,20 +32,30 @@ def _tidy(df: DataFrame, name: str, source: str, value: Column, threshold: float
 def completeness(feed: DataFrame, source: str, products: DataFrame, day: str) -> DataFrame:
     """Share of products seen in the feed on a day."""
     total = products.agg(F.greatest(F.count(F.lit(1)), F.lit(1))).scalar()
-    seen = feed.filter(F.col("date") == F.lit(day).cast("date")).agg(F.countDistinct("product_id").alias("n")).withColumn("v", F.col("n") / total)
+    seen = feed.filter(_on(day)).agg(F.countDistinct("product_id").alias("n")).withColumn("v", F.col("n") / total)
     return _tidy(seen, "completeness", source, F.col("v"), PASS_RATIO, ratio_status("v"))
 
 
+def _on(day: str) -> Column:
+    return F.col("date") == F.lit(day).cast("date")
+
+
+def _hours_late(now: str) -> Column:
+    return F.coalesce((F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.max("ts").cast("timestamp"))) / 3.6e9, F.lit(float("inf")))
+
+
+def _late_status(c: str) -> Column:
+    return up_to(c, [(PASS_HOURS, "pass"), (WARN_HOURS, "warning")], "fail")
+
+
 def timeliness(feed: DataFrame, source: str, now: str) -> DataFrame:
     """Hours since the newest row; no rows count as infinitely late."""
-    seconds = F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.max("ts").cast("timestamp"))
-    g = feed.agg((seconds / 3.6e9).alias("v")).withColumn("v", F.coalesce("v", F.lit(float("inf"))))
-    return _tidy(g, "timeliness", source, F.col("v"), PASS_HOURS, up_to("v", [(PASS_HOURS, "pass"), (WARN_HOURS, "warning")], "fail"))
+    return _tidy(feed.agg(_hours_late(now).alias("v")), "timeliness", source, F.col("v"), PASS_HOURS, _late_status("v"))
 
 
 def _daily(sales: DataFrame, as_of: str, days: int) -> DataFrame:
     d = sales.filter(since("date", as_of, days)).groupBy("date").agg(F.sum("quantity_sold").cast("double").alias("quantity"), F.sum("revenue").alias("revenue"))
-    return zscore(zscore(d, "quantity", "zq"), "revenue", "zr").withColumn("n_days", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
+    return zscores(d, {"quantity": "zq", "revenue": "zr"}).withColumn("n_days", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
 
 
 def sales_anomalies(sales: DataFrame, as_of: str, days: int = 30, min_days: int = 7) -> DataFrame:
@@ -93,24 +103,38 @@ def inventory_anomaly_metric(stock: DataFrame, as_of: str, days: int = 30) -> Da
     return _tidy(g, "anomaly_score", "inventory", F.col("v"), PASS_SCORE, up_to("v", [(WARN_SCORE, "pass"), (PASS_SCORE, "warning")], "fail"))
 
 
+def _bad_rows(source: str) -> Column:
+    if source == "sales":
+        return count_if(F.col("quantity_sold") < 0) + count_if(F.col("revenue") < 0)
+    if source == "inventory":
+        return count_if(F.col("reserved_stock") > F.col("stock_level")) + count_if(F.col("stock_level") < 0)
+    return count_if(~F.col("external_demand").isin(DEMAND_LEVELS)) + count_if(~F.col("market_trend").between(-1.0, 1.0))
+
+
+def _consistent(source: str) -> Column:
+    return 1 - _bad_rows(source) / F.greatest(F.count(F.lit(1)), F.lit(1))
+
+
 def consistency(feed: DataFrame, source: str) -> DataFrame:
     """1 - bad rows / rows, with the bad-row tests of the feed."""
-    tests = {
-        "sales": lambda: count_if(F.col("quantity_sold") < 0) + count_if(F.col("revenue") < 0),
-        "inventory": lambda: count_if(F.col("reserved_stock") > F.col("stock_level")) + count_if(F.col("stock_level") < 0),
-        "demand": lambda: count_if(~F.col("external_demand").isin(DEMAND_LEVELS)) + count_if(~F.col("market_trend").between(-1.0, 1.0)),
-    }
-    v = 1 - tests[source]() / F.greatest(F.count(F.lit(1)), F.lit(1))
-    g = feed.agg(v.alias("v"))
-    return _tidy(g, "consistency", source, F.col("v"), PASS_RATIO, ratio_status("v"))
+    return _tidy(feed.agg(_consistent(source).alias("v")), "consistency", source, F.col("v"), PASS_RATIO, ratio_status("v"))
+
+
+def feed_checks(feed: DataFrame, source: str, products: DataFrame, as_of: str, day: str) -> DataFrame:
+    """Completeness, timeliness and consistency of one feed from a single pass over it."""
+    total = products.agg(F.greatest(F.count(F.lit(1)), F.lit(1))).scalar()
+    g = feed.agg(F.countDistinct(F.when(_on(day), F.col("product_id"))).alias("n"), _hours_late(as_of).alias("late"), _consistent(source).alias("ok")).withColumn("seen", F.col("n") / total)
+    rows = [("completeness", "seen", PASS_RATIO, ratio_status("seen")), ("timeliness", "late", PASS_HOURS, _late_status("late")), ("consistency", "ok", PASS_RATIO, ratio_status("ok"))]
+    tidy = [
+        F.struct(F.lit(name).alias("metric_name"), F.lit(source).alias("data_source"), F.col(c).cast("double").alias("metric_value"), F.lit(limit).alias("threshold_value"), status.alias("status"))
+        for name, c, limit, status in rows
+    ]
+    return g.select(F.inline(F.array(*tidy)))
 
 
 def comprehensive(sales: DataFrame, stock: DataFrame, signals: DataFrame, products: DataFrame, as_of: str, day: str) -> DataFrame:
     """Every check of every feed, in one layout."""
-    feeds = {"sales": sales, "inventory": stock, "demand": signals}
-    parts = []
-    for name, feed in feeds.items():
-        parts += [completeness(feed, name, products, day), timeliness(feed, name, as_of), consistency(feed, name)]
+    parts = [feed_checks(f, n, products, as_of, day) for n, f in (("sales", sales), ("inventory", stock), ("demand", signals))]
     parts += [sales_anomaly_metric(sales, as_of), inventory_anomaly_metric(stock, as_of)]
     return reduce(DataFrame.unionByName, parts)
 

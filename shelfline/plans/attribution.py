@@ -257,8 +257,7 @@ def channel_pairs(t: Tables) -> DataFrame:
       FROM placed WHERE date >= {EV} - 90 GROUP BY 1, 2) GROUP BY 1 HAVING count(*) >= 5 ORDER BY total_revenue DESC, min(order_id) LIMIT 20""",
 )
 def patterns(t: Tables) -> DataFrame:
-    jt = touches(t)
-    return op.journey_patterns(jt, op.journey_summary(jt), EVENT_AS_OF)
+    return op.journey_patterns(touches(t), EVENT_AS_OF)
 
 
 _ATT30 = f"FROM attribution WHERE date >= {EV} - 30"

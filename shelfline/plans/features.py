@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as fn
-from ..functions.stats import acceleration, trend, with_position, zscore
+from ..functions.stats import acceleration, trend, with_position, zscores
 from ..operators import features as op
 from ..operators import forecast as fc
 from ..sources.tables import EVENT_AS_OF, ORDER_AS_OF, Tables
@@ -529,4 +529,4 @@ def one_hot(t: Tables) -> DataFrame:
     "SELECT date, round((r - avg(r) OVER ()) / nullif(stddev_pop(r) OVER (), 0), 6) AS z FROM (SELECT date, sum(revenue) AS r FROM sales GROUP BY 1)",
 )
 def z(t: Tables) -> DataFrame:
-    return zscore(t.sales.groupBy("date").agg(F.sum("revenue").alias("r")), "r", "z").select("date", "z")
+    return zscores(t.sales.groupBy("date").agg(F.sum("revenue").alias("r")), {"r": "z"}).select("date", "z")

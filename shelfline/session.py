@@ -49,6 +49,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def cut(df, label: str):
+    """Write a frame once under the shared folder and read it back: a plan used several times is then
+    computed once, and a lost executor costs only a re-read."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new sub-folder name under the shared checkpoint folder."""
     import uuid
