@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import percent_rank_of
 from ..functions.scalar import above, at_least, cases, lookup, money, ratio, since, up_to
+from ..session import cut
 from .sales import line_revenue
 
 # Stock rules per category (reorder point, reorder quantity, maximum, minimum),
@@ -128,7 +129,9 @@ def current_inventory(products: DataFrame, orders: DataFrame, items: DataFrame,
             "seasonality_factor": season_factor(F.lit(as_of).cast("date")),
         }
     )
-    d = stock_status(with_recent_sales(base, recent_sales(orders, items, as_of)))
+    # product-grain totals are ranked and joined: written once, so orders and lines are joined once
+    sales = cut(recent_sales(orders, items, as_of), "recent-sales")
+    d = stock_status(with_recent_sales(base, sales))
     return d.select(
         F.col("sku").alias("product_sku"), "product_id", F.col("name").alias("product_name"), "category", "current_inventory_level",
         "reserved_inventory", "available_inventory", *RULE_NAMES, "lead_time_days", "safety_stock_days", "unit_cost", "selling_price",
