@@ -209,8 +209,9 @@ def window_credit(conversions: DataFrame, touches: DataFrame) -> DataFrame:
 def campaign_url_matches(orders: DataFrame, campaigns: DataFrame) -> DataFrame:
     """Orders whose landing URL contains a campaign name, or its cleaned form after `utm_campaign=`.
 
-    Containment becomes an equi-join: only URL substrings as long as some search key are
-    generated (the few distinct key lengths come from a one-row subquery) and joined on the text.
+    Containment becomes an equi-join: each distinct URL is cut into the substrings that are as
+    long as some search key (the few key lengths come from a one-row subquery) and joined on the
+    text; the matches then go back to the orders on the URL.
     """
     name = F.lower("campaign_name")
     keys = campaigns.select(
@@ -218,15 +219,17 @@ def campaign_url_matches(orders: DataFrame, campaigns: DataFrame) -> DataFrame:
         F.explode(F.array(name, F.concat(F.lit("utm_campaign="), F.regexp_replace(name, "[^a-z0-9_-]+", "")))).alias("key"),
     ).distinct()
     lengths = keys.agg(F.collect_set(F.length("key")).alias("l")).scalar()
-    o = orders.filter(F.length("landing_site") > 1).select("order_id", F.lower("landing_site").alias("url"), lengths.alias("lengths"))
+    visits = orders.filter(F.length("landing_site") > 1).select("order_id", "landing_site")
+    urls = visits.select("landing_site").distinct().select("landing_site", F.lower("landing_site").alias("url"), lengths.alias("lengths"))
     pieces = F.flatten(
         F.transform(
             F.filter("lengths", lambda n: n <= F.length("url")),
             lambda n: F.transform(F.sequence(F.lit(1), F.length("url") - n + 1), lambda i: F.col("url").substr(i, n)),
         )
     )
-    parts = o.select("order_id", F.explode(F.array_distinct(pieces)).alias("key"))
-    return parts.join(keys, "key").select("order_id", "campaign_id").distinct().withColumn("channel", F.lit(ADS))
+    parts = urls.select("landing_site", F.explode(F.array_distinct(pieces)).alias("key"))
+    matches = parts.join(keys, "key").select("landing_site", "campaign_id").distinct()
+    return visits.join(matches, "landing_site").select("order_id", "campaign_id", F.lit(ADS).alias("channel"))
 
 
 def journey_view(orders: DataFrame, attr: DataFrame, customers: DataFrame) -> DataFrame:

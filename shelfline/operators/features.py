@@ -18,19 +18,27 @@ SENTIMENT_DEFAULTS = {"medium_demand_ratio": 1.0}
 
 
 def _for_all(products: DataFrame, feats: DataFrame, defaults: dict[str, float]) -> DataFrame:
-    names = [c for c in feats.columns if c != "product_id"]
     d = products.select("product_id").join(feats, "product_id", "left")
-    return d.select("product_id", *[F.coalesce(F.col(c).cast("double"), F.lit(defaults.get(c, 0.0))).alias(c) for c in names])
+    return d.select("product_id", *_filled(feats, defaults))
+
+
+def _filled(feats: DataFrame, defaults: dict[str, float], prefix: str = "") -> list[Column]:
+    """The group's measures as doubles, the default where a product has no rows."""
+    return [F.coalesce(F.col(c).cast("double"), F.lit(defaults.get(c, 0.0))).alias(f"{prefix}{c}") for c in feats.columns if c != "product_id"]
 
 
 def velocity_features(sales: DataFrame, products: DataFrame, as_of: str, days: int = 30) -> DataFrame:
+    return _for_all(products, velocity_measures(sales, as_of, days), VELOCITY_DEFAULTS)
+
+
+def velocity_measures(sales: DataFrame, as_of: str, days: int) -> DataFrame:
     daily = (
         sales.filter(since("date", as_of, days))
         .groupBy("product_id", "date")
         .agg(F.sum("quantity_sold").cast("double").alias("q"), F.sum("revenue").alias("r"))
     )
     mean, std, top, low = F.avg("q"), F.stddev_pop("q"), F.max("q"), F.min("q")
-    f = with_position(daily, ["product_id"], ["date"]).groupBy("product_id").agg(
+    return with_position(daily, ["product_id"], ["date"]).groupBy("product_id").agg(
         mean.alias("avg_daily_quantity"),
         std.alias("std_daily_quantity"),
         top.alias("max_daily_quantity"),
@@ -45,24 +53,26 @@ def velocity_features(sales: DataFrame, products: DataFrame, as_of: str, days: i
         acceleration("q").alias("quantity_acceleration"),
         (top / F.greatest(low, F.lit(1.0))).alias("peak_to_trough_ratio"),
     )
-    return _for_all(products, f, VELOCITY_DEFAULTS)
 
 
 def channel_features(sales: DataFrame, products: DataFrame, as_of: str, days: int = 30) -> DataFrame:
+    return _for_all(products, channel_measures(sales, as_of, days), {})
+
+
+def channel_measures(sales: DataFrame, as_of: str, days: int) -> DataFrame:
     per = (
         sales.filter(since("date", as_of, days))
         .groupBy("product_id", "channel")
         .agg(F.sum("quantity_sold").alias("q"), F.sum("revenue").alias("r"), F.count(F.lit(1)).alias("n"))
     )
     total = F.greatest(F.sum("q").cast("double"), F.lit(1.0))
-    f = per.groupBy("product_id").agg(
+    return per.groupBy("product_id").agg(
         F.count(F.lit(1)).alias("channel_count"),
         (F.count(F.lit(1)) / F.lit(4.0)).alias("channel_diversity"),
         (F.max("q") / total).alias("dominant_channel_share"),
         *[(F.sum(F.when(F.col("channel") == c, F.col("q")).otherwise(0)) / total).alias(f"{c}_share") for c in CHANNELS],
         ratio(F.sum("r"), F.sum("n")).alias("channel_revenue_efficiency"),
     )
-    return _for_all(products, f, {})
 
 
 def newest(df: DataFrame, n: int, order: list[str], key: str = "product_id") -> DataFrame:
@@ -84,6 +94,10 @@ def slope_newest_first(y: str, min_points: int = 3) -> Column:
 
 
 def inventory_features(stock: DataFrame, products: DataFrame, rows: int = 10) -> DataFrame:
+    return _for_all(products, inventory_measures(stock, rows), INVENTORY_DEFAULTS)
+
+
+def inventory_measures(stock: DataFrame, rows: int = 10) -> DataFrame:
     d = newest(stock, rows, ["ts", "event_id"]).withColumn("free", F.col("stock_level") - F.col("reserved_stock"))
     now = F.max_by(F.struct("stock_level", "reserved_stock", "in_transit"), -F.col("rank"))
     s = F.col("stock_level")
@@ -98,7 +112,7 @@ def inventory_features(stock: DataFrame, products: DataFrame, rows: int = 10) ->
         ((F.max(s) - F.min(s)) / mean).alias("stock_range_ratio"),
         (F.avg("free") / mean).alias("availability_ratio"),
     )
-    f = g.select(
+    return g.select(
         "product_id",
         F.col("now.stock_level").alias("current_stock_level"),
         (F.col("now.stock_level") - F.col("now.reserved_stock")).alias("current_available_stock"),
@@ -107,10 +121,13 @@ def inventory_features(stock: DataFrame, products: DataFrame, rows: int = 10) ->
         *[c for c in g.columns if c not in ("product_id", "now")],
         flag(F.col("now.stock_level") <= F.col("now.reserved_stock")).alias("stockout_risk"),
     )
-    return _for_all(products, f, INVENTORY_DEFAULTS)
 
 
 def sentiment_features(signals: DataFrame, products: DataFrame, as_of: str, days: int = 30) -> DataFrame:
+    return _for_all(products, sentiment_measures(signals, as_of, days), SENTIMENT_DEFAULTS)
+
+
+def sentiment_measures(signals: DataFrame, as_of: str, days: int) -> DataFrame:
     s = signals.filter(since("date", as_of, days))
     n = F.count(F.lit(1))
 
@@ -133,7 +150,7 @@ def sentiment_features(signals: DataFrame, products: DataFrame, as_of: str, days
     pos = split_row_number(long.filter(F.col("v").isNotNull()), ["product_id", "measure"], "ts", "event_id", "position").withColumn("idx", F.col("position") - 1)
     slopes = pos.groupBy("product_id", "measure").agg(trend("v").alias("slope"))
     wide = slopes.groupBy("product_id").agg(*[F.max(F.when(F.col("measure") == m, F.col("slope"))).alias(out) for m, out in measures.items()])
-    return _for_all(products, g.join(wide, "product_id", "left"), SENTIMENT_DEFAULTS)
+    return g.join(wide, "product_id", "left")
 
 
 def calendar_features(d: Column) -> dict[str, Column]:
@@ -162,21 +179,18 @@ def one_hot(c: str, values: list[str], prefix: str) -> list[Column]:
 def feature_set(products: DataFrame, sales: DataFrame, stock: DataFrame, signals: DataFrame, as_of: str, days: int = 30, categories: list[str] | None = None) -> DataFrame:
     """All feature groups side by side with the derived ratios, one row per product."""
 
-    def named(df: DataFrame, prefix: str) -> DataFrame:
-        return df.select("product_id", *[F.col(c).alias(f"{prefix}_{c}") for c in df.columns if c != "product_id"])
-
-    p = products.select(
+    d = products.select(
         "product_id", F.col("unit_cost").alias("product_unit_cost"), F.col("selling_price").alias("product_selling_price"),
         ratio(F.col("selling_price") - F.col("unit_cost"), "selling_price").alias("product_profit_margin"), *one_hot("category", categories or ENCODED_CATEGORIES, "category"),
     )
-    d = p
-    for df, prefix in (
-        (velocity_features(sales, products, as_of, days), "velocity"),
-        (channel_features(sales, products, as_of, days), "channel"),
-        (inventory_features(stock, products), "inventory"),
-        (sentiment_features(signals, products, as_of, days), "sentiment"),
+    for feats, prefix, defaults in (
+        (velocity_measures(sales, as_of, days), "velocity_", VELOCITY_DEFAULTS),
+        (channel_measures(sales, as_of, days), "channel_", {}),
+        (inventory_measures(stock), "inventory_", INVENTORY_DEFAULTS),
+        (sentiment_measures(signals, as_of, days), "sentiment_", SENTIMENT_DEFAULTS),
     ):
-        d = d.join(named(df, prefix), "product_id")
+        have = d.columns
+        d = d.join(feats, "product_id", "left").select(*have, *_filled(feats, defaults, prefix))
     price, demand = F.col("product_selling_price"), "velocity_avg_daily_quantity"
     return d.withColumns(
         {

@@ -152,25 +152,28 @@ def order_attributes(orders: DataFrame) -> DataFrame:
 
 
 def order_totals(orders: DataFrame, items: DataFrame, as_of: str, days: int = 90) -> DataFrame:
-    """Recent orders with their line count, units and sorted product list.
-
-    The list is one array per order; a set keeps it to distinct products, so it is bounded by
-    the assortment and folds before the shuffle however many lines an order has.
-    """
+    """Recent orders with their line count, units and mean line value."""
     recent = orders.filter(since("order_date", as_of, days)).select(
         "order_id", "customer_email", "order_date", F.col("total_price").alias("order_value"), "financial_status"
     )
-    per_order = items.groupBy("order_id").agg(
-        F.count(F.lit(1)).alias("items_count"),
-        F.sum("quantity").alias("total_units"),
-        F.array_join(F.sort_array(F.collect_set("product_id")).cast("array<string>"), ",").alias("products_purchased"),
-    )
+    per_order = items.groupBy("order_id").agg(F.count(F.lit(1)).alias("items_count"), F.sum("quantity").alias("total_units"))
     joined = recent.join(per_order, "order_id", "left")
     return joined.withColumns(
         {"items_count": F.coalesce("items_count", F.lit(0)), "avg_item_value": ratio("order_value", "items_count")}
     )
 
 
+def order_products(orders: DataFrame, items: DataFrame, as_of: str, days: int = 90, span: int = 1000) -> DataFrame:
+    """Products bought per recent order as sorted lists, one list per thousand product numbers.
+
+    A list therefore never holds more than `span` entries, however large the order.
+    """
+    recent = orders.filter(since("order_date", as_of, days)).select("order_id")
+    bought = recent.join(items.select("order_id", "product_id"), "order_id").distinct()
+    g = bought.groupBy("order_id", F.floor(F.col("product_id") / span).cast("bigint").alias("part")).agg(F.sort_array(F.collect_list("product_id")).alias("p"))
+    return g.select("order_id", "part", F.array_join(F.col("p").cast("array<string>"), ",").alias("products_purchased"))
+
+
 def channel_daily_revenue(sales: DataFrame, as_of: str, days: int = 7) -> DataFrame:
     return (
         sales.filter(since("date", as_of, days))

@@ -9,6 +9,7 @@ from ..functions import scalar as fn
 from ..functions.stats import acceleration, trend, with_position, zscores
 from ..operators import features as op
 from ..operators import forecast as fc
+from ..operators.performance import correlation
 from ..sources.tables import EVENT_AS_OF, ORDER_AS_OF, Tables
 from .registry import query
 from .sqltext import EV, define
@@ -492,15 +493,17 @@ def arrays(t: Tables) -> DataFrame:
 
 @query(
     "F10_statistics",
-    """SELECT category, round(avg(selling_price), 4) AS mean, round(stddev_pop(selling_price), 4) AS pop_std, round(stddev_samp(selling_price), 4) AS sample_std, round(median(selling_price), 4) AS median, min(selling_price) AS low, max(selling_price) AS high,
-    round(quantile_cont(selling_price, 0.95), 4) AS p95, round(corr(selling_price, inventory_quantity), 4) AS correlation FROM products GROUP BY 1""",
+    """SELECT product_id, round(avg(q), 4) AS mean, round(stddev_pop(q), 4) AS pop_std, round(stddev_samp(q), 4) AS sample_std, round(median(q), 4) AS median, min(q) AS low, max(q) AS high, round(quantile_cont(q, 0.95), 4) AS p95,
+    round(CASE WHEN isnan(corr(q, f)) THEN NULL ELSE corr(q, f) END, 4) AS correlation FROM (SELECT product_id, CAST(quantity_demanded AS DOUBLE) AS q, CAST(quantity_fulfilled AS DOUBLE) AS f FROM demand WHERE NOT is_forecast) GROUP BY 1""",
     digits=4,
 )
 def statistics(t: Tables) -> DataFrame:
-    p = F.col("selling_price")
-    return t.products.groupBy("category").agg(
-        F.avg(p).alias("mean"), F.stddev_pop(p).alias("pop_std"), F.stddev_samp(p).alias("sample_std"), F.median(p).alias("median"), F.min(p).alias("low"), F.max(p).alias("high"), F.percentile(p, 0.95).alias("p95"),
-        F.corr(p, F.col("inventory_quantity").cast("double")).alias("correlation"),
+    # one row per product and day, so the exact median and percentile hold at most the days of a product
+    d = t.demand.filter(~F.col("is_forecast")).select("product_id", F.col("quantity_demanded").cast("double").alias("q"), F.col("quantity_fulfilled").cast("double").alias("f"))
+    q = F.col("q")
+    return d.groupBy("product_id").agg(
+        F.avg(q).alias("mean"), F.stddev_pop(q).alias("pop_std"), F.stddev_samp(q).alias("sample_std"), F.median(q).alias("median"), F.min(q).alias("low"), F.max(q).alias("high"), F.percentile(q, 0.95).alias("p95"),
+        correlation(q, F.col("f")).alias("correlation"),
     )
 
 

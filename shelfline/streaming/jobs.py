@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date, timedelta
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,17 +16,14 @@ from . import ingest
 
 def rebuild_missing(source: DataFrame, build: Callable[[DataFrame], DataFrame], path: str, as_of: str, days: int = 3) -> None:
     """Build only the recent dates the target lacks; touches only those date partitions."""
-    spark = source.sparkSession
-    built = spark.read.parquet(path).select("date") if _exists(spark, path) else source.select("date").where("false")
+    try:
+        built = source.sparkSession.read.parquet(path).select("date")
+    except AnalysisException:  # nothing built yet
+        built = source.select("date").where("false")
     todo = performance.missing_dates(source, built, as_of, days)
     sinks.overwrite_dates(build(source.join(todo, "date", "left_semi")), path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def weeks(start: str, end: str) -> list[tuple[str, str]]:
     """Seven-day spans covering a range, both ends included."""
     a, b = date.fromisoformat(start), date.fromisoformat(end)

@@ -6,6 +6,8 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
+import io
 import os
 import re
 import sys
@@ -19,7 +21,10 @@ SUSPECT = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "Ar
 
 
 def plan_text(df, mode: str = "formatted") -> str:
-    return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString(mode))
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain(mode)
+    return out.getvalue()
 
 
 def main() -> int:
