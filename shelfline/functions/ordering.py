@@ -111,7 +111,9 @@ def split_row_number(df: DataFrame, keys: Sequence[str], ts: str, tie: str, out:
 
 
 def time_slice(ts: str | Column, seconds: int) -> Column:
-    return F.floor(F.unix_seconds(col(ts).cast("timestamp")) / seconds)
+    """Number of the time slice, counted on the wall clock so no session time zone can reorder slices."""
+    start = F.lit("1970-01-01").cast("timestamp_ntz")
+    return F.floor(F.timestamp_diff("SECOND", start, col(ts).cast("timestamp_ntz")) / seconds)
 
 
 def carry(df: DataFrame, key: str, ts: str, tie: str, values: Sequence[str], forward: bool = True, slice_seconds: int = 3600) -> DataFrame:

@@ -163,7 +163,8 @@ def json_report(t: Tables) -> DataFrame:
 def event_stream(t: Tables) -> DataFrame:
     """The event file as a stream, with the columns of the batch table."""
     schema = t.raw("events").schema
-    d = ingest.files(t.spark, t.sf_dir, schema, "events.parquet", "parquet")
+    # as a pattern the path may be one file or a folder of files
+    d = ingest.files(t.spark, f"{t.sf_dir}/events.parque[t]", schema, fmt="parquet")
     return d.withColumns({"product_id": F.regexp_extract("props", "([0-9]+)", 1).cast("bigint"), "date": F.col("ts").cast("date")})
 
 

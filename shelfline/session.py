@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -39,10 +40,12 @@ def local_session(cores: str = "8", name: str = "shelfline") -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints: the cluster's own, or a scratch one where none is set (tests)."""
+    """Shared folder for written tables: the one the cluster names, or a scratch one on a local session."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     folder = tempfile.mkdtemp(prefix="run-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -58,6 +61,4 @@ def cut(df, label: str):
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A new sub-folder name under the shared checkpoint folder."""
-    import uuid
-
     return os.path.join(checkpoint_dir(spark), f"{label}-{uuid.uuid4().hex}")
