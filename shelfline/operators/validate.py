@@ -337,7 +337,7 @@ def journey_quality(attr: DataFrame) -> DataFrame:
     )
 
 
-def pipeline_health(attr: DataFrame, as_of: str, days: int = 1) -> DataFrame:
+def run_health(attr: DataFrame, as_of: str, days: int = 1) -> DataFrame:
     g = attr.filter(since("date", as_of, days)).agg(
         F.lit(as_of).cast("date").alias("check_date"),
         F.count(F.lit(1)).alias("total_orders_processed"),
