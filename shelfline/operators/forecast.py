@@ -135,7 +135,8 @@ def trend_forecast(demand: DataFrame, days: int = 30, history: int = 30) -> Data
         F.avg("quantity_demanded").alias("m"), slope_newest_first("quantity_demanded", 2).alias("slope"), F.max("date").alias("last_date")
     )
     f = g.select("*", F.explode(F.sequence(F.lit(1), F.lit(days))).alias("i"))
-    units = F.greatest(F.lit(0.0), F.col("m") + F.col("slope") * F.col("i"))
+    # rounding first: a fitted value of 19.9999999 is 20 units, not 19
+    units = F.round(F.greatest(F.lit(0.0), F.col("m") + F.col("slope") * F.col("i")), 6)
     return f.select(
         "product_id", F.date_add("last_date", F.col("i")).alias("date"), whole(units).alias("quantity_demanded"), F.lit(0).cast("bigint").alias("quantity_fulfilled"),
         F.lit(True).alias("is_forecast"), F.lit(FORECAST_CONFIDENCE).alias("confidence_interval"),

@@ -301,7 +301,7 @@ def moving_average(t: Tables) -> DataFrame:
 
 define(
     "trend_rows",
-    """SELECT product_id, CAST(d + i AS DATE) AS date, CAST(floor(greatest(0, m + sl * i)) AS BIGINT) AS quantity_demanded, CAST(0 AS BIGINT) AS quantity_fulfilled, true AS is_forecast, CAST(0.8 AS DOUBLE) AS confidence_interval
+    """SELECT product_id, CAST(d + i AS DATE) AS date, CAST(floor(round(greatest(0, m + sl * i), 6)) AS BIGINT) AS quantity_demanded, CAST(0 AS BIGINT) AS quantity_fulfilled, true AS is_forecast, CAST(0.8 AS DOUBLE) AS confidence_interval
     FROM (SELECT product_id, avg(quantity_demanded) AS m, CASE WHEN count(*) >= 2 THEN regr_slope(quantity_demanded, 0 - k) ELSE 0 END AS sl, max(date) AS d FROM recent_demand WHERE k <= 30 GROUP BY 1), (SELECT CAST(unnest(range(1, 43)) AS INTEGER) AS i)""",
 )
 
