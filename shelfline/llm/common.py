@@ -21,11 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_lists(df: DataFrame, fn: Callable[..., dict[str, list]], schema: str, keep: list[str] = ()) -> DataFrame:
-    """Batch map on Arrow: fn gets the columns outside `keep` as lists and returns the new columns as
-    lists of the same length; the `keep` columns pass through untouched. schema: of the new columns."""
+def map_lists(
+    df: DataFrame, fn: Callable[..., dict[str, list]], schema: str, keep: list[str] = (), read: list[str] | None = None
+) -> DataFrame:
+    """Batch map on Arrow: fn gets the `read` columns (by default those outside `keep`) as lists and returns the new
+    columns as lists of the same length; the `keep` columns pass through untouched. schema: of the new columns."""
     keep = list(keep)
-    given = [c for c in df.columns if c not in keep]
+    given = [c for c in df.columns if c not in keep] if read is None else read
     made = StructType.fromDDL(schema)
     arrow = to_arrow_schema(made)
     out = StructType([df.schema[c] for c in keep] + made.fields)
@@ -36,7 +38,17 @@ def map_lists(df: DataFrame, fn: Callable[..., dict[str, list]], schema: str, ke
             arrays = [batch.column(c) for c in keep] + [pa.array(new[f.name], f.type) for f in arrow]
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in out])
 
-    return df.select(*keep, *given).mapInArrow(run, out)
+    return df.select(*keep, *[c for c in given if c not in keep]).mapInArrow(run, out)
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The columns renamed to _0, _1, ... so that columns added beside them clash with none."""
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+
+
+def renamed(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Columns _0, _1, ... under their names again; all others go."""
+    return df.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(columns)])
 
 
 def byte_words(text: str | None) -> list[bytes]:

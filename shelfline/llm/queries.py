@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash
-from .common import table
+from . import bpe, chat, html, langid, lattice, licenses, minhash, mixing, phrases, quality
+from .common import crc_part, table
+
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+PATTERN = public_tokenizers.PATTERN
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op8_licenses": licenses.sql()}
 
 
 def query(fn):
@@ -18,6 +24,126 @@ def query(fn):
     return fn
 
 
+def sha(column):
+    return F.sha2(column, 256)
+
+
 @query
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.with_next(table(spark, sf_dir, "documents"))
+
+
+#: Weights of the registered mix: domains are the last digit of a source, modulo 4.
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.8, 3, 17
+
+
+def domain():
+    return F.concat(F.lit("d"), F.coalesce((F.regexp_extract("source", r"(\d)$", 1).try_cast("int") % 4).cast("string"), F.lit("x")))
+
+
+def mix_weights() -> dict:
+    by_lang = F.when(F.col("lang") == "en", 3).when(F.col("lang") == "de", 2).when(F.col("lang") == "fr", 2).otherwise(1)
+    return {
+        "domain": F.when(F.col("domain") == "d0", 4).when(F.col("domain") == "d1", 3).when(F.col("domain") == "d2", 2).otherwise(1),
+        "lang": by_lang,
+        "source": F.lit(1),
+    }
+
+
+@query
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), mix_weights(), MIX_SHARE, MIX_EPOCHS, MIX_SEED, domain=domain())
+
+
+SQL["op3_mixing"] = rf"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, 'd' || coalesce(CAST(try_cast(regexp_extract(source, '(\d)$', 1) AS INTEGER) % 4 AS VARCHAR), 'x') AS domain,
+    coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS tokens
+  FROM documents
+), leaves AS (
+  SELECT domain, lang, source, sum(tokens) AS tokens, CAST(sum(tokens) * {MIX_EPOCHS} AS DOUBLE) AS room,
+    CASE domain WHEN 'd0' THEN 4.0 WHEN 'd1' THEN 3.0 WHEN 'd2' THEN 2.0 ELSE 1.0 END AS wd,
+    CASE lang WHEN 'en' THEN 3.0 WHEN 'de' THEN 2.0 WHEN 'fr' THEN 2.0 ELSE 1.0 END AS wl, 1.0 AS ws
+  FROM docs GROUP BY ALL
+), b AS (SELECT floor(sum(tokens) * CAST({MIX_SHARE} AS DOUBLE)) AS given FROM docs),
+d0 AS (SELECT domain, max(wd) AS w, sum(room) AS room, (SELECT given FROM b) AS given FROM leaves GROUP BY ALL),
+d AS (
+  SELECT x.domain, (SELECT max(CASE WHEN lv * x.w > x.room THEN x.room ELSE lv * x.w END) FROM (
+    SELECT (x.given - coalesce((SELECT sum(z.room) FROM d0 z WHERE z.room / z.w < y.room / y.w), 0)) /
+      (SELECT sum(z.w) FROM d0 z WHERE z.room / z.w >= y.room / y.w) AS lv FROM d0 y)) AS given
+  FROM d0 x
+), l0 AS (
+  SELECT domain, lang, max(wl) AS w, sum(room) AS room, any_value(d.given) AS given FROM leaves JOIN d USING (domain) GROUP BY ALL
+), l AS (
+  SELECT x.domain, x.lang, (SELECT max(CASE WHEN lv * x.w > x.room THEN x.room ELSE lv * x.w END) FROM (
+    SELECT (x.given - coalesce((SELECT sum(z.room) FROM l0 z WHERE z.domain = x.domain AND z.room / z.w < y.room / y.w), 0)) /
+      (SELECT sum(z.w) FROM l0 z WHERE z.domain = x.domain AND z.room / z.w >= y.room / y.w) AS lv FROM l0 y WHERE y.domain = x.domain)) AS given
+  FROM l0 x
+), s0 AS (
+  SELECT leaves.domain, leaves.lang, source, ws AS w, room, tokens, l.given FROM leaves JOIN l ON l.domain = leaves.domain AND l.lang = leaves.lang
+), s AS (
+  SELECT x.domain, x.lang, x.source, x.tokens, floor((SELECT max(CASE WHEN lv * x.w > x.room THEN x.room ELSE lv * x.w END) FROM (
+    SELECT (x.given - coalesce((SELECT sum(z.room) FROM s0 z WHERE z.domain = x.domain AND z.lang = x.lang AND z.room / z.w < y.room / y.w), 0)) /
+      (SELECT sum(z.w) FROM s0 z WHERE z.domain = x.domain AND z.lang = x.lang AND z.room / z.w >= y.room / y.w) AS lv
+    FROM s0 y WHERE y.domain = x.domain AND y.lang = x.lang)) + 1e-6) AS budget
+  FROM s0 x
+), p AS (
+  SELECT docs.*, CASE WHEN s.tokens > 0 THEN CAST(floor(budget / s.tokens) AS INTEGER) ELSE 0 END AS whole,
+    CASE WHEN s.tokens > 0 THEN CAST(budget AS BIGINT) % s.tokens ELSE 0 END AS rest
+  FROM docs JOIN s ON docs.domain = s.domain AND docs.lang = s.lang AND docs.source = s.source
+), o AS (
+  SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{MIX_SEED}:' || whole || ':' || coalesce(CAST(doc_id AS VARCHAR), ''))) AS upto FROM p
+)
+SELECT doc_id, domain, lang, source, tokens, CAST(whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS INTEGER) AS epochs FROM o"""
+
+
+@query
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = html.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return text.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@query
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), RANKS, PATTERN)
+    ids = F.col("ids")
+    digest = sha(F.array_join(ids.cast("array<string>"), ","))
+    digested = bpe.decoded(tokens.withColumns({"n_tokens": F.size(ids).cast("bigint"), "ids_sha256": digest}), RANKS, PATTERN)
+    return digested.select("doc_id", "n_tokens", "ids_sha256", sha("decoded").alias("decoded_sha256"))
+
+
+@query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judged(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
+@query
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    both = "</s>[INST] ok [/INST]"
+    planted = said.sparkSession.sql(f"SELECT -1L conv_id, turn, role, '{both}' text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
+    return chat.read_back(chat.formatted(said.unionByName(planted), chat.Instruct()), chat.Instruct())
+
+
+@query
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", crc_part("doc_id", 4) == 2)
+    model = langid.fitted(docs.filter("not held_out"))
+    return langid.identified(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+@query
+def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.scored(table(spark, sf_dir, "documents").select("doc_id", "text"), crc_part("doc_id", 7) != 2, PIECES)
