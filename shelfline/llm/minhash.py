@@ -1,16 +1,17 @@
 """Near-duplicate documents by b-bit MinHash.
 
-Method. A document is its set of distinct five-word shingles. 128 permutations give 128 minima. Bands of four
-full minima name candidate buckets; of every minimum only the low four bits are kept, packed into eight longs.
+Method. A document is its set of distinct five-word shingles. 256 permutations give 256 minima. Bands of five
+full minima name candidate buckets; of every minimum only the low four bits are kept, packed into 16 longs.
 Matching bits, corrected for chance collisions of four-bit values, estimate the similarity of a candidate pair;
 pairs far below the threshold go, the rest are confirmed on their full sets.
 
-No group is ever paired with itself. Equal sets are one class from the start. In a bucket every class is first
-tried against one leader; the confirmed links join classes to components. Only classes which then are not in
-their leader's component (outliers) are tried against the other components in that bucket, so no link between
-different texts is lost, while a bucket of near copies costs one row per member.
+Equal sets are one class from the start. In a bucket every class is tried against one leader, three times with
+different leaders; the confirmed links join classes to components. Only classes which then are outside the
+component of most members of the bucket (outliers) are compared, by bit counts, with the other components in
+that bucket, and then on full sets; of all these comparisons only true links become rows. So no link between
+different texts is lost, while a bucket of near copies costs a few rows per member.
 
-With bands of four, two sets of similarity 0.75 miss each other in all 32 bands with probability 5e-6.
+Two sets of similarity 0.75 miss each other in all 51 bands with probability 1e-6.
 
 Defined results: null and empty texts have an empty set, are linked with nothing and are kept; repeated rows are
 one class; rows with a null doc_id take part, and component_id is null only where no row of a component has an id.
@@ -28,11 +29,15 @@ from .common import U64, byte_words, map_lists, minima, mixed, signed, spread, w
 
 SHINGLE = 5
 SIMILARITY = 75  # percent
-PERMUTATIONS = 128
-BAND = 4
+PERMUTATIONS = 256
+BAND = 5
 BITS = 4
 #: Estimates below the threshold by this many standard deviations are not confirmed on full sets.
-MARGIN = 6
+MARGIN = 5
+#: Bands in which a pair is compared once, whatever further bands it shares.
+PILOTS = 16
+#: Rounds in which a bucket's members are tried against one of them, before outliers are tried against all.
+STAR_ROUNDS = 3
 FIXED = U64(0x100000001B3)
 
 
@@ -58,7 +63,7 @@ def packed(low: np.ndarray) -> np.ndarray:
 
 def bands(low: np.ndarray) -> np.ndarray:
     """One 64-bit bucket name per band of BAND full minima; the band's number is part of the name."""
-    rows = low.reshape(-1, BAND).astype(U64)
+    rows = low[: len(low) // BAND * BAND].reshape(-1, BAND).astype(U64)
     key = mixed(np.arange(1, len(rows) + 1, dtype=U64))
     for i in range(BAND):
         key = mixed(key * FIXED + rows[:, i])
@@ -114,35 +119,51 @@ def _comparable(n_a: Column, n_b: Column, similarity: int) -> Column:
     return F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * similarity
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, similarity: int, permutations: int) -> DataFrame:
-    """Pairs (a, b) of classes that pass the estimate and then the test on their full sets."""
-    sig = classes.select("cid", "sig")
+def near_estimate(similarity: int, permutations: int) -> float:
+    """Least estimate that is still tried on full sets."""
     p = similarity / 100
     match = p + (1 - p) * 2.0**-BITS
-    least = p - MARGIN * (match * (1 - match) / permutations) ** 0.5 / (1 - 2.0**-BITS)
-    near = (
+    return p - MARGIN * (match * (1 - match) / permutations) ** 0.5 / (1 - 2.0**-BITS)
+
+
+def promising(pairs: DataFrame, classes: DataFrame, similarity: int, permutations: int) -> DataFrame:
+    """Pairs (a, b) whose estimate is near enough."""
+    sig = classes.select("cid", "sig")
+    return (
         pairs.join(sig.toDF("a", "sig_a"), "a")
         .join(sig.toDF("b", "sig_b"), "b")
-        .filter(estimated("sig_a", "sig_b", permutations) >= least)
+        .filter(estimated("sig_a", "sig_b", permutations) >= near_estimate(similarity, permutations))
         .select("a", "b")
     )
-    near = cut(near, "near")
-    ends = near.select(F.col("a").alias("cid")).union(near.select("b")).distinct()
-    wanted = ends.join(classes.select("cid", "set_key", "rep"), "cid")
-    named = docs.select("doc_id", "text").join(
-        wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"
-    )
-    unnamed = docs.filter("doc_id is null").select("doc_id", "text")
-    sets = cut(wanted.select("cid", "set_key").join(full_sets(named.union(unnamed), size), "set_key").select("cid", "shingles"), "sets")
-    both = F.size(F.array_intersect("s_a", "s_b"))
+
+
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, similarity: int) -> DataFrame:
+    """Pairs (a, b) of classes that pass the test on their full sets. The sets are made anew, for the classes in
+    question only, from the text of one document each."""
+    near = cut(pairs, "near")
+    sets = sets_of(near.select(F.col("a").alias("cid")).union(near.select("b")), classes, docs, size)
     return (
         near.join(sets.toDF("b", "s_b"), "b")
         .join(sets.toDF("a", "s_a"), "a")
-        .filter(both * 100 >= (F.size("s_a") + F.size("s_b") - both) * similarity)
+        .filter(_similar("s_a", "s_b", similarity))
         .select("a", "b")
     )
 
 
+def sets_of(cids: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """cid and its whole set of shingles."""
+    wanted = cut(cids.distinct().join(classes.select("cid", "set_key", "rep"), "cid"), "wanted")
+    texts = docs.select("doc_id", "text")
+    named = texts.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    unnamed = texts.filter("doc_id is null")
+    found = full_sets(named.union(unnamed), size)
+    return cut(wanted.select("cid", "set_key").join(found, "set_key").select("cid", "shingles"), "sets")
+
+
+def _similar(a: str, b: str, similarity: int) -> Column:
+    return F.size(F.array_intersect(a, b)) * (100 + similarity) >= (F.size(a) + F.size(b)) * similarity
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the smallest node reachable over the edges (a, b). Every node takes its smallest neighbour;
     the trees so made are followed to their roots by doubling, and the graph shrinks to its roots until no edge
@@ -168,6 +189,61 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
+def links(classes: DataFrame, docs: DataFrame, size: int, similarity: int, permutations: int) -> DataFrame:
+    """Confirmed links (a, b) of classes, enough of them for all components."""
+    spots = classes.select("cid", "n", F.posexplode("bands").alias("band", "bucket"))
+    shared = spots.groupBy("bucket").count().filter("count > 1").select("bucket")
+    sig = classes.select("cid", "sig", F.slice("bands", 1, PILOTS).alias("pilots"))
+    members = cut(spots.join(shared, "bucket").join(sig, "cid"), "members")
+    found = None
+    for turn in range(STAR_ROUNDS):
+        placed = _placed(members, found)
+        by = F.col("cid") if turn == 0 else F.xxhash64("cid", "bucket", F.lit(turn))
+        lead = placed.groupBy("bucket").agg(F.min_by(F.struct("cid", "n", "label"), by).alias("lead"), F.min("label").alias("low"), F.max("label").alias("high"))
+        lead = lead.filter("low <> high").select("bucket", F.col("lead.cid").alias("a"), F.col("lead.n").alias("n_a"), F.col("lead.label").alias("label_a"))
+        star = (
+            placed.select("bucket", F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
+            .join(lead, "bucket")
+            .filter((F.col("label_a") != F.col("label_b")) & _comparable(F.col("n_a"), F.col("n_b"), similarity))
+            .select("a", "b")
+            .distinct()
+        )
+        new = cut(confirmed(promising(star, classes, similarity, permutations), classes, docs, size, similarity), "links")
+        found = new if found is None else found.union(new)
+    placed = _placed(members, found)
+    # The label most members of a bucket have; the others are outliers, each against all other labels there.
+    most = placed.groupBy("bucket", "label").count().groupBy("bucket").agg(F.max_by("label", F.struct("count", "label")).alias("most"), F.count("*").alias("labels"))
+    placed = placed.join(most.filter("labels > 1").select("bucket", "most"), "bucket")
+    placed = cut(placed.withColumn("out", F.col("label") != F.col("most")).drop("most"), "placed")
+    left = placed.filter("out").select("bucket", F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"), F.col("sig").alias("sig_a"), "band", F.col("pilots").alias("p_a"))
+    right = placed.select(F.col("bucket").alias("place"), F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"), F.col("sig").alias("sig_b"), "out", F.col("pilots").alias("p_b"))
+    near = (
+        (F.col("bucket") == F.col("place"))
+        & (F.col("label_a") != F.col("label_b"))
+        & (~F.col("out") | (F.col("a") < F.col("b")))
+        & _comparable(F.col("n_a"), F.col("n_b"), similarity)
+    )
+    # A pair that shares one of the first PILOTS bands is compared in the first such band only.
+    for i in range(PILOTS):
+        near = near & ((F.col("band") <= i) | (F.col("p_a")[i] != F.col("p_b")[i]))
+    near = near & (estimated("sig_a", "sig_b", permutations) >= near_estimate(similarity, permutations))
+    # Only members with a promising partner go on, with their full sets; only true links become rows.
+    left = cut(left.join(right, near, "left_semi"), "left")
+    right = cut(right.join(left, near, "left_semi"), "right")
+    sets = sets_of(left.select(F.col("a").alias("cid")).union(right.select("b")), classes, docs, size)
+    left, right = left.join(sets.toDF("a", "s_a"), "a"), right.join(sets.toDF("b", "s_b"), "b")
+    linked = left.join(right, near & _similar("s_a", "s_b", similarity)).select("a", "b")
+    return found.union(linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
+def _placed(members: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Members of shared buckets with the component they are known to be in."""
+    if found is None:
+        return members.withColumn("label", F.col("cid"))
+    labels = components(found).toDF("cid", "label")
+    return cut(members.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid")), "placed")
+
+
 def near_duplicates(
     docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY, permutations: int = PERMUTATIONS, seed: int = 1
 ) -> DataFrame:
@@ -182,38 +258,7 @@ def near_duplicates(
         .withColumn("cid", F.monotonically_increasing_id()),
         "classes",
     )
-    # Buckets of two classes or more, each with its leader (the class of the smallest number).
-    spots = classes.select("cid", "n", F.explode("bands").alias("bucket"))
-    shared = (
-        spots.groupBy("bucket").agg(F.count("*").alias("members"), F.min(F.struct("cid", "n")).alias("lead")).filter("members > 1")
-        .select("bucket", F.col("lead.cid").alias("leader"), F.col("lead.n").alias("leader_n"))
-    )
-    members = cut(spots.join(shared, "bucket"), "members")
-    star = members.filter((F.col("cid") != F.col("leader")) & _comparable(F.col("n"), F.col("leader_n"), similarity))
-    star = star.select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct()
-    edges = cut(confirmed(star, classes, docs, size, similarity, permutations), "links")
-    joined = components(edges)
-    # Outliers: members outside their leader's component, against all other components in the bucket.
-    placed = (
-        members.join(joined.toDF("cid", "label"), "cid", "left")
-        .join(joined.toDF("leader", "leader_label"), "leader", "left")
-        .select("bucket", "cid", "n", F.coalesce("label", "cid").alias("label"), (F.coalesce("label", "cid") != F.coalesce("leader_label", "leader")).alias("out"), "leader")
-    )
-    placed = cut(placed, "placed")
-    out = placed.filter("out").select("bucket", F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
-    rest = placed.filter("cid <> leader").select("bucket", F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"), "out")
-    once = ~F.col("out") | (F.col("a") < F.col("b"))
-    cross = (
-        out.join(rest, "bucket")
-        .filter((F.col("label_a") != F.col("label_b")) & once & _comparable(F.col("n_a"), F.col("n_b"), similarity))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-    )
-    cross = cut(cross, "cross")
-    if not cross.isEmpty():
-        more = cut(confirmed(cross, classes, docs, size, similarity, permutations), "links")
-        if not more.isEmpty():
-            joined = components(edges.union(more))
+    joined = components(links(classes, docs, size, similarity, permutations))
     named = classes.select("cid", "set_key", "rep").join(joined.toDF("cid", "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     roots = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     homes = named.join(roots, "label").select("set_key", "component_id")
