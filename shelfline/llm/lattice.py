@@ -20,6 +20,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from os.path import commonprefix
 
 import pyarrow as pa
 import xxhash
@@ -32,6 +33,8 @@ from .common import byte_words, map_lists
 COMMON = 200_000
 MEMORY = 300_000
 FLUSH = 500_000
+#: Different words of so many texts are scored together.
+CHUNK = 400_000
 WORD, PIECE, DOCS, LENGTH = 0, 1, 2, 3
 MARK = "▁"
 
@@ -50,7 +53,7 @@ def as_text(word: bytes) -> str:
 def counted(docs: DataFrame, path: str) -> DataFrame:
     """kind, key, n: occurrences of words (by hash) and of pieces (by number), number of documents and of words."""
 
-    def rows(words: Counter) -> pa.RecordBatch:
+    def rows(words: Counter) -> tuple[list, list, list]:
         pieces: Counter = Counter()
         found = list(words.items())
         for i in range(0, len(found), 10_000):
@@ -93,47 +96,51 @@ class Lattice:
         log = [math.log((counts.get(i, 0) + 1) / total) for i in range(size)]
         self.end = math.log((ends + 1) / total)
         self.bytes = [log[sp.piece_to_id(f"<0x{b:02X}>")] for b in range(256)]
-        #: Log probability of each piece; None for strings that only begin pieces.
+        #: Log probability of each piece; None for strings that only end pieces.
         self.pieces: dict[str, float | None] = {}
         for i in range(size):
             if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i):
                 continue
             p = sp.id_to_piece(i)
             for k in range(1, len(p)):
-                self.pieces.setdefault(p[:k], None)
+                self.pieces.setdefault(p[k:], None)
             self.pieces[p] = log[i]
 
-    def score(self, word: str) -> float:
-        s = MARK + word
-        n = len(s)
-        forward = [-math.inf] * (n + 1)
-        forward[0] = 0.0
+    def extend(self, forward: list[float], s: str) -> list[float]:
+        """Append the log probability of each further prefix of s; forward[0] = 0 stands for the empty prefix."""
         get = self.pieces.get
-        for i in range(n):
-            here = forward[i]
-            own = get(s[i])
-            if own is None:
-                self._add(forward, i + 1, here + sum(self.bytes[b] for b in s[i].encode(errors="replace")))
-                if s[i] not in self.pieces:
-                    continue
-            j = i + 1
-            while j <= n:
-                p = get(s[i:j], 0.0)
-                if p == 0.0:  # begins no piece
-                    break
+        for end in range(len(forward), len(s) + 1):
+            terms = []
+            start = end - 1
+            p = get(s[start:end], 0.0)
+            if not p:  # a character that is no piece is written in bytes
+                terms.append(forward[start] + sum(self.bytes[b] for b in s[start].encode(errors="replace")))
+            while p != 0.0:
                 if p is not None:
-                    self._add(forward, j, here + p)
-                j += 1
-        return forward[n]
+                    terms.append(forward[start] + p)
+                start -= 1
+                if start < 0:
+                    break
+                p = get(s[start:end], 0.0)
+            if len(terms) == 1:
+                forward.append(terms[0])
+            else:
+                high = max(terms)
+                forward.append(high + math.log(sum([math.exp(t - high) for t in terms])))
+        return forward
 
-    @staticmethod
-    def _add(forward: list[float], i: int, x: float) -> None:
-        y = forward[i]
-        if y == -math.inf:
-            forward[i] = x
-        else:
-            low, high = (x, y) if x < y else (y, x)
-            forward[i] = high + math.log1p(math.exp(low - high))
+    def score(self, word: str) -> float:
+        return self.extend([0.0], MARK + word)[-1]
+
+    def score_sorted(self, words: list[str]) -> list[float]:
+        """Scores of words in ascending order: each goes on from the prefix it shares with the one before."""
+        out, forward, before = [], [0.0], ""
+        for word in words:
+            s = MARK + word
+            del forward[len(commonprefix((before, s))) + 1 :]
+            out.append(self.extend(forward, s)[-1])
+            before = s
+        return out
 
 
 def scored(docs: DataFrame, learn: Column, path: str) -> DataFrame:
@@ -154,31 +161,43 @@ def scored(docs: DataFrame, learn: Column, path: str) -> DataFrame:
     def run(texts):
         if "lattice" not in state:
             state["lattice"], state["known"] = Lattice(path, shared.value[1], ends), {}
-        lattice, known, frequent = state["lattice"], state["known"], shared.value[0]
         out = {"n_tokens": [], "n_common": [], "common_sum": [], "score": [], "rare": []}
-        for text in texts:
-            found = byte_words(text)
+        start = 0
+        while start < len(texts):
+            stop, found, size = start, [], 0
+            while stop < len(texts) and size < CHUNK:
+                found.append(Counter(byte_words(texts[stop])))
+                size += len(found[-1])
+                stop += 1
+            add(found, out)
+            start = stop
+        return out
+
+    def add(found, out):
+        lattice, known, frequent = state["lattice"], state["known"], shared.value[0]
+        if len(known) > MEMORY:
+            known.clear()
+        new = sorted({w for c in found for w in c if w not in known})
+        texts = [as_text(w) for w in new]
+        for w, log in zip(new, lattice.score_sorted(texts), strict=True):
+            key = xxhash.xxh3_64_intdigest(w) - (1 << 63)
+            known[w] = (log, frequent.get(key), key)
+        for words in found:
             total, n_common, log = 0.0, 0, lattice.end
             rare = []
-            for w, times in Counter(found).items():
-                entry = known.get(w)
-                if entry is None:
-                    if len(known) > MEMORY:
-                        known.clear()
-                    key = xxhash.xxh3_64_intdigest(w) - (1 << 63)
-                    entry = known[w] = (lattice.score(as_text(w)), frequent.get(key), key)
-                log += times * entry[0]
-                if entry[1] is not None:
-                    total += times * entry[1]
+            for w, times in words.items():
+                score, common, key = known[w]
+                log += times * score
+                if common is not None:
+                    total += times * common
                     n_common += times
                 else:
-                    rare += [entry[2]] * times
-            out["n_tokens"].append(len(found) + 1)
+                    rare += [key] * times
+            out["n_tokens"].append(words.total() + 1)
             out["n_common"].append(n_common)
             out["common_sum"].append(total)
             out["score"].append(log / math.log(10))
             out["rare"].append(rare)
-        return out
 
     schema = "n_tokens bigint, n_common bigint, common_sum double, score double, rare array<bigint>"
     first = map_lists(docs.select("doc_id", (~learn).alias("held_out"), "text"), run, schema, keep=["doc_id", "held_out"])
