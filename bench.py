@@ -36,7 +36,6 @@ HEADLINE = [
     "R01_current_inventory",
     "R03_unified_marketing_inventory",
     "R05_six_week_reorder",
-    "R13_best_policy",
     "R21_unified_recommendations",
     "S09_keyed_upsert",
     "T04_stream_daily_totals",

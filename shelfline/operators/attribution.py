@@ -1,8 +1,7 @@
 """Customer journeys and revenue attribution.
 
-A journey is the set of touches a customer had since the previous order, no older than the
-look-back window. Each touch therefore belongs to one order: the work and the output are linear
-in the touches, whoever the customer is.
+A journey is the set of touches a customer had in the look-back window before an order. A touch
+counts for every order in whose window it lies.
 """
 
 from __future__ import annotations
@@ -27,19 +26,19 @@ CHUNK = 1000
 
 
 def journey_touches(conversions: DataFrame, touches: DataFrame, days: int = LOOKBACK_DAYS) -> DataFrame:
-    """Every touch with the next order of its customer, kept when that order came within `days`."""
-    order = F.struct("order_id", "order_ts", "revenue", "date", "customer_email", "product_id")
+    """Every order with each touch of its customer in the `days` before it; a touch counts for all such orders.
+
+    Both sides meet on the customer and a time slot of `days` days (an order looks into its own slot and the one
+    before), so a busy customer's history is spread over slots and a hot slot can be split by the join."""
+    slot = lambda ts: F.floor(F.datediff(F.to_date(ts), F.lit("1970-01-01")) / days)
     orders = conversions.select(
-        "customer_id", F.col("order_ts").alias("ts"), F.col("order_id").alias("tie"), order.alias("o"), F.lit(None).cast("string").alias("channel"),
-        F.lit(None).cast("string").alias("campaign_id"),
-    )
-    t = touches.select(
-        "customer_id", F.col("touch_ts").alias("ts"), F.col("touch_id").alias("tie"), F.lit(None).cast(orders.schema["o"].dataType).alias("o"),
-        "channel", "campaign_id",
+        "order_id", "order_ts", "revenue", "date", "customer_email", "product_id", "customer_id",
+        F.explode(F.array(slot("order_ts"), slot("order_ts") - 1)).alias("slot"),
     )
-    both = carry(orders.unionByName(t), "customer_id", "ts", "tie", ["o"], forward=False)
-    return both.filter(F.col("channel").isNotNull() & (F.col("o.order_ts") <= F.col("ts") + F.expr(f"INTERVAL {days} DAYS"))).select(
-        "o.*", "customer_id", "channel", "campaign_id", F.col("ts").alias("touch_ts"), F.col("tie").alias("touch_id")
+    t = touches.select("customer_id", "channel", "campaign_id", "touch_ts", "touch_id", slot("touch_ts").alias("slot"))
+    inside = (F.col("touch_ts") <= F.col("order_ts")) & (F.col("order_ts") <= F.col("touch_ts") + F.expr(f"INTERVAL {days} DAYS"))
+    return orders.join(t, ["customer_id", "slot"]).filter(inside).select(
+        "order_id", "order_ts", "revenue", "date", "customer_email", "product_id", "customer_id", "channel", "campaign_id", "touch_ts", "touch_id"
     )
 
 

@@ -13,8 +13,7 @@ from .sqltext import EV, define
 define(
     "journey_touches",
     """SELECT c.order_id, c.order_ts, c.revenue, c.date, c.customer_email, c.product_id, c.customer_id, t.channel, t.campaign_id, t.touch_ts, t.touch_id
-    FROM touches t ASOF JOIN conversions c ON t.customer_id = c.customer_id AND t.touch_ts <= c.order_ts
-    WHERE c.order_ts - t.touch_ts <= INTERVAL 7 DAY""",
+    FROM touches t JOIN conversions c ON t.customer_id = c.customer_id AND t.touch_ts <= c.order_ts AND c.order_ts - t.touch_ts <= INTERVAL 7 DAY""",
 )
 define(
     "attribution",

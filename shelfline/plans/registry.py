@@ -18,7 +18,7 @@ DIGITS: dict[str, int] = {}
 
 AREAS = [
     "sales", "marketing", "inventory", "performance", "attribution", "snapshot",
-    "features", "quality", "validation", "kpi", "replay", "feeds",
+    "features", "quality", "validation", "kpi", "feeds",
 ]
 
 

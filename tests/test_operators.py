@@ -1,44 +1,13 @@
-"""Hand-computed cases for back-tests, snapshot classes, reorder, KPIs and gap filling."""
+"""Hand-computed cases for snapshot classes, reorder, KPIs and gap filling."""
 
 import datetime as dt
 import math
-import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from shelfline.functions import scalar as fn
-from shelfline.operators import backtest, features, inventory, kpi, marketing, quality, reorder, sales, snapshot, validate
-
-
-def simulate(demands, rp, ss, oq, unit_cost):
-    stock, held, short, events, orders = ss + oq, 0, 0, 0, 0
-    for q in demands:
-        if stock <= rp:
-            stock += oq
-            orders += 1
-        sold = min(q, stock)
-        short += q - sold
-        events += q > sold
-        stock -= sold
-        held += stock
-    return held * unit_cost * 0.25 / 365 + short * 10 + orders * 50, 1 - events / len(demands), orders
-
-
-def test_replay_matches_a_plain_loop(spark):
-    rnd = random.Random(2)
-    rows = [(i, [rnd.randint(0, 30) for _ in range(rnd.randint(1, 40))], rnd.randint(0, 80), rnd.randint(0, 20), rnd.randint(1, 60), 5.0 + i) for i in range(30)]
-    df = spark.createDataFrame(rows, "id int, demands array<bigint>, reorder_point bigint, safety_stock bigint, order_quantity bigint, unit_cost double")
-    for r in backtest.replay(df).collect():
-        _, d, rp, ss, oq, c = rows[r["id"]]
-        cost, service, orders = simulate(d, rp, ss, oq, c)
-        assert r["total_cost"] == pytest.approx(cost) and r["service_level"] == pytest.approx(service) and r["total_orders"] == orders
-
-
-def test_normal_distribution_function(spark):
-    df = spark.createDataFrame([(z / 4,) for z in range(-16, 17)], "z double")
-    for r in df.select("z", backtest.normal_cdf(F.col("z")).alias("p")).collect():
-        assert r["p"] == pytest.approx(0.5 * (1 + math.erf(r["z"] / math.sqrt(2))), abs=1e-6)
+from shelfline.operators import features, inventory, kpi, marketing, quality, reorder, sales, snapshot, validate
 
 
 SNAP = "date date, product_id bigint, product_name string, product_category string, units_sold bigint, revenue double, avg_selling_price double, total_marketing_spend double, total_attributed_revenue double, organic_revenue double, ads_spend double, ads_attributed_revenue double, emails_sent bigint, email_attributed_revenue double"
