@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from .common import map_lists
 
 #: Distinct pieces and token pairs a worker remembers; beyond that it starts afresh.
-MEMORY = 1_000_000
-CHUNK = 4_000_000
+MEMORY = 600_000
+CHUNK = 1_000_000
 
 
 class Prefixes:
