@@ -18,9 +18,15 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from os.path import commonprefix
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -37,6 +43,7 @@ class Prefixes:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
+        self.sizes = {i: len(b) for b, i in ranks.items()}
         self.longest = max(map(len, ranks))
         self.never = max(ranks.values()) + 2
         self.halves: dict[int, tuple[int, int] | None] = {}
@@ -85,15 +92,20 @@ class Prefixes:
 
     def extend(self, last: list[int], data: bytes) -> list[int]:
         """Append to `last` the last token of each further prefix of data; last[0] stands for the empty prefix."""
-        ranks = self.ranks
+        get, size, halves, split, fits, follows = self.ranks.get, self.sizes.__getitem__, self.halves, self.split, self.fits, self.follows
         for end in range(len(last), len(data) + 1):
             # The last token is unique, so any order of trial is right: first the token before it made longer.
-            first = end - 1 - len(self.bytes_of[last[end - 1]]) if end > 1 else 0
-            for start in (first, *range(first + 1, end), *range(first - 1, max(0, end - self.longest) - 1, -1)):
-                token = ranks.get(data[start:end])
-                if token is not None and self.split(token) and (start == 0 or self.follows(last[start], token)):
-                    last.append(token)
-                    break
+            first = end - 1 - size(last[end - 1]) if end > 1 else 0
+            for start in chain((first,), range(first + 1, end), range(first - 1, max(0, end - self.longest) - 1, -1)):
+                token = get(data[start:end])
+                if token is None or not (halves.get(token) or split(token)):
+                    continue
+                if start:
+                    ok = fits.get((last[start], token))
+                    if not (follows(last[start], token) if ok is None else ok):
+                        continue
+                last.append(token)
+                break
             else:
                 raise ValueError("a byte is missing from the vocabulary")
         return last
@@ -103,7 +115,7 @@ class Prefixes:
         out, end = [], len(last) - 1
         while end:
             out.append(last[end])
-            end -= len(self.bytes_of[last[end]])
+            end -= self.sizes[last[end]]
         return out[::-1]
 
     def encode(self, piece: bytes) -> list[int]:
@@ -155,29 +167,17 @@ class Tokenizer:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.prefixes = Prefixes(ranks)
         self.pattern = plain(pattern)
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}  # ids as 32-bit numbers, one after the other
 
     def piece(self, piece: str) -> list[int]:
-        ids = self.known.get(piece)
-        if ids is None:
-            if len(self.known) > MEMORY:
-                self.known.clear()
-            ids = self.prefixes.encode(piece.encode())
-            if len(piece) < 64:
-                self.known[piece] = ids
-        return ids
+        return self.prefixes.encode(piece.encode())
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        known, piece = self.known.get, self.piece
-        for p in self.pattern.findall(text):
-            out += known(p) or piece(p)
-        return out
-
+        return np.frombuffer(next(self.packed([text])), np.int32).tolist()
 
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
-        """Encodings of texts. Pieces not yet known are encoded together, in order, for about CHUNK code points."""
-        out: list[list[int]] = []
+    def packed(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text as 32-bit numbers. Pieces not yet known are encoded together, in order, for about
+        CHUNK code points."""
         start = 0
         while start < len(texts):
             stop, size = start, 0
@@ -187,16 +187,12 @@ class Tokenizer:
             cut = [self.pattern.findall(t) for t in texts[start:stop]]
             if len(self.known) > MEMORY:
                 self.known.clear()
-            new = sorted((p.encode(), p) for p in {p for c in cut for p in c if p not in self.known})
-            fresh = dict(zip((p for _, p in new), self.prefixes.encode_sorted([b for b, _ in new]), strict=True))
-            self.known.update(fresh)
+            new = sorted((p.encode(), p) for p in set().union(*cut).difference(self.known))
+            for (_, p), ids in zip(new, self.prefixes.encode_sorted([b for b, _ in new]), strict=True):
+                self.known[p] = array("i", ids).tobytes()
             for pieces in cut:
-                ids: list[int] = []
-                for known in map(self.known.__getitem__, pieces):
-                    ids += known
-                out.append(ids)
+                yield b"".join(map(self.known.__getitem__, pieces))
             start = stop
-        return out
 
 
 class Encoded:
@@ -237,11 +233,35 @@ class Encoded:
         return done
 
 
+def ranks(path: str) -> dict[bytes, int]:
+    """From a rank file: a line for each token, its bytes in base 64 and its id."""
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
 @lru_cache(maxsize=4)
 def tokenizer(path: str, pattern: str) -> Tokenizer:
-    """From a rank file: a line for each token, its bytes in base 64 and its id. Read once per worker."""
-    with open(path, "rb") as f:
-        return Tokenizer({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern)
+    """Read once per worker."""
+    return Tokenizer(ranks(path), pattern)
+
+
+@lru_cache(maxsize=4)
+def vocabulary(path: str) -> pa.Array:
+    """The bytes of each id, null for numbers that are none; read once per worker."""
+    bytes_of = {i: b for b, i in ranks(path).items()}
+    return pa.array([bytes_of.get(i) for i in range(max(bytes_of) + 1)], pa.binary())
+
+
+def joined(lists: pa.ListArray, words: pa.Array) -> pa.Array:
+    """For each list of ids the bytes that they stand for, one after the other (null: none)."""
+    ids = lists.flatten()
+    parts = pc.take(words, ids)
+    if parts.null_count:
+        raise ValueError("an id is outside the vocabulary")
+    first = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
+    ends = np.concatenate([[0], np.cumsum(pc.binary_length(parts).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    data = parts.buffers()[2] or pa.py_buffer(b"")
+    return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends[first].astype(np.int32)), data])
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -249,7 +269,10 @@ def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: s
     keep = [c for c in docs.columns if c not in (text, ids)]
 
     def run(texts):
-        return {ids: tokenizer(path, pattern).encode_all([t or "" for t in texts])}
+        found = list(tokenizer(path, pattern).packed([t or "" for t in texts]))
+        ends = np.cumsum([0, *map(len, found)], dtype=np.int64) // 4
+        values = np.frombuffer(b"".join(found), np.int32)
+        return {ids: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))}
 
     return map_lists(docs.select(*keep, text), run, f"`{ids}` array<int>", keep=keep)
 
@@ -259,7 +282,6 @@ def decoded(tokens: DataFrame, path: str, pattern: str, ids: str = "ids", out: s
     keep = [c for c in tokens.columns if c != out]
 
     def run(lists):
-        decode = tokenizer(path, pattern).prefixes.decode
-        return {out: [decode(x) if x else b"" for x in lists]}
+        return {out: joined(lists, vocabulary(path))}
 
-    return map_lists(tokens.select(*keep).withColumn("_ids", tokens[ids]), run, f"`{out}` binary", keep=keep)
+    return map_lists(tokens.select(*keep).withColumn("_ids", tokens[ids]), run, f"`{out}` binary", keep=keep, as_lists=False)

@@ -22,10 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def map_lists(
-    df: DataFrame, fn: Callable[..., dict[str, list]], schema: str, keep: list[str] = (), read: list[str] | None = None
+    df: DataFrame, fn: Callable[..., dict[str, list]], schema: str, keep: list[str] = (), read: list[str] | None = None, as_lists: bool = True
 ) -> DataFrame:
-    """Batch map on Arrow: fn gets the `read` columns (by default those outside `keep`) as lists and returns the new
-    columns as lists of the same length; the `keep` columns pass through untouched. schema: of the new columns."""
+    """Batch map on Arrow: fn gets the `read` columns (by default those outside `keep`) as lists, or as Arrow arrays,
+    and returns the new columns as lists or Arrow arrays of the same length; the `keep` columns pass through
+    untouched. schema: of the new columns."""
     keep = list(keep)
     given = [c for c in df.columns if c not in keep] if read is None else read
     made = StructType.fromDDL(schema)
@@ -34,8 +35,9 @@ def map_lists(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = fn(*[batch.column(c).to_pylist() for c in given])
-            arrays = [batch.column(c) for c in keep] + [pa.array(new[f.name], f.type) for f in arrow]
+            new = fn(*[batch.column(c).to_pylist() if as_lists else batch.column(c) for c in given])
+            arrays = [batch.column(c) for c in keep]
+            arrays += [x if isinstance(x := new[f.name], pa.Array) else pa.array(x, f.type) for f in arrow]
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in out])
 
     return df.select(*keep, *[c for c in given if c not in keep]).mapInArrow(run, out)

@@ -1,7 +1,10 @@
 import base64
 import random
 
+import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
+import pytest
 import tiktoken
 from shelfline.llm import bpe
 
@@ -20,7 +23,7 @@ def test_as_the_library():
     texts = ["", "ab" * 20_000] + ["".join(rng.choices(BITS, k=rng.randrange(1, 30))) for _ in range(3000)]
     texts += ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzäöü", k=rng.randrange(1, 60))) for _ in range(1000)]
     want = [theirs.encode_ordinary(t) for t in texts]
-    assert ours.encode_all(texts) == want
+    assert [np.frombuffer(p, np.int32).tolist() for p in ours.packed(texts)] == want
     assert [ours.encode(t) for t in texts] == want
     assert all(ours.prefixes.decode(i).decode() == t for i, t in zip(want, texts, strict=True))
 
@@ -42,3 +45,15 @@ def test_frame(spark):
     rows = bpe.decoded(bpe.encoded(docs, PATH, P.PATTERN), PATH, P.PATTERN).collect()
     assert sorted((r.doc_id or 0, len(r.ids), bytes(r.decoded)) for r in rows) == [(0, 2, b"Ab c"), (1, 0, b""), (2, 0, b""), (2, 0, b"")]
     assert bpe.encoded(docs.limit(0), PATH, P.PATTERN).count() == 0
+
+
+def test_joined_bytes_of_lists():
+    words = pa.array([b"a", None, b"", b"cd"], pa.binary())
+    lists = pa.array([[0], [], [3, 2, 0], None, [3]], pa.list_(pa.int32()))
+    assert bpe.joined(lists, words).to_pylist() == [b"a", b"", b"cda", b"", b"cd"]
+    assert bpe.joined(lists[1:], words).to_pylist() == [b"", b"cda", b"", b"cd"]
+    assert bpe.joined(lists[:0], words).to_pylist() == []
+    assert bpe.joined(pa.array([[], None], pa.list_(pa.int32())), words).to_pylist() == [b"", b""]
+    for wrong in (1, 4):
+        with pytest.raises((ValueError, pa.ArrowInvalid, IndexError)):
+            bpe.joined(pa.array([[wrong]], pa.list_(pa.int32())), words)
