@@ -16,6 +16,9 @@ U64 = np.uint64
 # Fixed odd multipliers of a 64-bit finaliser.
 MIX_1, MIX_2, STEP = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB), U64(0x9E3779B97F4A7C15)
 
+#: Rows that a Python worker holds as lists at a time.
+SLICE = 1000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,7 +29,7 @@ def map_lists(
 ) -> DataFrame:
     """Batch map on Arrow: fn gets the `read` columns (by default those outside `keep`) as lists, or as Arrow arrays,
     and returns the new columns as lists or Arrow arrays of the same length; the `keep` columns pass through
-    untouched. schema: of the new columns."""
+    untouched. schema: of the new columns. Batches are worked off SLICE rows at a time."""
     keep = list(keep)
     given = [c for c in df.columns if c not in keep] if read is None else read
     made = StructType.fromDDL(schema)
@@ -34,7 +37,7 @@ def map_lists(
     out = StructType([df.schema[c] for c in keep] + made.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
             new = fn(*[batch.column(c).to_pylist() if as_lists else batch.column(c) for c in given])
             arrays = [batch.column(c) for c in keep]
             arrays += [x if isinstance(x := new[f.name], pa.Array) else pa.array(x, f.type) for f in arrow]
