@@ -78,6 +78,8 @@ def split(df: DataFrame, feed: str) -> tuple[DataFrame, DataFrame]:
     rules = business_rules(feed)
     keys = [(f"missing_{c}", F.col(c).isNull()) for c in FEEDS[feed]["required"] if c in df.columns]
     broken = [F.when(c, F.lit(n)) for n, c in keys] + [F.when(c, F.lit(n)) for n, level, c in rules if level == "error"]
+    if "malformed" in df.columns:
+        broken.append(F.when(F.col("malformed"), F.lit("malformed_row")))
     d = df.withColumn("issues", F.filter(F.array(*broken), lambda x: x.isNotNull()))
     return d.filter(F.size("issues") == 0).drop("issues"), d.filter(F.size("issues") > 0)
 
@@ -429,7 +431,8 @@ def attribution_alerts(attr: DataFrame) -> DataFrame:
 def product_alerts(perf: DataFrame, products: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     """Day-on-day revenue changes above 200%, ROAS outliers, negative stock; days missing over 5% of active products.
 
-    `products` are the products expected daily; missing ones are counted from distinct products per day.
+    `products` are the products expected daily; missing ones are counted from distinct products on each day of the
+    window's calendar, which ends the day before `as_of`, so a day without rows misses all of them.
     """
     p = perf.filter(since("date", as_of, days))
     prev = F.lag("revenue").over(Window.partitionBy("product_id").orderBy("date"))
@@ -443,7 +446,11 @@ def product_alerts(perf: DataFrame, products: DataFrame, as_of: str, days: int =
     rows = d.select("date", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("alert")).groupBy("date", "alert").agg(F.count(F.lit(1)).cast("double").alias("value"))
     total = products.agg(F.greatest(F.count(F.lit(1)), F.lit(1))).scalar()
     seen = p.join(products.select("product_id"), "product_id", "left_semi").groupBy("date").agg(F.countDistinct("product_id").alias("n"))
-    gap = seen.select("date", F.lit("missing_products").alias("alert"), (1 - F.col("n") / total).alias("value")).filter(F.col("value") > 0.05)
+    until = F.lit(as_of).cast("date")
+    calendar = products.sparkSession.range(1).select(F.explode(F.sequence(F.date_sub(until, days), F.date_sub(until, 1))).alias("date"))
+    expected = calendar.union(seen.select("date")).distinct().join(seen, "date", "left")
+    share = 1 - F.coalesce("n", F.lit(0)) / total
+    gap = expected.select("date", F.lit("missing_products").alias("alert"), share.alias("value")).filter(F.col("value") > 0.05)
     return rows.unionByName(gap)
 
 

@@ -34,7 +34,7 @@ def csv_scan(t: Tables) -> DataFrame:
 def typed_feed(t: Tables) -> DataFrame:
     path = scratch(t.spark, "feed")
     sinks.write_csv(raw_sales(t), path)
-    return feeds.read_feed(t.spark, path, "sales").drop("file_name")
+    return feeds.read_feed(t.spark, path, "sales").drop("file_name", "raw", "malformed")
 
 
 @query(
@@ -196,9 +196,7 @@ def stream_validate(t: Tables) -> DataFrame:
     drop = scratch(t.spark, "drop")
     sinks.write_csv(raw_sales(t).select(*[c if c in ("date", "product_id", "channel", "quantity_sold", "revenue", "customer_segment") else F.lit(None).cast("string").alias(c) for c in feeds.declared("sales")]), drop)
     out, check = _paths(t, "validate")
-    names = feeds.text_schema(feeds.declared("sales"))
-    stream = ingest.files(t.spark, drop, names).select("*", F.col("_metadata.file_name").alias("file_name"))
-    ingest.validated(stream, "sales", out, check)
+    ingest.validated(ingest.feed_files(t.spark, drop, "sales", glob="*.csv"), "sales", out, check)
     sides = [t.spark.read.parquet(f"{out}/{s}").select(F.lit(s).alias("side"), "revenue") for s in ("valid", "quarantine")]
     return sides[0].unionByName(sides[1]).groupBy("side").agg(F.count(F.lit(1)).alias("rows"), F.sum("revenue").alias("revenue"))
 
@@ -228,12 +226,15 @@ def stream_totals(t: Tables) -> DataFrame:
     FROM stock s JOIN parameters r ON r.product_id = s.product_id AND is_active GROUP BY 1) WHERE stock_level <= reserved_stock OR stock_level <= reorder_point""",
 )
 def stream_alerts(t: Tables) -> DataFrame:
+    """The stock updates arrive in three files whose times overlap, one file a batch."""
     out, check = _paths(t, "alerts")
-    s = event_stream(t).filter(F.col("event_type") == "view").select(
-        "event_id", "ts", "product_id", F.floor("value").cast("bigint").alias("stock_level"), (F.col("event_id") % 7).alias("reserved_stock")
-    )
+    drop = scratch(t.spark, "updates")
+    for part in range(3):
+        t.events.filter((F.col("event_type") == "view") & (F.col("event_id") % 3 == part)).coalesce(1).write.parquet(f"{drop}/part{part}")
+    updates = ingest.files(t.spark, f"{drop}/*", t.events.schema, fmt="parquet", per_trigger=1)
+    s = updates.select("event_id", "ts", "product_id", F.floor("value").cast("bigint").alias("stock_level"), (F.col("event_id") % 7).alias("reserved_stock"))
     ingest.stock_alerts(s, t.parameters.filter("is_active"), out, check)
-    return t.spark.read.parquet(out).select("product_id", "stock_level", "reserved_stock", "reorder_point", "alert")
+    return ingest.current_alerts(t.spark, out).select("product_id", "stock_level", "reserved_stock", "reorder_point", "alert")
 
 
 @query(
@@ -312,19 +313,19 @@ def daily_job(t: Tables) -> DataFrame:
     declared = feeds.declared("sales")
     raw = raw_sales(t)
     sinks.write_csv(raw.select(*[c if c in raw.columns else F.lit(None).cast("string").alias(c) for c in declared]), drop)
-    stream = ingest.files(t.spark, drop, feeds.text_schema(declared)).select("*", F.col("_metadata.file_name").alias("file_name"))
+    stream = ingest.feed_files(t.spark, drop, "sales", glob="*.csv")
     tables = {"sales": t.sales, "stock": t.stock, "signals": t.signals, "products": t.products}
     report = jobs.daily_job(t.spark, {"sales": stream}, root, tables, EVENT_AS_OF, "2024-01-30")
     ok = F.when(F.col("files_processed") > 0, 1).otherwise(0).cast("bigint")
     return report.select("date", ok.alias("files_ok"), "records_processed", "success_rate", "quality_score")
 
 
-@query("S04_newest_file", "SELECT date, count(*) AS rows FROM conversions GROUP BY 1")
+@query("S04_newest_file", "SELECT 'new' AS version, date, count(*) AS rows FROM conversions GROUP BY 2")
 def newest_file(t: Tables) -> DataFrame:
-    """Daily files written in two goes; the rows of the later write are the newest of each day."""
+    """Daily files written in two goes, every row twice in the first; the later write is the newest."""
     path = scratch(t.spark, "snapshots")
-    for part in ("old", "new"):
-        rows = t.conversions.select("date", F.lit(part).alias("version"))
-        rows.write.mode("overwrite").option("header", True).csv(f"{path}/{part}")
+    rows = t.conversions.select("date")
+    for part, d in (("old", rows.union(rows)), ("new", rows)):
+        d.withColumn("version", F.lit(part)).write.option("header", True).csv(f"{path}/{part}")
     d = feeds.newest_write(t.spark, [f"{path}/old", f"{path}/new"])
-    return d.filter(F.col("version") == "new").groupBy(F.col("date").cast("date").alias("date")).agg(F.count(F.lit(1)).alias("rows"))
+    return d.groupBy("version", F.col("date").cast("date").alias("date")).agg(F.count(F.lit(1)).alias("rows"))

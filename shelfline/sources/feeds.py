@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,12 +47,45 @@ def text_schema(columns) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
-def read_csv(spark: SparkSession, path: str, columns=None) -> DataFrame:
-    """CSV with a header, read as text; a byte-order mark on the first column name is dropped."""
-    reader = spark.read.option("header", True).option("encoding", "UTF-8").option("escape", '"').option("multiLine", False)
-    df = reader.schema(text_schema(columns)).csv(path) if columns else reader.csv(path)
-    first = df.columns[0]
-    return df.withColumnRenamed(first, first.lstrip("﻿"))
+#: Columns beside those of the files: the name of the file, and the whole line where it doesn't fit its header.
+FILE, BAD = "_file_name", "_bad_line"
+
+
+def layouts(spark: SparkSession, path: str | list[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files by the column names of their header line, in order. A byte-order mark and blanks around names are
+    dropped; a name that occurs again gets a number; files without any line are left out. One row per different
+    header line, with its file names, reaches the driver."""
+    lines = spark.read.text(path).filter("_metadata.file_block_start = 0")
+    lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"))
+    heads = lines.groupBy("file").agg(F.min_by("value", "row").alias("head")).groupBy("head").agg(F.collect_list("file").alias("files"))
+    found: dict[tuple[str, ...], list[str]] = {}
+    for r in heads.collect():
+        names: list[str] = []
+        for name in next(csv.reader([r.head.lstrip("\ufeff")]), []):
+            name = name.strip()
+            names.append(name if name not in names else f"{name}_{len(names) + 1}")
+        found.setdefault(tuple(names), []).extend(map(unquote, r.files))
+    return found
+
+
+def by_header(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
+    """CSV files as text columns, found by name: files with different column orders are read apart and united, and
+    a column that a file lacks is null there. Lines with too many or too few fields carry their text in BAD.
+    multi_line: fields may hold line breaks; without them large files can be split between tasks."""
+    reader = spark.read.option("header", True).option("encoding", "UTF-8").option("escape", '"').option("multiLine", multi_line)
+    parts = []
+    for names, files in sorted(layouts(spark, path).items()):
+        d = reader.schema(text_schema([*names, BAD])).option("columnNameOfCorruptRecord", BAD).csv(files)
+        parts.append(d.select("*", F.col("_metadata.file_name").alias(FILE)))
+    if not parts:
+        return spark.createDataFrame([], text_schema([BAD, FILE]))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def read_csv(spark: SparkSession, path: str | list[str], columns=None) -> DataFrame:
+    """CSV files with headers as text columns (those named, or all), by name."""
+    d = by_header(spark, path).drop(BAD, FILE)
+    return d.select(*[F.col(c) if c in d.columns else F.lit(None).cast("string").alias(c) for c in columns]) if columns else d
 
 
 def typed(raw: DataFrame, types: dict[str, str]) -> DataFrame:
@@ -56,11 +93,13 @@ def typed(raw: DataFrame, types: dict[str, str]) -> DataFrame:
     return raw.select(*[F.col(c).try_cast(t).alias(c) if c in raw.columns else F.lit(None).cast(t).alias(c) for c, t in types.items()])
 
 
-def read_feed(spark: SparkSession, path: str, feed: str) -> DataFrame:
-    """Typed feed scan with the file name of each row; undeclared or absent columns become null."""
-    raw = read_csv(spark, path)
-    d = raw.select("*", F.col("_metadata.file_name").alias("file_name"))
-    return d.select(*[c for c in typed_columns(d, feed)], "file_name")
+def read_feed(spark: SparkSession, path: str | list[str], feed: str) -> DataFrame:
+    """Typed feed scan, columns found by name; absent ones are null. Beside them: file_name, raw (the fields as
+    JSON before any cast, or the whole line where it doesn't fit its header) and malformed (it doesn't fit)."""
+    d = by_header(spark, path)
+    fields = [F.col(f"`{c}`") for c in d.columns if c not in (BAD, FILE)]
+    raw = F.coalesce(F.col(BAD), F.to_json(F.struct(*fields))) if fields else F.col(BAD)
+    return d.select(*typed_columns(d, feed), F.col(FILE).alias("file_name"), raw.alias("raw"), F.col(BAD).isNotNull().alias("malformed"))
 
 
 def typed_columns(df: DataFrame, feed: str) -> list[Column]:
@@ -81,17 +120,23 @@ def route(name: str | Column) -> Column:
 
 
 def newest_file(spark: SparkSession, directory: str) -> DataFrame:
-    """Rows of the most recently written CSV of a directory."""
-    df = spark.read.option("header", True).csv(directory).select("*", F.col("_metadata.file_modification_time").alias("written"), F.col("_metadata.file_name").alias("file_name"))
-    newest = df.agg(F.max(F.struct("written", "file_name"))).scalar()
-    return df.filter(F.struct("written", "file_name") == newest).drop("written")
+    """Rows of the most recently written CSV of a directory, of equally new ones the last by name; only that
+    file is read."""
+    newest = _written(spark, directory).agg(F.max(F.struct("modificationTime", "path")).alias("x")).select("x.path").first()
+    return by_header(spark, [newest.path]).drop(BAD).withColumnRenamed(FILE, "file_name")
+
+
+def _written(spark: SparkSession, directory: str) -> DataFrame:
+    """Path and time of each CSV of a directory; the contents are not read."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(directory).select("path", "modificationTime")
 
 
 def newest_write(spark: SparkSession, directories: list[str]) -> DataFrame:
-    """Rows of the directory whose files were written last, for snapshots that span many files."""
-    df = spark.read.option("header", True).csv(directories).select("*", F.col("_metadata.file_modification_time").alias("written"), F.regexp_extract(F.col("_metadata.file_path"), "^(.*)/", 1).alias("folder"))
-    newest = df.agg(F.max_by("folder", F.struct("written", "folder"))).scalar()
-    return df.filter(F.col("folder") == newest).drop("written", "folder")
+    """Rows of the directory whose files were written last, of equally new ones the last in the list, for snapshots
+    that span many files; only that directory's files are read."""
+    times = [_written(spark, d).agg(F.max("modificationTime").alias("t")).select("t", F.lit(i).alias("i")) for i, d in enumerate(directories)]
+    newest = reduce(DataFrame.union, times).filter("t is not null").agg(F.max(F.struct("t", "i")).alias("x")).select("x.i").first()
+    return read_csv(spark, directories[newest.i])
 
 
 def _fill(raw: DataFrame, defaults: dict) -> dict[str, Column]:

@@ -29,10 +29,11 @@ def files(spark: SparkSession, path: str, schema: T.StructType, glob: str | None
     return r.load(path)
 
 
-def feed_files(spark: SparkSession, path: str, feed: str, per_trigger: int | None = None) -> DataFrame:
-    """Files of one feed kind, found by name, as text columns with their file name."""
-    d = files(spark, path, feeds.text_schema(feeds.declared(feed)), f"*{feed}*.csv", per_trigger=per_trigger)
-    return d.select("*", F.col("_metadata.file_name").alias("file_name"))
+def feed_files(spark: SparkSession, path: str, feed: str, per_trigger: int | None = None, glob: str | None = None) -> DataFrame:
+    """Paths of the files of one feed kind, found by name, each once. Their contents are read by `validated`, which
+    looks up each file's own header."""
+    schema = T.StructType.fromDDL("path string, modificationTime timestamp, length bigint, content binary")
+    return files(spark, path, schema, glob or f"*{feed}*.csv", "binaryFile", per_trigger).select("path")
 
 
 def run_to_end(df: DataFrame, checkpoint: str, batch: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
@@ -53,22 +54,26 @@ def ingest(stream: DataFrame, path: str, checkpoint: str) -> None:
 
 
 def validated(stream: DataFrame, feed: str, root: str, checkpoint: str) -> None:
-    """Per batch: cast, split by the feed's error rules, write valid rows, quarantine and a log row per file."""
-    types = feeds.declared(feed)
+    """Per batch of files (see feed_files): read by header, cast, split by the feed's error rules, write valid rows,
+    quarantine (with the raw text of each row) and a log row per file. Rows of a file that lacks a required column
+    are quarantined."""
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        d = df.select(*feeds.typed_columns(df, feed), "file_name")
-        good, bad = validate.split(d, feed)
-        _put(feeds.with_defaults(good, feed), f"{root}/valid", batch_id)
-        _put(bad, f"{root}/quarantine", batch_id)
-        rows = good.select("file_name", F.lit(feed).alias("file_type"), F.lit(True).alias("is_valid")).unionByName(
-            bad.select("file_name", F.lit(feed).alias("file_type"), F.lit(False).alias("is_valid"))
-        )
-        _put(sinks.ingestion_log(rows), f"{root}/log", batch_id)
-
-    missing = [c for c in types if c not in stream.columns]
-    if missing:
-        raise ValueError(f"stream lacks declared columns {missing}")
+        spark = df.sparkSession
+        paths = [r.path for r in df.collect()]
+        if not paths:
+            return
+        good, bad = validate.split(feeds.read_feed(spark, paths, feed), feed)
+        _put(feeds.with_defaults(good.drop("raw", "malformed"), feed), f"{root}/valid", batch_id)
+        _put(bad.drop("malformed"), f"{root}/quarantine", batch_id)
+        sides = [
+            spark.read.parquet(f"{root}/{side}/batch={batch_id}").select("file_name", F.lit(feed).alias("file_type"), F.lit(ok).alias("is_valid"))
+            for side, ok in (("valid", True), ("quarantine", False))
+        ]
+        _put(sinks.ingestion_log(sides[0].unionByName(sides[1])), f"{root}/log", batch_id)
+
+    if stream.columns != ["path"]:
+        raise ValueError(f"a stream of file paths is wanted; this one lacks declared columns or has others: {stream.columns}")
     run_to_end(stream, checkpoint, batch)
 
 
@@ -97,18 +102,27 @@ def current_totals(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stock_alerts(stream: DataFrame, rules: DataFrame, path: str, checkpoint: str) -> None:
-    """Stock updates joined to the reorder rules; per batch the latest update per product at or below its point."""
+    """Stock updates joined to the reorder rules; per batch the latest update of each product with its alert, "none"
+    where the level is above the point, so that a recovered product closes its alert (see current_alerts)."""
     joined = stream.join(rules.select("product_id", "reorder_point"), "product_id")
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        cols = ["stock_level", "reserved_stock", "reorder_point", "ts"]
+        cols = ["stock_level", "reserved_stock", "reorder_point", "ts", "event_id"]
         last = df.groupBy("product_id").agg(F.max_by(F.struct(*cols), F.struct("ts", "event_id")).alias("x")).select("product_id", "x.*")
         level = F.when(F.col("stock_level") <= F.col("reserved_stock"), "stockout").when(F.col("stock_level") <= F.col("reorder_point"), "reorder")
-        _put(last.withColumn("alert", level).filter(F.col("alert").isNotNull()), path, batch_id)
+        _put(last.withColumn("alert", level.otherwise("none")), path, batch_id)
 
     run_to_end(joined, checkpoint, batch)
 
 
+def current_alerts(spark: SparkSession, path: str) -> DataFrame:
+    """Alerts that stand: each product's newest update over all batches, also where an older one arrived later."""
+    t = spark.read.parquet(path)
+    cols = [c for c in t.columns if c not in ("product_id", "batch")]
+    last = t.groupBy("product_id").agg(F.max_by(F.struct(*cols), F.struct("ts", "event_id")).alias("x")).select("product_id", "x.*")
+    return last.filter("alert <> 'none'")
+
+
 def freshness(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Newest time and row count per source, carried across batches."""
     g = stream.groupBy("source").agg(F.max("ts").alias("latest"), F.count(F.lit(1)).alias("rows"))

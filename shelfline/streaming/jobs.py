@@ -18,7 +18,10 @@ def rebuild_missing(source: DataFrame, build: Callable[[DataFrame], DataFrame],
     """Build only the recent dates the target lacks; touches only those date partitions."""
     try:
         built = source.sparkSession.read.parquet(path).select("date")
-    except AnalysisException:  # nothing built yet
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        # nothing built yet
         built = source.select("date").where("false")
     todo = performance.missing_dates(source, built, as_of, days)
     sinks.overwrite_dates(build(source.join(todo, "date", "left_semi")), path)

@@ -56,6 +56,55 @@ def test_rule_counts_on_corrupted_samples(spark, tmp_path):
     assert got == {"negative_stock": 1, "reserved_over_stock": 1}
 
 
+SWAPPED = """product_id,date,revenue,quantity_sold,channel
+P8,2025-07-15T10:00:00,42.5,3,online
+P9,2025-07-15T10:00:00,7.0,1,"on
+line"
+P10,2025-07-15T10:00:00,7.0,2,pos,EXTRA,FIELDS
+P11,2025-07-15T10:00:00,many,2,pos
+"""
+
+
+def test_columns_are_found_by_name_in_files_of_different_order(spark, tmp_path):
+    put(tmp_path / "sales_a.csv", BAD_SALES)
+    put(tmp_path / "sales_b.csv", SWAPPED, "utf-8-sig")
+    put(tmp_path / "sales_c.csv", "")
+    put(tmp_path / "sales_d.csv", "product_id,channel\nP12,online\n")
+    d = feeds.read_feed(spark, str(tmp_path), "sales")
+    rows = {r["product_id"]: r for r in d.collect()}
+    assert len(rows) == 9
+    assert (rows["P8"]["revenue"], rows["P8"]["quantity_sold"], rows["P8"]["channel"], rows["P8"]["file_name"]) == (42.5, 3, "online", "sales_b.csv")
+    assert rows["P9"]["channel"] == "on\nline"
+    assert (rows["P1"]["revenue"], rows["P1"]["quantity_sold"]) == (50.0, 5)
+    good, bad = validate.split(d, "sales")
+    assert sorted(r["product_id"] for r in good.collect()) == ["P1", "P8", "P9"]
+    why = {r["product_id"]: (r["issues"], r["raw"]) for r in bad.collect()}
+    assert why["P10"][0] == ["malformed_row"] and "EXTRA,FIELDS" in why["P10"][1]
+    assert why["P11"][0] == ["missing_revenue"] and '"revenue":"many"' in why["P11"][1]
+    assert "missing_date" in why["P12"][0]
+    assert feeds.read_csv(spark, str(tmp_path), ["revenue", "nothing"]).filter("revenue = '42.5' and nothing is null").count() == 1
+
+
+def test_newest_write_reads_one_folder_only_and_ties_fall_to_the_last(spark, tmp_path):
+    for name in ("b", "a"):
+        (tmp_path / name).mkdir()
+        os.utime(put(tmp_path / name / "x.csv", f"v\n{name}\n"), (1000, 1000))
+    folders = [str(tmp_path / "b"), str(tmp_path / "a")]
+    assert [r["v"] for r in feeds.newest_write(spark, folders).collect()] == ["a"]
+    os.utime(tmp_path / "b" / "x.csv", (2000, 2000))
+    assert [r["v"] for r in feeds.newest_write(spark, folders).collect()] == ["b"]
+
+
+def test_a_day_without_rows_misses_all_products(spark):
+    perf = spark.createDataFrame(
+        [(dt.date(2024, 1, d), p, 1.0, 0.0, 0.0, 1) for d in (1, 3) for p in (1, 2)],
+        "date date, product_id bigint, revenue double, total_attributed_revenue double, total_marketing_spend double, inventory_level bigint",
+    )
+    products = spark.createDataFrame([(1,), (2,)], "product_id bigint")
+    got = validate.product_alerts(perf, products, "2024-01-05", 4).collect()
+    assert sorted((r["date"].day, r["alert"], r["value"]) for r in got) == [(2, "missing_products", 1.0), (4, "missing_products", 1.0)]
+
+
 def test_type_losses(spark, tmp_path):
     raw = feeds.read_csv(spark, put(tmp_path / "sales.csv", BAD_SALES))
     got = {r["column"]: (r["lost"], r["level"]) for r in validate.type_losses(raw, "sales").collect()}

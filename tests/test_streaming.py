@@ -81,7 +81,7 @@ def test_stock_alerts_and_freshness(spark, tmp_path):
     rules = spark.createDataFrame([(7, 5), (8, 5)], "product_id bigint, reorder_point bigint")
     out = str(tmp_path / "alerts")
     ingest.stock_alerts(s, rules, out, str(tmp_path / "c1"))
-    assert [(r["product_id"], r["alert"]) for r in spark.read.parquet(out).collect()] == [(7, "stockout")]
+    assert [(r["product_id"], r["alert"]) for r in ingest.current_alerts(spark, out).collect()] == [(7, "stockout")]
     f = str(tmp_path / "fresh")
     src = s.select(F.lit("stock").alias("source"), "ts")
     ingest.freshness(src, f, str(tmp_path / "c2"))
@@ -89,6 +89,26 @@ def test_stock_alerts_and_freshness(spark, tmp_path):
     assert [(r["source"], r["rows"], r["latest"]) for r in got] == [("stock", 3, dt.datetime(2024, 1, 1, 8))]
 
 
+def test_stock_alerts_close_and_late_updates_raise_none(spark, tmp_path):
+    parts = [[(1, 1, 7, 0), (2, 9, 8, 100)], [(3, 2, 7, 500), (4, 3, 8, 0)], [(5, 3, 9, 2), (6, 1, 9, 90)]]
+    s = batches(spark, tmp_path, parts).select("event_id", "ts", "product_id", F.col("quantity_sold").alias("stock_level"), F.lit(0).cast("bigint").alias("reserved_stock"))
+    rules = spark.createDataFrame([(7, 5), (8, 5), (9, 5)], "product_id bigint, reorder_point bigint")
+    out = str(tmp_path / "alerts")
+    ingest.stock_alerts(s, rules, out, str(tmp_path / "c"))
+    assert [(r["product_id"], r["alert"]) for r in ingest.current_alerts(spark, out).collect()] == [(9, "reorder")]
+
+
+def test_feed_stream_finds_columns_by_name_and_keeps_raw_text(spark, tmp_path):
+    box = tmp_path / "drop"
+    drop(box, "sales_1.csv", [(day(1), "P1", "online", 2, 20.0), (day(1), "P2", "pos", "lots", 5.0)])
+    (box / "sales_2.csv").write_text("date,product_id,revenue,channel,quantity_sold\n" + f"{day(2)},P3,99.5,online,3\n")
+    root = str(tmp_path / "out")
+    ingest.validated(ingest.feed_files(spark, str(box), "sales"), "sales", root, str(tmp_path / "check"))
+    good = {r["product_id"]: (r["revenue"], r["channel"], r["quantity_sold"]) for r in spark.read.parquet(f"{root}/valid").collect()}
+    assert good == {"P1": (20.0, "online", 2), "P3": (99.5, "online", 3)}
+    assert ['"quantity_sold":"lots"' in r["raw"] for r in spark.read.parquet(f"{root}/quarantine").collect()] == [True]
+
+
 def _per_day(df):
     return df.groupBy("date").agg(F.count(F.lit(1)).alias("n"))
 
