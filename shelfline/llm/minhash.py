@@ -194,7 +194,7 @@ def links(classes: DataFrame, docs: DataFrame, size: int, similarity: int, permu
     spots = classes.select("cid", "n", F.posexplode("bands").alias("band", "bucket"))
     shared = spots.groupBy("bucket").count().filter("count > 1").select("bucket")
     sig = classes.select("cid", "sig", F.slice("bands", 1, PILOTS).alias("pilots"))
-    members = cut(spots.join(shared, "bucket").join(sig, "cid"), "members")
+    members = cut(spots.join(shared, "bucket"), "members")
     found = None
     for turn in range(STAR_ROUNDS):
         placed = _placed(members, found)
@@ -214,7 +214,8 @@ def links(classes: DataFrame, docs: DataFrame, size: int, similarity: int, permu
     # The label most members of a bucket have; the others are outliers, each against all other labels there.
     most = placed.groupBy("bucket", "label").count().groupBy("bucket").agg(F.max_by("label", F.struct("count", "label")).alias("most"), F.count("*").alias("labels"))
     placed = placed.join(most.filter("labels > 1").select("bucket", "most"), "bucket")
-    placed = cut(placed.withColumn("out", F.col("label") != F.col("most")).drop("most"), "placed")
+    # Signatures are fetched for the buckets that are left only.
+    placed = cut(placed.withColumn("out", F.col("label") != F.col("most")).drop("most").join(sig, "cid"), "placed")
     left = placed.filter("out").select("bucket", F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"), F.col("sig").alias("sig_a"), "band", F.col("pilots").alias("p_a"))
     right = placed.select(F.col("bucket").alias("place"), F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"), F.col("sig").alias("sig_b"), "out", F.col("pilots").alias("p_b"))
     near = (
