@@ -9,7 +9,14 @@ rejected.
 
 Estimates are sums and quantile sketches per group over all rows, so a group of any size is folded before the
 shuffle. Groups with fewer than LEAST rows are pooled by language, and these, if still small, with one another.
-LEAST_SPREAD is added to the spreads, since statistics that are zero for most texts have none.
+REGULAR is added to the spreads while the estimate is sought, since statistics that are zero for most texts have none.
+
+In the verdict the group's covariance decides on every axis that has spread. An axis whose spread is below SHARE of
+what counting alone gives a text of the group's mean length (three quarters of the texts have nothing to count) is
+judged by itself instead: its variance is the group's, plus the counting error of a text of mean length (the centre is
+not known better than that) and of the text's own length. A transformed count over n has the counting error
+1 / (2 sqrt(n)); a repeat covers three words and counts as one of n / 3, and of lines, which are few and hardly equal
+by chance, half the error is taken.
 
 Defined results: null lang or source are groups of their own; a text without words fails the base rules; repeated
 rows count as often as they occur.
@@ -32,8 +39,10 @@ ALPHA = 0.75
 CUT = 0.999999
 LEAST = 200
 STEPS = 6
-#: Least standard deviations, in the order of VECTOR.
-LEAST_SPREAD = (0.12, 0.12, 0.15, 0.12, 0.12, 0.12)
+#: Standard deviation that keeps covariances invertible.
+REGULAR = 0.003
+#: Spreads below this share of the counting error count as none.
+SHARE = 0.5
 SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\r\x0b\x0c"
 PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -93,6 +102,8 @@ VECTOR = (
     lambda: F.sqrt(F.col("n_punct") / F.greatest("n_words", F.lit(1))),
     lambda: _share("n_upper", "word_chars"),
 )
+#: What each statistic of VECTOR is counted over, and how many of these one event covers.
+COUNTED = (("n_words", 1), ("n_words", 1), ("n_lines", 0.25), ("n_words", 3), ("n_words", 1), ("word_chars", 1))
 P = len(VECTOR)
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 
@@ -114,6 +125,11 @@ def _total(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, parts)
 
 
+def _counting(count: Column, covers: int) -> Column:
+    """Variance that counting gives a transformed statistic."""
+    return F.lit(covers / 4) / F.greatest(count, F.lit(1))
+
+
 def _distance() -> Column:
     """Squared Mahalanobis distance of x to `center` under the packed `inverse`."""
     d = [F.col("x")[i] - F.col("center")[i] for i in range(P)]
@@ -136,7 +152,7 @@ def _estimates(moments: DataFrame, factor: float) -> DataFrame:
             cov = np.empty((P, P))
             for (i, j), v in zip(PAIRS, q, strict=True):
                 cov[i, j] = cov[j, i] = v / n - center[i] * center[j]
-            cov = cov * factor + np.diag(np.square(LEAST_SPREAD))
+            cov = cov * factor + REGULAR**2 * np.eye(P)
             inverse = np.linalg.inv(cov)
             out["center"].append(center)
             out["inverse"].append([inverse[i, j] for i, j in PAIRS])
@@ -177,7 +193,7 @@ def estimates(rows: DataFrame) -> DataFrame:
         F.first("center").alias("center"),
         F.array(*[F.percentile_approx(F.abs(c - F.col("center")[i]), 0.5, 1000) for i, c in enumerate(x)]).alias("off"),
     )
-    spread = [F.pow(F.col("off")[i] * 1.4826, 2) + LEAST_SPREAD[i] ** 2 for i in range(P)]
+    spread = [F.pow(F.col("off")[i] * 1.4826, 2) + REGULAR**2 for i in range(P)]
     packed = F.array(*[1 / spread[i] if i == j else F.lit(0.0) for i, j in PAIRS])
     robust = off.select("key", F.lit(0).alias("start"), "center", packed.alias("inverse"), F.lit(0.0).alias("log_det"))
     plain = _estimates(_moments(rows.withColumn("start", F.lit(1))), 1.0)
@@ -190,15 +206,41 @@ def estimates(rows: DataFrame) -> DataFrame:
     return now.groupBy("key").agg(F.min_by(F.struct("center", "inverse"), "log_det").alias("best")).select("key", "best.*")
 
 
+def judges(rows: DataFrame) -> DataFrame:
+    """key, center, the inverse covariance of the axes that have spread (packed; 0 for the others) and, for the others,
+    the variance `flat` that does not depend on the text (null for those that have spread)."""
+    error = [_counting(F.avg(c), covers) for c, covers in COUNTED]
+    found = estimates(rows).join(rows.groupBy("key").agg(F.array(*error).alias("error")), "key")
+
+    def run(inverses, errors):
+        out = {"inverse": [], "flat": []}
+        for packed, error in zip(inverses, errors, strict=True):
+            inverse = np.empty((P, P))
+            for (i, j), v in zip(PAIRS, packed, strict=True):
+                inverse[i, j] = inverse[j, i] = v
+            cov = np.linalg.inv(inverse)
+            spread = np.diag(cov) >= SHARE**2 * np.array(error)
+            inverse = np.zeros((P, P))
+            inverse[np.ix_(spread, spread)] = np.linalg.inv(cov[np.ix_(spread, spread)])
+            out["inverse"].append([inverse[i, j] for i, j in PAIRS])
+            out["flat"].append([None if spread[i] else float(cov[i, i] + error[i]) for i in range(P)])
+        return out
+
+    found = found.select("key", "center", F.col("inverse").alias("_inverse"), "error")
+    return map_lists(found, run, "inverse array<double>, flat array<double>", keep=["key", "center"], read=["_inverse", "error"])
+
+
 def base_rule() -> Column:
     return (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
 
 
 def _verdict(rows: DataFrame, found: DataFrame) -> DataFrame:
+    off = [F.pow(F.col("x")[i] - F.col("center")[i], 2) for i in range(P)]
+    flat = [F.coalesce(off[i] / (F.col("flat")[i] + _counting(F.col(c), covers)), F.lit(0.0)) for i, (c, covers) in enumerate(COUNTED)]
     return (
         rows.join(found, "key", "left")
         .withColumn("base_failed", base_rule())
-        .withColumn("distance", F.coalesce(_distance(), F.lit(0.0)))
+        .withColumn("distance", F.coalesce(_distance() + _total(flat), F.lit(0.0)))
         .withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= chi2_quantile(CUT, P)))
     )
 
@@ -207,7 +249,7 @@ def judged(docs: DataFrame) -> DataFrame:
     """doc_id, the statistics, base_failed, distance (squared) and kept."""
     stats = cut(measured(docs), "statistics")
     rows = cut(vectors(stats, keys(stats)), "vectors")
-    found = estimates(rows.filter(~base_rule()))
+    found = judges(rows.filter(~base_rule()))
     return _verdict(rows, found).select("doc_id", *STATISTICS, "base_failed", "distance", "kept")
 
 
@@ -217,7 +259,7 @@ def passed(docs: DataFrame) -> DataFrame:
     at = {c: f"_{columns.index(c)}" for c in ("text", "lang", "source")}
     stats = cut(measured(docs), "statistics")
     groups = cut(keys(stats), "keys")
-    found = estimates(vectors(stats, groups).filter(~base_rule()))
+    found = judges(vectors(stats, groups).filter(~base_rule()))
     rows = numbered(docs)
     rows = map_lists(rows, _columns, SCHEMA, keep=rows.columns, read=[at["text"]])
     rows = vectors(rows.withColumns({c: F.col(at[c]) for c in ("lang", "source")}), groups)

@@ -86,6 +86,30 @@ def test_planted_outliers_go_and_clean_rows_stay(spark):
     assert quality.judged(docs.limit(0)).count() == 0
 
 
+def test_planted_outliers_on_each_axis(spark):
+    """A text that is far out on one statistic goes, also where the group has no spread on it."""
+    rng = random.Random(4)
+
+    def prose(n=300, lines=8, letters=(2, 9), commas=0.15, capitals=0.1, symbols=0.0):
+        words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randrange(*letters))) for _ in range(n)]
+        words = [w.title() if rng.random() < capitals else w for w in words]
+        words = [w + "," * (rng.random() < commas) + "#" * (rng.random() < symbols) for w in words]
+        size = -(-n // lines)
+        return [words[i : i + size] for i in range(0, n, size)]
+
+    def text(lines):
+        return "\n".join(map(" ".join, lines))
+
+    repeated = [line for part in prose(lines=20) for line in (part, ["menu"])]
+    said = prose()
+    said[0][:24] = said[1][:24] = said[2][:24] = said[3][:24]
+    planted = [prose(letters=(6, 13)), prose(symbols=0.2), repeated, said, prose(commas=0.7), prose(capitals=0.9)]
+    rows = [(i, text(prose(n=rng.randrange(150, 500))), "en", "s") for i in range(400)] + [(1000 + i, text(p), "en", "s") for i, p in enumerate(planted)]
+    got = quality.judged(spark.createDataFrame(rows, DOCS)).collect()
+    assert not any(r.base_failed for r in got)
+    assert {r.doc_id for r in got if not r.kept} == set(range(1000, 1006))
+
+
 def test_concentration_finds_the_clean_majority(spark):
     """The estimate of a group with a fifth of far rows is near the moments of the others."""
     rng = np.random.default_rng(1)
