@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import U64, byte_words, map_lists, minima, mixed, signed, spread, word_hashes
+from .common import U64, byte_words, map_lists, minima, mixed, numbered, renamed, signed, spread, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 75  # percent
@@ -70,8 +70,8 @@ def bands(low: np.ndarray) -> np.ndarray:
     return key
 
 
-def sketches(docs: DataFrame, size: int = SHINGLE, permutations: int = PERMUTATIONS, seed: int = 1) -> DataFrame:
-    """doc_id, n_shingles, set_key (128-bit hash of the whole set, null if empty), bands, sig."""
+def sketches(docs: DataFrame, size: int = SHINGLE, permutations: int = PERMUTATIONS, seed: int = 1, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The `keep` columns, n_shingles, set_key (128-bit hash of the whole set, null if empty), bands, sig."""
     a, b = spread(permutations, seed)
 
     def sketch(texts):
@@ -86,7 +86,7 @@ def sketches(docs: DataFrame, size: int = SHINGLE, permutations: int = PERMUTATI
         return out
 
     schema = "n_shingles bigint, set_key binary, bands array<bigint>, sig array<bigint>"
-    return map_lists(docs.select("doc_id", "text"), sketch, schema, keep=["doc_id"])
+    return map_lists(docs.select(*keep, "text"), sketch, schema, keep=list(keep))
 
 
 def full_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -245,13 +245,8 @@ def _placed(members: DataFrame, found: DataFrame | None) -> DataFrame:
     return cut(members.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid")), "placed")
 
 
-def near_duplicates(
-    docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY, permutations: int = PERMUTATIONS, seed: int = 1
-) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable over links of at least
-    `similarity` percent), kept (doc_id = component_id)."""
-    docs = docs.select("doc_id", "text")
-    sketched = cut(sketches(docs, size, permutations, seed), "sketches")
+def _named(sketched: DataFrame, docs: DataFrame, size: int, similarity: int, permutations: int) -> DataFrame:
+    """set_key, rep and component (label) of every class of equal sets."""
     classes = cut(
         sketched.filter("n_shingles > 0")
         .groupBy("set_key")
@@ -260,7 +255,18 @@ def near_duplicates(
         "classes",
     )
     joined = components(links(classes, docs, size, similarity, permutations))
-    named = classes.select("cid", "set_key", "rep").join(joined.toDF("cid", "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    named = classes.select("cid", "set_key", "rep").join(joined.toDF("cid", "label"), "cid", "left")
+    return named.select("set_key", "rep", F.coalesce("label", "cid").alias("label"))
+
+
+def near_duplicates(
+    docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY, permutations: int = PERMUTATIONS, seed: int = 1
+) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable over links of at least
+    `similarity` percent), kept (doc_id = component_id)."""
+    docs = docs.select("doc_id", "text")
+    sketched = cut(sketches(docs, size, permutations, seed), "sketches")
+    named = _named(sketched, docs, size, similarity, permutations)
     roots = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     homes = named.join(roots, "label").select("set_key", "component_id")
     return (
@@ -274,12 +280,25 @@ def near_duplicates(
     )
 
 
-def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """The documents with one of each group of near copies. A document that occurs in several equal rows stays
-    once; different texts under one doc_id stay or go by their groups, and stay together if any of them stays."""
-    verdict = near_duplicates(docs, **options).groupBy("doc_id").agg(F.max("kept").alias("_kept"), F.count("*").alias("_rows"))
-    verdict = cut(verdict, "verdict").filter("_kept").select(F.col("doc_id").alias("_id"), "_rows")
-    kept = docs.join(verdict, docs["doc_id"].eqNullSafe(verdict["_id"])).drop("_id")
-    single = kept.filter("_rows = 1").drop("_rows")
-    several = kept.filter("_rows > 1").drop("_rows").dropDuplicates(["doc_id", "text"])
-    return single.unionByName(several)
+def deduplicated(
+    docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY, permutations: int = PERMUTATIONS, seed: int = 1
+) -> DataFrame:
+    """The documents with one row of each group of near copies, also among rows that share a doc_id or have none: the
+    one of the smallest doc_id (null last), then of the smallest hash of its text. Texts without words stay, equal rows
+    of them once."""
+    columns = docs.columns
+    doc_id, text = (f"_{columns.index(c)}" for c in ("doc_id", "text"))
+    rows = numbered(docs).withColumn("text_key", F.unhex(F.md5(F.col(text).cast("binary"))))
+    keyed = rows.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), "text_key")
+    sketched = cut(sketches(keyed, size, permutations, seed, keep=("doc_id", "text_key")), "sketches")
+    named = _named(sketched, keyed.select("doc_id", "text"), size, similarity, permutations)
+    # Rows of one id and text are one key, so that a key of any size is folded before the shuffle.
+    keys = cut(sketched.groupBy("doc_id", "text_key").agg(F.first("set_key").alias("set_key"), F.count("*").alias("rows")), "keys")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "rows")).alias("first")
+    chosen = keys.join(named.select("set_key", "label"), "set_key").groupBy("label").agg(first).select("first.doc_id", "first.text_key", "first.rows")
+    chosen = chosen.union(keys.filter("set_key is null").select("doc_id", "text_key", "rows"))
+    chosen = cut(chosen, "chosen").toDF("chosen_id", "chosen_text", "chosen_rows")
+    kept = rows.join(chosen, F.col(doc_id).eqNullSafe(F.col("chosen_id")) & F.col("text_key").eqNullSafe(F.col("chosen_text")))
+    single = kept.filter("chosen_rows = 1")
+    several = kept.filter("chosen_rows > 1").dropDuplicates([doc_id, text])
+    return renamed(single.unionByName(several), columns)

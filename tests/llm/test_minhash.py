@@ -83,6 +83,23 @@ def test_deduplicated_keeps_one_row(spark):
     assert kept == [(1, "a b c", "x"), (3, None, "z"), (None, None, "n")]
 
 
+def test_deduplicated_keeps_one_row_without_own_ids(spark):
+    """Near copies among rows that have no doc_id, or one in common, leave one row."""
+    rng = random.Random(9)
+
+    def copies(n):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        return [" ".join([*base, f"end{i}"]) for i in range(n)]
+
+    none, named, same, two = copies(4), copies(3), copies(3), copies(2)
+    rows = [(None, t) for t in none] + [(None, none[0]), (1, named[0]), (None, named[1]), (None, named[2])]
+    rows += [(7, t) for t in same] + [(8, two[0]), (8, two[0]), (8, "quite another text"), (9, two[1]), (None, "alone here"), (None, "")]
+    kept = [tuple(r) for r in minhash.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    groups = [none, named, same, two, ["quite another text"], ["alone here"], [""]]
+    assert len(kept) == len(groups) and all(sum(t in g for _, t in kept) == 1 for g in groups)
+    assert (1, named[0]) in kept and (8, two[0]) in kept
+
+
 def test_estimate_is_unbiased(spark):
     rng = random.Random(1)
     words = [f"w{i}" for i in range(4000)]
