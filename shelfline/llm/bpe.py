@@ -9,7 +9,7 @@ the part before the edit.
 
 Texts are cut by the tokenizer's pattern first; a piece that is itself a token is that token, as in the reference
 tokenizer. Because a match depends on what follows its start only, `Encoded` re-cuts an edited text from the last
-boundary before the edit to the first boundary after it where old and new cuts meet.
+boundary whose pieces can't have looked at the edit to the first boundary after it where old and new cuts meet.
 
 Defined results: null and empty texts have no tokens; ids outside the vocabulary raise.
 """
@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import re
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -211,12 +212,24 @@ class Encoded:
     def append(self, text: str) -> int:
         return self.edit(len(self.text), len(self.text), text)
 
+    def _settled(self, end: int, start: int) -> bool:
+        """True if the cut of a piece can't change by an edit at `start`. A match looks two code points beyond its end
+        at most (an apostrophe at "re", "ve" and "ll"), or, from white space, at the whole run and one beyond it."""
+        if end + 2 > start:
+            return False
+        while self.text[end - 1].isspace() and self.text[end].isspace():
+            end += 1
+            if end >= start:
+                return False
+        return True
+
     def edit(self, start: int, stop: int, new: str) -> int:
         """Replace text[start:stop]; returns how many pieces were encoded for it."""
         grown = len(new) - (stop - start)
         text = self.text[:start] + new + self.text[stop:]
-        # A match looks one code point beyond its end at most: pieces that end before the edit stay.
-        keep = next((i for i, e in enumerate(self.ends) if e >= start), len(self.ends))
+        keep = bisect_right(self.ends, start - 2)
+        while keep and not self._settled(self.ends[keep - 1], start):
+            keep -= 1
         at = self.ends[keep - 1] if keep else 0
         old = {e + grown: i for i, e in enumerate(self.ends) if e >= stop}
         ends, tokens, join = [], [], len(self.ends)

@@ -40,6 +40,25 @@ def test_edits_and_appends():
     assert long.ids == t.encode(long.text)
 
 
+def test_typing_and_edits_beside_long_matches():
+    """Contractions and runs of white space, whose matches look further than one code point ahead."""
+    t, rng = bpe.tokenizer(PATH, P.PATTERN), random.Random(6)
+    state, said = bpe.Encoded(t), "we're sure they've said  it'll   rain, 'tis I'd \n\n  say; we'r 'v ''ll   \t x"
+    for i, c in enumerate(said):
+        state.append(c)
+        assert state.ids == t.encode(said[: i + 1])
+    state = bpe.Encoded(t, "a  b")
+    state.edit(3, 4, " ")
+    assert state.ids == t.encode("a   ")
+    state = bpe.Encoded(t, "x")
+    for _ in range(6000):
+        i = rng.randrange(len(state.text) + 1)
+        state.edit(i, min(len(state.text), i + rng.randrange(4)), "".join(rng.choices("'rvlesdt  \na1.\x1c\u3000", k=rng.randrange(4))))
+        if len(state.text) > 60:
+            state = bpe.Encoded(t, state.text[:9])
+        assert state.ids == t.encode(state.text)
+
+
 def test_frame(spark):
     docs = spark.createDataFrame([(1, None, 5), (2, "", 6), (2, "", 6), (None, "Ab c", 7)], "doc_id bigint, text string, ids int")
     rows = bpe.decoded(bpe.encoded(docs, PATH, P.PATTERN), PATH, P.PATTERN).collect()
