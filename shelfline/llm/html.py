@@ -1,7 +1,8 @@
 """Main text of web pages by composite text density.
 
-Method. The page is read into a tree of elements. What its tag, role, class or id names as page furniture
-(menus, adverts, forms, reader comments and so on) is taken out. Every node then gets the composite text density
+Method. The page is read into a tree of elements. What its tag or role names as page furniture (menus, adverts, forms,
+reader comments and so on) is taken out, and so is what a whole class or id, or its last part, names so, unless it is
+an article or holds most of the text of the page or of its articles. Every node then gets the composite text density
 
     C/T * log( C/LC * T/LT )  to the base  ln( C/(C-LC) * LC + LCb/Cb * C + e )
 
@@ -51,6 +52,8 @@ NAMES = set(
     "overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments "
     "commentlist disqus respond reply replies widget toolbar pagination pager skip copyright".split()
 )
+#: Names that an article's own header may have.
+HEADS = {"header", "masthead"}
 SECTIONS = {"html", "body", "article", "main"}
 #: Starting one of these ends an open one of the same set, up to the named container.
 ITEMS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"})}
@@ -58,10 +61,10 @@ ITEMS |= {t: ({"td", "th"}, {"tr", "table"}) for t in ("td", "th")} | {"tr": ({"
 
 
 class Node:
-    __slots__ = ("tag", "up", "items", "chars", "tags", "link_chars", "link_tags", "density", "junk")
+    __slots__ = ("tag", "up", "items", "chars", "tags", "link_chars", "link_tags", "density", "junk", "named")
 
-    def __init__(self, tag: str, up: Node | None, junk: bool):
-        self.tag, self.up, self.junk, self.items = tag, up, junk, []
+    def __init__(self, tag: str, up: Node | None, junk: bool, named: bool = False):
+        self.tag, self.up, self.junk, self.named, self.items = tag, up, junk, named, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = 0.0
 
@@ -78,11 +81,44 @@ def _furniture(tag: str, attributes: str, inside: bool) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if name in ("class", "id") and not NAMES.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
     return False
 
 
+def _named(tag: str, attributes: str, inside: bool) -> bool:
+    """True if a class or id, or its last part, is the name of page furniture."""
+    if not attributes or tag in SECTIONS:
+        return False
+    for m in ATTRIBUTE.finditer(attributes):
+        if m[1].lower() in ("class", "id"):
+            for value in (m[2] or m[3] or m[4] or "").lower().split():
+                found = NAMES.intersection((value, re.split(r"[^a-z0-9]+", value)[-1]))
+                if found and not (inside and found <= HEADS):
+                    return True
+    return False
+
+
+def _take_out(root: Node) -> None:
+    """Named elements become furniture, with all they hold, unless they hold most of the text."""
+    order, stack = [], [(root, False)]
+    while stack:
+        node, inside = stack.pop()
+        inside = inside or node.tag in ("article", "main")
+        order.append((node, inside))
+        stack += [(x, inside) for x in node.items if isinstance(x, Node) and not x.junk]
+    size: dict[Node, tuple[int, int]] = {}  # characters: all, and those in articles
+    for node, inside in reversed(order):
+        parts = [size[x] for x in node.items if isinstance(x, Node) and not x.junk]
+        own = sum(len(x.strip()) for x in node.items if isinstance(x, str))
+        size[node] = own + sum(p[0] for p in parts), own * inside + sum(p[1] for p in parts)
+    total, articles = size[root]
+    for node, _ in order:
+        chars, within = size[node]
+        if node.up is not None and node.up.junk:
+            node.junk = True
+        elif node.named:
+            node.junk = not (2 * within > articles or 2 * chars > total and 4 * (articles - within) < chars)
+
+
 def tree(page: str) -> Node:
     root = here = Node("html", None, False)
     at, depth = 0, 0  # depth: of open article and main elements
@@ -140,11 +176,13 @@ def tree(page: str) -> Node:
             here = close(here, h)
         if tag in ITEMS and (item := opened(*ITEMS[tag])):
             here = close(here, item)
-        node = Node(tag, here, here.junk or _furniture(tag, m[3] or "", depth > 0))
+        junk = here.junk or _furniture(tag, m[3] or "", depth > 0)
+        node = Node(tag, here, junk, not junk and _named(tag, m[3] or "", depth > 0))
         here.items.append(node)
         if tag not in VOID and not m[3].endswith("/"):
             here = node
             depth += tag in ("article", "main")
+    _take_out(root)
     return root
 
 

@@ -122,3 +122,19 @@ def test_licenses_against_sql(spark):
     got = [tuple(r) for r in licenses.scanned(spark.createDataFrame(rows, DOCS)).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert licenses.scanned(spark.createDataFrame([], DOCS)).count() == 0 and len(documents) == len(rows)
+
+
+def test_html_wrappers_named_like_furniture():
+    body = "<p>" + "A sentence of the story, long enough to be read. " * 6 + "</p>"
+    said = " ".join(("A sentence of the story, long enough to be read. " * 6).split())
+    menu, related = "<div class='menu'><a href=x>Home</a></div>", "<div class='related'><article><a href=y>More</a></article></div>"
+    ad = "<div class='widget ad'>Buy now</div>"
+    for page in (
+        f"<div class='layout has-sidebar'>{menu}<article><p>{said}</p>{ad}</article></div>",
+        f"<div id=page class='header-fixed'>{menu}<div>{body}</div>{ad}</div>",
+        f"<div class='layout has-sidebar'>{menu}<div>{body}</div></div>",
+        f"{menu}<article class='post category-social'>{body}{ad}</article>{related}",
+    ):
+        assert html.main_text(f"<html><body>{page}</body></html>") == said
+    for head in ("<div class='article-header'><h1>Title</h1></div>", "<header class='entry-header'><h1>Title</h1></header>"):
+        assert html.main_text(f"<body><article>{head}{body}</article></body>") == "Title\n" + said
