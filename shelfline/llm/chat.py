@@ -2,7 +2,9 @@
 
 Method. A template is any function from a list of (role, text) turns to one string. Successive prefixes of a
 conversation are rendered; where an output begins with the one before it, the rest is the new turn's span, and where
-it doesn't the template rewrites history, which is reported with the first such turn. Within a turn's span the text
+it doesn't the template rewrites history, which is reported with the first such turn. The turns of such a conversation
+have no spans; their texts are located in the whole rendering, by rendering all of it with a mark in place of each text
+in turn, and a text that the whole rendering leaves out has none. Within a turn's span the text
 is located by rendering the same turn with a mark in its place: what stands before and after the mark stands before
 and after the text.
 
@@ -83,10 +85,13 @@ class Instruct:
 Render = Callable[[Turns], str]
 
 
-def spans(render: Render, turns: Turns, block: int = BLOCK) -> tuple[str, list[tuple[int, int, int, int]], int]:
+def spans(
+    render: Render, turns: Turns, block: int = BLOCK
+) -> tuple[str, list[tuple[int | None, int | None, int | None, int | None]], int]:
     """The formatted conversation; for each turn its span and its text's span (begin, end, text begin, text end, in
-    code points); the number of the first turn whose addition rewrites what was rendered before, or -1."""
-    found: list[tuple[int, int, int, int]] = []
+    code points); the number of the first turn whose addition rewrites what was rendered before, or -1. Where there is one,
+    begin and end are None, and so are text begin and text end of texts that are not in the formatted conversation."""
+    found: list[tuple[int | None, int | None, int | None, int | None]] = []
     whole = render([])
     for start in range(0, len(turns), block):
         part = turns[start : start + block]
@@ -100,7 +105,8 @@ def spans(render: Render, turns: Turns, block: int = BLOCK) -> tuple[str, list[t
         pieces = pieces or _pieces(render, turns[:start], part)
         if pieces is None or whole + "".join(p for p, _, _ in pieces) != after:
             first = next(i for i in range(start, len(turns)) if not render(turns[: i + 1]).startswith(render(turns[:i])))
-            return render(turns), found, first
+            whole = render(turns)
+            return whole, [(None, None, *_located(render, turns, i, whole)) for i in range(len(turns))], first
         for piece, before, behind in pieces:
             at = len(whole)
             whole += piece
@@ -108,6 +114,14 @@ def spans(render: Render, turns: Turns, block: int = BLOCK) -> tuple[str, list[t
     return whole, found, -1
 
 
+def _located(render: Render, turns: Turns, i: int, whole: str) -> tuple[int, int] | tuple[None, None]:
+    """Where the text of turn i stands in the rendering of all turns."""
+    before, found, behind = render([*turns[:i], (turns[i][0], MARK), *turns[i + 1 :]]).partition(MARK)
+    if not found or not whole.startswith(before) or not whole.endswith(behind) or len(before) + len(behind) > len(whole):
+        return None, None
+    return len(before), len(whole) - len(behind)
+
+
 def _pieces(render: Render, context: Turns, part: Turns) -> list[tuple[str, int, int]] | None:
     """What each turn of a part adds, and how much of it stands before and behind the text; None if a rendering
     isn't the beginning of the next."""
@@ -130,7 +144,7 @@ def _pieces(render: Render, context: Turns, part: Turns) -> list[tuple[str, int,
 
 
 def formatted(conversations: DataFrame, render: Render, learn: tuple[str, ...] = ("assistant",), block: int = BLOCK) -> DataFrame:
-    """One row per conversation: conv_id, formatted, spans (array of begin, end), loss (array of begin, end: texts of
+    """One row per conversation: conv_id, formatted, spans (array of begin, end; null if history is rewritten), loss (array of begin, end: texts of
     the roles to learn from) and rewritten (number of the first turn that rewrites history, else -1)."""
     turns = conversations.select(
         "conv_id", "turn", F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
@@ -145,8 +159,8 @@ def formatted(conversations: DataFrame, render: Render, learn: tuple[str, ...] =
         return {
             "conv_id": conv,
             "formatted": text,
-            "spans": [{"begin": b, "end": e} for b, e, _, _ in found],
-            "loss": [{"begin": b, "end": e} for (_, _, b, e), (role, _) in zip(found, said, strict=False) if role in learn],
+            "spans": [{"begin": b, "end": e} for b, e, _, _ in found] if first < 0 else None,
+            "loss": [{"begin": b, "end": e} for (_, _, b, e), (role, _) in zip(found, said, strict=True) if role in learn and b is not None],
             "rewritten": first,
         }
 

@@ -112,6 +112,22 @@ def test_templates_that_rewrite_history():
     assert first == -1 and whole == numbered(turns) and [whole[b:e] for _, _, b, e in found] == [x for _, x in turns]
 
 
+def test_rewritten_conversations_keep_their_loss(spark):
+    """A template that strips earlier reasoning: texts are found in what is returned."""
+
+    def strip(turns):
+        return "".join(f"<{r}>{x if i == len(turns) - 1 else x.split('~')[-1]}|" for i, (r, x) in enumerate(turns))
+
+    turns = [(1, i, "assistant" if i % 2 else "user", f"why{i}~said{i}") for i in range(150)]
+    row = chat.formatted(spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string"), strip).first()
+    want = [f"said{i}" for i in range(1, 149, 2)] + ["why149~said149"]
+    assert row.formatted == strip([t[2:] for t in turns]) and row.rewritten == 1 and row.spans is None
+    assert [row.formatted[s.begin : s.end] for s in row.loss] == want
+    dropped = lambda turns: "".join(f"<{x}>" for _, x in turns[-2:])
+    whole, found, first = chat.spans(dropped, [("user", "q"), ("assistant", "a"), ("user", "a")])
+    assert (whole, first, [f[2:] for f in found]) == ("<a><a>", 2, [(None, None), (1, 2), (4, 5)])
+
+
 def test_licenses_against_sql(spark):
     lines = [*licenses.BASE, *(t for _, t, _ in licenses.TEMPLATES), *(k for _, _, k in licenses.TEMPLATES), "gnu general", "license mit", "by cc by cc by", "été"]
     rng = random.Random(4)
