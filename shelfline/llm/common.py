@@ -16,20 +16,32 @@ U64 = np.uint64
 # Fixed odd multipliers of a 64-bit finaliser.
 MIX_1, MIX_2, STEP = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB), U64(0x9E3779B97F4A7C15)
 
-#: Rows that a Python worker holds as lists at a time.
-SLICE = 1000
+#: Rows and bytes that a Python worker holds as lists at a time (one row may be larger).
+SLICE, SLICE_BYTES = 1000, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of SLICE rows and, where rows are long, of about SLICE_BYTES."""
+    rows = min(SLICE, max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes)))
+    if rows == SLICE or batch.num_rows <= 1:
+        yield from (batch.slice(i, SLICE) for i in range(0, batch.num_rows, SLICE))
+        return
+    # Long rows: halves until they fit, so that a few giants among short rows don't make all slices small.
+    half = batch.num_rows // 2
+    for part in (batch.slice(0, half), batch.slice(half)):
+        yield from pieces(part) if part.nbytes > SLICE_BYTES or part.num_rows > SLICE else [part]
+
+
 def map_lists(
     df: DataFrame, fn: Callable[..., dict[str, list]], schema: str, keep: list[str] = (), read: list[str] | None = None, as_lists: bool = True
 ) -> DataFrame:
     """Batch map on Arrow: fn gets the `read` columns (by default those outside `keep`) as lists, or as Arrow arrays,
     and returns the new columns as lists or Arrow arrays of the same length; the `keep` columns pass through
-    untouched. schema: of the new columns. Batches are worked off SLICE rows at a time."""
+    untouched. schema: of the new columns. Batches are worked off in slices of bounded rows and bytes."""
     keep = list(keep)
     given = [c for c in df.columns if c not in keep] if read is None else read
     made = StructType.fromDDL(schema)
@@ -37,7 +49,7 @@ def map_lists(
     out = StructType([df.schema[c] for c in keep] + made.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
+        for batch in (part for whole in batches for part in pieces(whole)):
             new = fn(*[batch.column(c).to_pylist() if as_lists else batch.column(c) for c in given])
             arrays = [batch.column(c) for c in keep]
             arrays += [x if isinstance(x := new[f.name], pa.Array) else pa.array(x, f.type) for f in arrow]

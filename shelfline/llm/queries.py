@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html, langid, lattice, licenses, minhash, mixing, phrases, quality
+from . import bpe, chat, decontaminate, html, langid, lattice, licenses, minhash, mixing, phrases, quality, runs
 from .common import crc_part, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -16,7 +16,7 @@ PATTERN = public_tokenizers.PATTERN
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {"op8_licenses": licenses.sql()}
+SQL: dict[str, str] = {"op8_licenses": licenses.sql(), "op12_decontaminate": decontaminate.sql()}
 
 
 def query(fn):
@@ -147,3 +147,38 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.scored(table(spark, sf_dir, "documents").select("doc_id", "text"), crc_part("doc_id", 7) != 2, PIECES)
+
+
+def repeating(docs: DataFrame) -> DataFrame:
+    """doc_id and text; in every tenth document (by the crc32 of its id) the words from a place on are those of a short
+    stretch there, over and over. Documents without an id stay as they are."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.when(h % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    rows = docs.select("doc_id", "text", h.alias("h"), words.alias("words")).withColumns({"g": F.expr("h div 10"), "n": F.size("words")})
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    rows = rows.withColumn("p", (F.lit(1) + F.expr("(n - a) div (3 + g % 8)")).cast("int"))
+    again = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.expr("int((n - a) div p + 1)")))
+    made = F.array_join(F.slice(F.concat(F.slice("words", F.lit(1), F.col("a")), again), F.lit(1), F.col("n")), " ")
+    return rows.select("doc_id", F.when(F.col("n") > 0, made).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(repeating(table(spark, sf_dir, "documents")))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    listed = F.concat_ws("", F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))))
+    best = found.withColumn("best", runs.strongest(F.col("runs")))
+    return best.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), sha(listed).alias("runs_sha256"), sha(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.matched(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    hit = decontaminate.n_hit()
+    return found.select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
+        sha(F.array_join("items", ",")).alias("items_sha256"), (hit > 0).alias("contaminated"),
+    )
