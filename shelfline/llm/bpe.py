@@ -17,7 +17,6 @@ Defined results: null and empty texts have no tokens; ids outside the vocabulary
 from __future__ import annotations
 
 import base64
-import re
 from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -141,33 +140,16 @@ class Prefixes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-def _ranges(of: str) -> str:
-    """The code points of a character class of the regex library, as the inside of a plain character class."""
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    return "".join(f"\\U{ord(m[0][0]):08x}-\\U{ord(m[0][-1]):08x}" for m in regex.finditer(of + "+", every))
-
-
 @lru_cache(maxsize=4)
-def plain(pattern: str) -> re.Pattern:
-    """A pattern with Unicode properties, for the standard library's engine, which matches several times faster.
-    White space is the Unicode property, whatever either library takes \\s for."""
-    inside = {r"\s": _ranges(r"\p{White_Space}"), r"\p{L}": _ranges(r"\p{L}"), r"\p{N}": _ranges(r"\p{N}")}
-    out, in_class = [], False
-    for part in re.findall(r"\\p\{\w\}|\\.|.", pattern, re.S):
-        if part in inside:
-            out.append(inside[part] if in_class else f"[{inside[part]}]")
-        elif part == r"\S":
-            out.append("[^" + inside[r"\s"] + "]")
-        else:
-            in_class = part == "[" or in_class and part != "]"
-            out.append(part)
-    return re.compile("".join(out))
+def compiled(pattern: str) -> regex.Pattern:
+    """White space is the Unicode property, whatever the library takes \\s for."""
+    return regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 
 
 class Tokenizer:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.prefixes = Prefixes(ranks)
-        self.pattern = plain(pattern)
+        self.pattern = compiled(pattern)
         self.known: dict[str, bytes] = {}  # ids as 32-bit numbers, one after the other
 
     def piece(self, piece: str) -> list[int]:
@@ -188,8 +170,9 @@ class Tokenizer:
             cut = [self.pattern.findall(t) for t in texts[start:stop]]
             if len(self.known) > MEMORY:
                 self.known.clear()
-            new = sorted((p.encode(), p) for p in set().union(*cut).difference(self.known))
-            for (_, p), ids in zip(new, self.prefixes.encode_sorted([b for b, _ in new]), strict=True):
+            # Strings and their bytes are in the same order.
+            new = sorted(set().union(*cut).difference(self.known))
+            for p, ids in zip(new, self.prefixes.encode_sorted([p.encode() for p in new]), strict=True):
                 self.known[p] = array("i", ids).tobytes()
             for pieces in cut:
                 yield b"".join(map(self.known.__getitem__, pieces))

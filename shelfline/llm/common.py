@@ -18,6 +18,10 @@ MIX_1, MIX_2, STEP = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB), U64(0x9E3
 
 #: Rows and bytes that a Python worker holds as lists at a time (one row may be larger).
 SLICE, SLICE_BYTES = 1000, 16 << 20
+#: Rows in an Arrow batch.
+BATCH = 1000
+#: Rows of a few numbers each up to which a side of a join is broadcast; larger ones are left to the optimizer.
+BROADCAST_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,7 +59,18 @@ def map_lists(
             arrays += [x if isinstance(x := new[f.name], pa.Array) else pa.array(x, f.type) for f in arrow]
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in out])
 
-    return df.select(*keep, *[c for c in given if c not in keep]).mapInArrow(run, out)
+    return small_batches(df).select(*keep, *[c for c in given if c not in keep]).mapInArrow(run, out)
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Batches of BATCH rows on their way to Python and back, so that texts in transit stay small on both sides."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    return df
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row as the side of a join: broadcast if its rows are few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def numbered(df: DataFrame) -> DataFrame:
