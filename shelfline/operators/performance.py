@@ -549,3 +549,11 @@ def missing_dates(have: DataFrame, built: DataFrame, as_of: str, days: int = 3)
 def product_date_pivot(perf: DataFrame, value: str, dates: list[str]) -> DataFrame:
     """Products as rows, the given dates as columns."""
     return perf.groupBy("product_id").pivot("day", dates).agg(F.sum(value))
+
+
+def day_summary(perf: DataFrame) -> DataFrame:
+    """One row per day: products sold, units, revenue, marketing spend, attributed revenue, return on spend."""
+    return perf.groupBy("date").agg(
+        F.count(F.lit(1)).alias("products"), F.sum("units_sold").alias("units_sold"), F.sum("revenue").alias("revenue"), F.sum("total_marketing_spend").alias("spend"),
+        F.sum("total_attributed_revenue").alias("attributed"), ratio(F.sum("total_attributed_revenue"), F.sum("total_marketing_spend")).alias("roas"),
+    )

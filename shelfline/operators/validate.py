@@ -390,6 +390,14 @@ def gate(attr: DataFrame, built: DataFrame, day: str) -> DataFrame:
     return g.withColumn("decision", cases([(F.col("source_rows") == 0, "abort"), (F.col("bad_rows") > 0, "rollback")], "publish"))
 
 
+def gate_days(attr: DataFrame, built: DataFrame) -> DataFrame:
+    """The same decision for every day of a build: abort without attribution, hold with bad rows, else publish."""
+    bad = (F.col("revenue") < 0) | (F.col("total_attributed_revenue") > F.col("revenue") * 2)
+    sources = attr.groupBy("date").agg(F.count(F.lit(1)).alias("source_rows"))
+    g = built.groupBy("date").agg(count_if(bad).alias("bad_rows"), F.count(F.lit(1)).alias("rows")).join(sources, "date", "left").fillna(0, ["source_rows"])
+    return g.withColumn("decision", cases([(F.col("source_rows") == 0, "abort"), (F.col("bad_rows") > 0, "hold")], "publish"))
+
+
 def spend_alerts(ads: DataFrame) -> DataFrame:
     """Days whose spend is above 150% of the 7-day mean or whose ROAS is below half the 30-day mean."""
     daily = ads.groupBy("date").agg(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +11,9 @@ from ..session import scratch
 from ..sources import feeds, sinks
 from ..sources.tables import EVENT_AS_OF, Tables
 from ..streaming import ingest
+from . import quality  # noqa: F401  its tables are used below
 from .registry import query
-from .sqltext import define
+from .sqltext import TABLES, define
 from .validation import raw_sales
 
 # -- readers ----------------------------------------------------------------------------
@@ -201,22 +204,37 @@ def stream_validate(t: Tables) -> DataFrame:
     return sides[0].unionByName(sides[1]).groupBy("side").agg(F.count(F.lit(1)).alias("rows"), F.sum("revenue").alias("revenue"))
 
 
-@query("T03_stream_dedup", "SELECT event_id, product_id, quantity_sold FROM sales")
+#: Rows of the last days arrive first; of the older ones, those with even numbers next, the others last.
+ARRIVAL = {"recent": "date >= DATE '2024-01-20'", "even": "date < DATE '2024-01-20' AND event_id % 2 = 0", "odd": "date < DATE '2024-01-20' AND event_id % 2 = 1"}
+_LATE = "date < DATE '2024-01-20' AND ts < (SELECT max(ts) FROM sales) - INTERVAL 2 DAY"
+
+
+def out_of_order(t: Tables, twice: bool = False) -> DataFrame:
+    """The sales in three files, one a batch, most rows long after newer ones. twice: a fourth file repeats all."""
+    drop = scratch(t.spark, "arrivals")
+    sales = t.sales.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "date", "product_id", "quantity_sold", "revenue")
+    for i, where in enumerate([*ARRIVAL.values(), *["true"] * twice]):
+        sales.filter(where).drop("date").coalesce(1).write.parquet(f"{drop}/part{i}")
+    return ingest.files(t.spark, f"{drop}/*", sales.drop("date").schema, fmt="parquet", per_trigger=1)
+
+
+@query("T03_stream_dedup", f"SELECT event_id, product_id, quantity_sold, {_LATE} AS late FROM sales")
 def stream_dedup(t: Tables) -> DataFrame:
-    """The feed sent twice, each row kept once."""
+    """The feed out of order and sent twice: each row is kept once, those beyond the delay of two days are marked."""
     out, check = _paths(t, "dedup")
-    s = sales_stream(t).select("event_id", "ts", "product_id", "quantity_sold")
-    ingest.deduplicated(s.union(sales_stream(t).select("event_id", "ts", "product_id", "quantity_sold")), ["event_id"], "ts", "60 days", out, check)
-    return t.spark.read.parquet(out).drop("ts")
+    stream = out_of_order(t, twice=True).select("event_id", "ts", "product_id", "quantity_sold")
+    ingest.deduplicated(stream, ["event_id"], "ts", "2 days", out, check)
+    return ingest.first_rows(t.spark, out, stream).drop("ts")
 
 
 @query(
     "T04_stream_daily_totals",
-    "SELECT date, product_id, CAST(sum(quantity_sold) AS BIGINT) AS total_quantity, round(sum(revenue), 6) AS total_revenue, count(*) AS transactions FROM sales GROUP BY 1, 2",
+    f"SELECT date, product_id, CAST(sum(quantity_sold) AS BIGINT) AS total_quantity, round(sum(revenue), 6) AS total_revenue, count(*) AS transactions, count(*) FILTER ({_LATE}) AS late_transactions FROM sales GROUP BY 1, 2",
 )
 def stream_totals(t: Tables) -> DataFrame:
+    """Totals of sales that arrive out of order, with a delay shorter than the data."""
     out, check = _paths(t, "totals")
-    ingest.daily_totals(sales_stream(t), out, check, "60 days")
+    ingest.daily_totals(out_of_order(t), out, check, "2 days")
     return ingest.current_totals(t.spark, out)
 
 
@@ -301,12 +319,18 @@ def weekly_backfill(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path).select("date", "product_id", "orders", "revenue")
 
 
+# The checks, over the valid rows of the feed in place of the live sales.
+define("fed_sales", "SELECT CAST(date AS DATE) AS date, date AS ts, CAST(product_id AS BIGINT) AS product_id, quantity_sold, revenue FROM raw_feed WHERE date IS NOT NULL AND quantity_sold >= 0")
+for _name in ("sold_days", "checks"):
+    define(f"fed_{_name}", re.sub(r"\bFROM (sales|sold_days)\b", r"FROM fed_\1", TABLES[_name]))
+
+
 @query(
     "T09_daily_job",
-    """SELECT DATE '2024-01-31' AS date, CAST(1 AS BIGINT) AS files_ok, CAST(count(*) AS BIGINT) AS records_processed, round(count(*) FILTER (date IS NOT NULL AND quantity_sold >= 0) / count(*), 6) AS success_rate, round((SELECT count(*) FILTER (status = 'pass') / count(*) FROM checks), 6) AS quality_score FROM raw_feed""",
+    """SELECT DATE '2024-01-31' AS date, CAST(1 AS BIGINT) AS files_ok, CAST(count(*) AS BIGINT) AS records_processed, round(count(*) FILTER (date IS NOT NULL AND quantity_sold >= 0) / count(*), 6) AS success_rate, round((SELECT count(*) FILTER (status = 'pass') / count(*) FROM fed_checks), 6) AS quality_score FROM raw_feed""",
 )
 def daily_job(t: Tables) -> DataFrame:
-    """The whole daily job over a dropped sales feed and the live tables."""
+    """The whole daily job over a dropped sales feed: checks and features come from the rows it ingested."""
     from ..streaming import jobs
 
     drop, root = scratch(t.spark, "drop"), scratch(t.spark, "daily")

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..operators import attribution as attr
 from ..operators import performance as op
+from ..session import cut, scratch
 from ..sources.tables import EVENT_AS_OF, Tables
+from ..sources.versions import Versions
 from .registry import query
 from .sqltext import EV, define
 
@@ -110,6 +112,30 @@ def summary(t: Tables) -> DataFrame:
     return op.summary_table(unified_day(t))
 
 
+@query(
+    "S17_incremental_summary",
+    """SELECT date, count(*) AS products, CAST(sum(units_sold) AS BIGINT) AS units_sold, round(sum(revenue * CASE WHEN day(date) % 7 = 0 THEN 2 ELSE 1 END), 4) AS revenue, round(sum(total_marketing_spend), 4) AS spend,
+    round(sum(total_attributed_revenue), 4) AS attributed, round(sum(total_attributed_revenue) / nullif(sum(total_marketing_spend), 0), 4) AS roas, day(date) % 7 = 0 AS rebuilt FROM performance WHERE date IS NOT NULL AND date <> DATE '2024-01-05' GROUP BY date""",
+    digits=4,
+)
+def incremental_summary(t: Tables) -> DataFrame:
+    """A stored summary per day; then every seventh day is restated and one day withdrawn at the source, and the summary
+    builds only those again."""
+    from ..streaming import jobs
+
+    source, table = (Versions(t.spark, scratch(t.spark, n), "date") for n in ("performance", "summary"))
+    rows = cut(t.performance.filter("date is not null").select("date", "product_id", "units_sold", "revenue", "total_marketing_spend", "total_attributed_revenue"), "performance")
+    source.publish(source.stage(rows))
+    jobs.refresh(source, table, rows, op.day_summary)
+    first = table.latest()
+    restated = rows.filter(F.day("date") % 7 == 0).withColumn("revenue", F.col("revenue") * 2)
+    source.publish(source.stage(restated), drop=["2024-01-05"])
+    jobs.refresh(source, table, rows, op.day_summary)
+    before = table.manifest(first).select("value", F.col("build").alias("old"))
+    again = table.manifest().join(before, "value").select(F.to_date("value").alias("date"), (F.col("build") != F.col("old")).alias("rebuilt"))
+    return table.read(op.day_summary(rows)).join(again, "date")
+
+
 _FO = "revenue avg_selling_price ads_spend ads_impressions ads_clicks ads_revenue email_recipients email_opens email_clicks email_revenue total_revenue ads_roas revenue_per_email_recipient"
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import marketing
 from ..operators import quality as op
+from ..session import scratch
 from ..sources import sinks
 from ..sources.tables import EVENT_AS_OF, Tables
 from .registry import query
@@ -145,11 +148,16 @@ def freshness(t: Tables) -> DataFrame:
 
 @query(
     "Q10_rule_monitor",
-    """SELECT 'order_revenue_validation' AS check_name, count(*) AS total_records, count(*) AS failed_records, 'Negative revenue values detected' AS issue_description FROM shop_orders WHERE total_price < 0
-    UNION ALL SELECT 'ad_spend_validation', count(*), count(*), 'Negative spend values detected' FROM ads WHERE spend < 0 UNION ALL SELECT 'email_engagement_validation', count(*), count(*), 'Invalid open rates detected' FROM mail_rows WHERE open_rate > 100""",
+    """SELECT 'order_revenue_validation' AS check_name, count(*) AS total_records, count(*) AS failed_records, 'Negative revenue values detected' AS issue_description FROM shop_orders WHERE order_id % 37 = 0
+    UNION ALL SELECT 'ad_spend_validation', count(*), count(*), 'Negative spend values detected' FROM ads WHERE product_id % 20 = 3 UNION ALL SELECT 'email_engagement_validation', count(*), count(*), 'Invalid open rates detected' FROM email WHERE product_id % 20 = 3 AND delivered > 0""",
 )
 def rule_monitor(t: Tables) -> DataFrame:
-    return op.rule_monitor(t.shop_orders, t.ads, marketing.mail_metrics(t.email))
+    # negative totals, negative spend and twice as many opens as mails are planted
+    odd = F.col("product_id") % 20 == 3
+    orders = t.shop_orders.withColumn("total_price", F.when(F.col("order_id") % 37 == 0, -1.0).otherwise(F.col("total_price")))
+    ads = t.ads.withColumn("spend", F.when(odd, -1.0).otherwise(F.col("spend")))
+    mail = t.email.withColumn("unique_opens", F.when(odd, F.col("delivered") * 2).otherwise(F.least("unique_opens", "delivered")))
+    return op.rule_monitor(orders, ads, marketing.mail_metrics(mail))
 
 
 define(
@@ -195,6 +203,26 @@ def retention(t: Tables) -> DataFrame:
     return op.retention_report({"export_log": t.signals, "metrics": t.metrics}, EVENT_AS_OF, 10)
 
 
+@query(
+    "Q13_retention_drop",
+    " UNION ALL ".join(
+        f"SELECT '{n}' AS table_name, count(DISTINCT date) FILTER (date < {EV} - 10) AS dropped_days, count(DISTINCT date) FILTER (date >= {EV} - 10) AS kept_days, count(*) FILTER (date >= {EV} - 10) AS kept_rows FROM {n}"
+        for n in ("signals", "metrics")
+    ),
+)
+def retention_drop(t: Tables) -> DataFrame:
+    """Two tables stored by date lose their old partitions; what is left is read back."""
+    limit = (date.fromisoformat(EVENT_AS_OF) - timedelta(days=10)).isoformat()
+    parts = []
+    for name, rows in (("signals", t.signals.select("date", "product_id")), ("metrics", t.metrics.select("date", "metric_value"))):
+        path = scratch(t.spark, name)
+        sinks.overwrite_dates(rows.filter("date is not null"), path)
+        dropped = sinks.drop_before(t.spark, path, limit).agg(F.count_if("dropped").alias("dropped_days")).first()[0]
+        left = t.spark.read.parquet(path).agg(F.countDistinct("date").alias("kept_days"), F.count(F.lit(1)).alias("kept_rows"))
+        parts.append(left.select(F.lit(name).alias("table_name"), F.lit(dropped).cast("bigint").alias("dropped_days"), "kept_days", "kept_rows"))
+    return parts[0].unionByName(parts[1])
+
+
 def ingestion_log(t: Tables) -> DataFrame:
     rows = t.sales.select(F.concat(F.lit("sales_"), F.date_format("date", "yyyyMMdd"), F.lit(".csv")).alias("file_name"), F.lit("sales").alias("file_type"), (F.col("quantity_sold") < 5).alias("is_valid"))
     return sinks.ingestion_log(rows)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ratio
 from ..operators import reorder as ro
 from ..operators import snapshot as op
+from ..session import scratch
+from ..sources import sinks
 from ..sources.tables import EVENT_AS_OF, Tables
 from . import inventory as inv
 from .registry import query
@@ -169,7 +173,12 @@ def top(t: Tables) -> DataFrame:
 
 @query("S15_recommendation_export", f"SELECT {_REC}, DATE '2024-01-31' AS optimization_timestamp FROM recommendations")
 def export(t: Tables) -> DataFrame:
-    return op.recommendation_export(unified(t), EVENT_AS_OF)
+    """The export written under its declared name and read back."""
+    rows = op.recommendation_export(unified(t), EVENT_AS_OF)
+    folder = scratch(t.spark, "exports")
+    names = sinks.write_export(rows, folder, sinks.export_name("recommendations", date.fromisoformat(EVENT_AS_OF)))
+    reader = t.spark.read.schema(rows.schema).option("header", True).option("escape", '"')
+    return reader.csv([f"{folder}/{n}" for n in names])
 
 
 @query(

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import product_list
+from ..session import cut
+from .versions import Versions
 
 # The declared columns of each feed (required first) with types, and fill-in defaults.
 FEEDS = {
@@ -196,3 +198,14 @@ def last_per_key(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 def upsert(old: DataFrame, new: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """Stored rows with the new batch merged in: the last row per business key wins."""
     return last_per_key(old.unionByName(new), key, order)
+
+
+def upsert_into(table: Versions, new: DataFrame, key: list[str], order: list[str], bucket: Column, tag: str | None = None) -> int:
+    """Merges a batch into a stored table: the last row per business key wins. Only buckets that the batch's keys fall
+    into are read and written anew; the table's other files stay as they are. bucket: an expression on the key, such as
+    a range of order numbers, chosen so that a bucket is a task's worth of rows and that a day's batch meets few of them."""
+    batch = cut(new.withColumn(table.by, bucket), "batch")
+    touched = [r[0] for r in batch.select(F.col(table.by).cast("string")).distinct().collect()]
+    # One shuffle, by bucket: the keys of a bucket are then in one task.
+    rows = table.read(batch, touched).unionByName(batch).repartition(table.by)
+    return table.publish(table.stage(last_per_key(rows, [table.by, *key], order)), tag)

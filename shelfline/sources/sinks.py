@@ -2,15 +2,53 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import cases, count_if, money
 
 
+def _store(spark: SparkSession, path: str):
+    """The file system behind a path, and the path, as Spark itself sees them."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, in order; none if it is absent."""
+    store, p = _store(spark, path)
+    return sorted(s.getPath().getName() for s in store.listStatus(p)) if store.exists(p) else []
+
+
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes files and folders with all they hold."""
+    for path in paths:
+        store, p = _store(spark, path)
+        store.delete(p, True)
+
+
+def drop_before(spark: SparkSession, path: str, before: str, by: str = "date") -> DataFrame:
+    """Deletes the partitions of days before a date, by their names: no row is read and no other partition's files are
+    touched. Returns a row per partition: value, dropped, files, bytes. Rows without a date stay."""
+    figures, old = [], []
+    for name in listed(spark, path):
+        if not (m := re.fullmatch(rf"{re.escape(by)}=(.+)", name)):
+            continue
+        store, p = _store(spark, f"{path}/{name}")
+        size = store.getContentSummary(p)
+        # ISO dates are in the order of their texts.
+        gone = bool(re.fullmatch(r"\d{4}-\d\d-\d\d", m[1])) and m[1] < before
+        figures.append((m[1], gone, size.getFileCount(), size.getLength()))
+        old += [f"{path}/{name}"] if gone else []
+    removed(spark, old)
+    return spark.createDataFrame(figures, "value string, dropped boolean, files bigint, bytes bigint")
+
+
 def append_by_date(df: DataFrame, path: str) -> None:
     """Append rows under their date; rows of one date meet in a bounded number of files."""
     df.write.mode("append").partitionBy("date").parquet(path)
@@ -53,6 +91,24 @@ def write_csv(df: DataFrame, path: str) -> None:
     )
 
 
+def write_export(df: DataFrame, folder: str, name: str) -> list[str]:
+    """An export under its declared name, or, of several files, under that name with a number before its ending. All
+    files are written in a staging folder first and then renamed; an export of the same name is replaced. A job that
+    dies while writing leaves the old export. Returns the names."""
+    spark, stage = df.sparkSession, f"{folder}/_staged-{uuid.uuid4().hex}"
+    write_csv(df, stage)
+    stem, ending = name.rsplit(".", 1)
+    parts = [p for p in listed(spark, stage) if p.startswith("part-")]
+    names = [name] if len(parts) == 1 else [f"{stem}-{i:05d}.{ending}" for i in range(1, len(parts) + 1)]
+    removed(spark, [f"{folder}/{old}" for old in listed(spark, folder) if re.fullmatch(rf"{re.escape(stem)}(-\d{{5}})?\.{ending}", old)])
+    for part, new in zip(parts, names, strict=True):
+        store, source = _store(spark, f"{stage}/{part}")
+        if not store.rename(source, _store(spark, f"{folder}/{new}")[1]):
+            raise OSError(f"{part} could not be renamed to {new}")
+    removed(spark, [stage])
+    return names
+
+
 def export_name(kind: str, day: date, grain: str = "daily") -> str:
     """{kind}_{date}, {kind}_weekly_{year-week} or {kind}_monthly_{year-month}."""
     if grain == "weekly":

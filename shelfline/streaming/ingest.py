@@ -6,15 +6,19 @@ writes plain tables. Batch outputs are keyed by batch number, so a retried batch
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import validate
+from ..session import cut
 from ..sources import feeds, sinks
+from ..sources.versions import Versions
 
 
 def files(spark: SparkSession, path: str, schema: T.StructType, glob: str | None = None, fmt: str = "csv", per_trigger: int | None = None) -> DataFrame:
@@ -77,28 +81,90 @@ def validated(stream: DataFrame, feed: str, root: str, checkpoint: str) -> None:
     run_to_end(stream, checkpoint, batch)
 
 
-def deduplicated(stream: DataFrame, key: list[str], ts: str, delay: str, path: str, checkpoint: str) -> None:
-    """Repeated rows dropped by key within the watermark, so state stays bounded by the delay."""
-    ingest(stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(key), path, checkpoint)
+def _since(ts: str, latest: Column | None, delay: str) -> Column:
+    """True for rows older than the newest time of earlier batches less the delay."""
+    return F.lit(False) if latest is None else F.coalesce(F.col(ts) < latest - F.expr(f"INTERVAL {delay}"), F.lit(False))
+
+
+def deduplicated(stream: DataFrame, key: list[str], ts: str, delay: str, path: str, checkpoint: str, buckets: int = 64) -> None:
+    """Each key's first row, whenever it arrives: nothing is dropped for being late. Rows older than the delay are
+    marked `late` and counted (see arrivals). A batch is compared with the keys stored in the buckets it touches,
+    buckets being a hash of the key; a batch that is tried again replaces its own rows."""
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        spark = df.sparkSession
+        rest = [ts, *[c for c in df.columns if c not in key and c != ts]]
+        first = df.groupBy(*key).agg(F.min(F.struct(*rest)).alias("x")).select(*key, "x.*").select(*df.columns)
+        rows = cut(first.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")), "batch")
+        before = _earlier(spark, f"{path}/arrivals", batch_id)
+        latest = None if before is None else before.agg(F.max("latest")).scalar()
+        stored = _earlier(spark, f"{path}/rows", batch_id, rows.withColumn("late", F.lit(False)))
+        fresh = rows.withColumn("late", _since(ts, latest, delay))
+        if stored is not None:
+            touched = [r.bucket for r in rows.select("bucket").distinct().collect()]
+            known = stored.filter(F.col("bucket").isin(touched)).select(*[F.col(k).alias(f"_{k}") for k in key])
+            same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
+            fresh = fresh.join(known, reduce(Column.__and__, same), "left_anti")
+        fresh.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/rows/batch={batch_id}")
+        kept = spark.read.schema(fresh.schema).parquet(f"{path}/rows/batch={batch_id}")
+        figures = kept.agg(F.count(F.lit(1)).alias("kept"), F.count_if("late").alias("late"))
+        _put(rows.agg(F.max(ts).alias("latest"), F.count(F.lit(1)).alias("rows")).crossJoin(figures), f"{path}/arrivals", batch_id)
+
+    run_to_end(stream, checkpoint, batch)
+
+
+def _earlier(spark: SparkSession, path: str, batch_id: int, like: DataFrame | None = None) -> DataFrame | None:
+    """What batches before this one wrote; None before the first."""
+    if not any(name.startswith("batch=") and int(name[6:]) < batch_id for name in sinks.listed(spark, path)):
+        return None
+    r = spark.read if like is None else spark.read.schema(T.StructType([*like.schema, T.StructField("batch", T.LongType())]))
+    return r.parquet(path).filter(F.col("batch") < batch_id)
+
+
+def first_rows(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """The rows kept so far, with `late`."""
+    schema = T.StructType([*like.schema, T.StructField("late", T.BooleanType())])
+    return spark.read.schema(schema).parquet(f"{path}/rows").select(*schema.names)
+
+
+def arrivals(spark: SparkSession, path: str) -> DataFrame:
+    """Per batch: newest time, keys, keys that were new, and how many of these were late."""
+    return spark.read.parquet(f"{path}/arrivals")
+
+
+TOTALS = "date date, product_id bigint, total_quantity bigint, total_revenue double, transactions bigint, late_transactions bigint"
 
 
 def daily_totals(stream: DataFrame, path: str, checkpoint: str, delay: str = "2 days") -> None:
-    """Daily product sales kept current: each batch writes the day totals it changed."""
-    day = F.window("ts", "1 day")
-    g = (
-        stream.withWatermark("ts", delay)
-        .groupBy(day.alias("w"), "product_id")
-        .agg(F.sum("quantity_sold").alias("total_quantity"), F.sum("revenue").alias("total_revenue"), F.count(F.lit(1)).alias("transactions"))
-        .select(F.col("w.start").cast("date").alias("date"), "product_id", "total_quantity", "total_revenue", "transactions")
-    )
-    run_to_end(g, checkpoint, lambda df, i: _put(df, path, i), mode="update")
+    """Daily product sales kept current. A batch is added to the stored totals of the days it touches, however old;
+    only these days are read and written, and all of them become visible together. Sales older than the delay count
+    and are also counted as late. A batch that was published is not added again."""
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        spark = df.sparkSession
+        table = Versions(spark, path, "date")
+        done = json.loads(table.tag() or "{}")
+        if done.get("batch", -1) >= batch_id:
+            return
+        before = F.lit(done["latest"]).cast(df.schema["ts"].dataType) if done.get("latest") else None
+        part = df.groupBy(F.col("ts").cast("date").alias("date"), "product_id").agg(
+            F.sum("quantity_sold").alias("total_quantity"), F.sum("revenue").alias("total_revenue"), F.count(F.lit(1)).alias("transactions"),
+            F.count_if(_since("ts", before, delay)).alias("late_transactions"), F.max("ts").alias("latest"),
+        )
+        part = cut(part, "part")
+        newest = part.agg(F.max("latest").cast("string")).first()[0]
+        touched = [r[0] for r in part.select(F.col("date").cast("string")).distinct().collect()]
+        old = table.read(spark.createDataFrame([], TOTALS), touched)
+        every = old.unionByName(part.drop("latest")).repartition("date").groupBy("date", "product_id")
+        sums = every.agg(*[F.sum(c).alias(c) for c in ("total_quantity", "total_revenue", "transactions", "late_transactions")])
+        table.publish(table.stage(sums), json.dumps({"batch": batch_id, "latest": max(filter(None, (newest, done.get("latest"))), default=None)}))
+
+    run_to_end(stream, checkpoint, batch)
 
 
 def current_totals(spark: SparkSession, path: str) -> DataFrame:
     """The newest total of each day and product over all batches."""
-    t = spark.read.parquet(path)
-    cols = [c for c in t.columns if c not in ("date", "product_id", "batch")]
-    return t.groupBy("date", "product_id").agg(F.max_by(F.struct(*cols), "batch").alias("x")).select("date", "product_id", "x.*")
+    return Versions(spark, path, "date").read(spark.createDataFrame([], TOTALS))
 
 
 def stock_alerts(stream: DataFrame, rules: DataFrame, path: str, checkpoint: str) -> None:

@@ -72,7 +72,90 @@ def test_dedup_over_batches(spark, tmp_path):
     s = batches(spark, tmp_path, PARTS)
     out = str(tmp_path / "dedup")
     ingest.deduplicated(s, ["event_id"], "ts", "5 days", out, str(tmp_path / "check"))
-    assert sorted(r["event_id"] for r in spark.read.parquet(out).collect()) == [1, 2, 3, 4, 5, 6]
+    assert sorted(r["event_id"] for r in ingest.first_rows(spark, out, s).collect()) == [1, 2, 3, 4, 5, 6]
+
+
+LATE = [[(1, 1, 7, 2), (2, 240, 7, 3)], [(3, 2, 7, 5), (4, 239, 8, 1), (2, 240, 7, 3)], [(1, 1, 7, 2), (5, 3, 8, 4), (6, 300, 9, 1), (7, None, 9, 1)]]
+
+
+def test_rows_beyond_the_delay_are_kept_and_counted(spark, tmp_path):
+    parts = [[(e, h if h is not None else 0, p, q) for e, h, p, q in rows if h is not None] for rows in LATE]
+    s = batches(spark, tmp_path, parts)
+    out = str(tmp_path / "dedup")
+    ingest.deduplicated(s, ["event_id"], "ts", "1 day", out, str(tmp_path / "check"), buckets=3)
+    got = {r["event_id"]: r["late"] for r in ingest.first_rows(spark, out, s).collect()}
+    assert got == {1: False, 2: False, 3: True, 4: False, 5: True, 6: False}
+    assert sorted((r["batch"], r["rows"], r["kept"], r["late"]) for r in ingest.arrivals(spark, out).collect()) == [(0, 2, 2, 0), (1, 3, 2, 1), (2, 3, 2, 1)]
+    totals = str(tmp_path / "totals")
+    ingest.daily_totals(s, totals, str(tmp_path / "check2"), "1 day")
+    found = {(str(r["date"]), r["product_id"]): (r["total_quantity"], r["late_transactions"]) for r in ingest.current_totals(spark, totals).collect()}
+    assert found == {("2024-01-01", 7): (9, 2), ("2024-01-01", 8): (4, 1), ("2024-01-11", 7): (6, 0), ("2024-01-10", 8): (1, 0), ("2024-01-13", 9): (1, 0)}
+
+
+def test_a_batch_that_is_tried_again_changes_nothing(spark, tmp_path, monkeypatch):
+    s = batches(spark, tmp_path, PARTS)
+    calls = []
+    monkeypatch.setattr(ingest, "run_to_end", lambda df, check, batch, mode="append": calls.append(batch))
+    ingest.daily_totals(s, str(tmp_path / "totals"), "unused")
+    ingest.deduplicated(s, ["event_id"], "ts", "1 day", str(tmp_path / "dedup"), "unused", buckets=3)
+    totals, first = calls
+    frames = [spark.read.parquet(str(tmp_path / "in" / f"part{i}")) for i in range(3)]
+    for batch_id, df in ((0, frames[0]), (1, frames[1]), (1, frames[1]), (2, frames[2]), (2, frames[2])):
+        totals(df, batch_id)
+        first(df, batch_id)
+    got = {(str(r["date"]), r["product_id"]): r["total_quantity"] for r in ingest.current_totals(spark, str(tmp_path / "totals")).collect()}
+    assert got == {("2024-01-01", 7): 7, ("2024-01-02", 7): 6, ("2024-01-01", 8): 1, ("2024-01-02", 8): 4, ("2024-01-03", 9): 1}
+    assert sorted(r["event_id"] for r in ingest.first_rows(spark, str(tmp_path / "dedup"), frames[0]).collect()) == [1, 2, 3, 4, 5, 6]
+
+
+def live_tables(spark):
+    products = spark.createDataFrame([(f"P{i}", "other", 1.0, 2.0) for i in range(1, 4)], "product_id string, category string, unit_cost double, selling_price double")
+    stock = spark.createDataFrame([(1, dt.datetime(2024, 1, 5), dt.date(2024, 1, 5), "P1", "loc", 5, 1, 0)], "event_id bigint, ts timestamp_ntz, date date, product_id string, location string, stock_level bigint, reserved_stock bigint, in_transit bigint")
+    signals = spark.createDataFrame(
+        [(1, dt.datetime(2024, 1, 5), dt.date(2024, 1, 5), "P1", "high", 0.1, 2.0, "cold", "none", 0.2)],
+        "event_id bigint, ts timestamp_ntz, date date, product_id string, external_demand string, market_trend double, competitor_price double, weather_factor string, event_impact string, social_sentiment double",
+    )
+    return {"products": products, "stock": stock, "signals": signals}
+
+
+def test_daily_job_uses_what_it_ingested_and_goes_on_after_a_failure(spark, tmp_path, monkeypatch):
+    import pytest
+
+    box, root = tmp_path / "drop", str(tmp_path / "root")
+    drop(box, "sales_1.csv", [(day(5), "P1", "online", 2, 20.0), (day(5), "P2", "pos", 3, 5.0)])
+
+    def run():
+        stream = ingest.feed_files(spark, str(box), "sales", per_trigger=1)
+        return jobs.daily_job(spark, {"sales": stream}, root, live_tables(spark), "2024-01-06", "2024-01-05").collect()[0]
+
+    def seen():
+        rows = spark.read.parquet(f"{root}/metrics").filter("data_source = 'sales' and metric_name = 'completeness'").collect()
+        demand = {r["product_id"]: r["velocity_avg_daily_quantity"] for r in spark.read.parquet(f"{root}/features").collect()}
+        return round(rows[0]["metric_value"], 6), demand["P1"]
+
+    done, failing = [], [True]
+    real, build = jobs.quality.comprehensive, jobs.features.feature_set
+    monkeypatch.setattr(jobs.quality, "comprehensive", lambda *a: (done.append("checks"), real(*a))[1])
+
+    def feature_set(*a):
+        if failing and failing.pop():
+            raise RuntimeError("lost")
+        done.append("features")
+        return build(*a)
+
+    monkeypatch.setattr(jobs.features, "feature_set", feature_set)
+    with pytest.raises(RuntimeError, match="lost"):
+        run()
+    assert done == ["checks"]
+    first = run()  # goes on with the features
+    assert done == ["checks", "features"] and (first["files_processed"], first["records_processed"]) == (1, 2)
+    assert seen() == (round(2 / 3, 6), 2.0)
+    run()  # nothing new: no step is done again
+    assert done == ["checks", "features"]
+    drop(box, "sales_2.csv", [(day(5), "P3", "online", 1, 20.0), (day(5), "P1", "pos", 4, 5.0)])
+    second = run()
+    assert done == ["checks", "features"] * 2 and second["records_processed"] == 4
+    assert seen() == (1.0, 6.0)
 
 
 def test_stock_alerts_and_freshness(spark, tmp_path):
