@@ -205,29 +205,45 @@ def window_credit(conversions: DataFrame, touches: DataFrame) -> DataFrame:
     )
 
 
+#: Length of the piece of text by which a URL finds the campaign keys that it may contain.
+ANCHOR = 6
+
+
+def _pieces(text: str, size: Column | int) -> Column:
+    """Different pieces of a text that are `size` long; none of a shorter text."""
+    n = F.length(text) - size + 1
+    return F.array_distinct(F.transform(F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: i <= n), lambda i: F.substr(F.col(text), i, F.lit(size) if isinstance(size, int) else size)))
+
+
+def anchored(keys: DataFrame) -> DataFrame:
+    """Keys with their anchor: of the pieces of ANCHOR characters the one that fewest keys have; short keys as a whole."""
+    long = F.length("key") >= ANCHOR
+    pieces = keys.filter(long).select("key").distinct().withColumn("anchor", F.explode(_pieces("key", ANCHOR)))
+    common = pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+    rarest = pieces.join(common, "anchor").groupBy("key").agg(F.min(F.struct("n", "anchor")).alias("x")).select("key", "x.anchor")
+    return keys.filter(long).join(rarest, "key").unionByName(keys.filter(~long).withColumn("anchor", F.col("key")))
+
+
 def campaign_url_matches(orders: DataFrame, campaigns: DataFrame) -> DataFrame:
     """Orders whose landing URL contains a campaign name, or its cleaned form after `utm_campaign=`.
 
-    Containment becomes an equi-join: each distinct URL is cut into the substrings that are as
-    long as some search key (the few key lengths come from a one-row subquery) and joined on the
-    text; the matches then go back to the orders on the URL.
+    Containment becomes an equi-join: each distinct URL is cut into its pieces of ANCHOR characters (one per position at
+    most) and joined with the keys on their rarest piece, their anchor; then the whole key is looked for in the URL. Keys
+    shorter than that join on pieces of their own length (the few such lengths come from a one-row subquery). The
+    matches go back to the orders on the URL.
     """
     name = F.lower("campaign_name")
     keys = campaigns.select(
         "campaign_id",
         F.explode(F.array(name, F.concat(F.lit("utm_campaign="), F.regexp_replace(name, "[^a-z0-9_-]+", "")))).alias("key"),
     ).distinct()
-    lengths = keys.agg(F.collect_set(F.length("key")).alias("l")).scalar()
+    short = keys.filter(F.length("key") < ANCHOR).agg(F.collect_set(F.length("key")).alias("l")).scalar()
     visits = orders.filter(F.length("landing_site") > 1).select("order_id", "landing_site")
-    urls = visits.select("landing_site").distinct().select("landing_site", F.lower("landing_site").alias("url"), lengths.alias("lengths"))
-    pieces = F.flatten(
-        F.transform(
-            F.filter("lengths", lambda n: n <= F.length("url")),
-            lambda n: F.transform(F.sequence(F.lit(1), F.length("url") - n + 1), lambda i: F.col("url").substr(i, n)),
-        )
-    )
-    parts = urls.select("landing_site", F.explode(F.array_distinct(pieces)).alias("key"))
-    matches = parts.join(keys, "key").select("landing_site", "campaign_id").distinct()
+    urls = visits.select("landing_site").distinct().select("landing_site", F.lower("landing_site").alias("url"), short.alias("short"))
+    small = F.array_distinct(F.flatten(F.transform("short", lambda n: _pieces("url", n))))
+    parts = urls.select("landing_site", "url", F.explode(F.concat(_pieces("url", ANCHOR), small)).alias("anchor"))
+    found = parts.join(anchored(keys), "anchor").filter(F.contains("url", "key"))
+    matches = found.select("landing_site", "campaign_id").distinct()
     return visits.join(matches, "landing_site").select("order_id", "campaign_id", F.lit(ADS).alias("channel"))
 
 
@@ -265,7 +281,7 @@ def either_key_join(attr: DataFrame, mail: DataFrame) -> DataFrame:
 def clv(attr: DataFrame) -> DataFrame:
     return attr.groupBy("customer_email").agg(
         F.sum("total_attributed_revenue").alias("total_clv"),
-        F.countDistinct("order_id").alias("total_orders"),
+        F.count("order_id").alias("total_orders"),
         F.min("date").alias("first_attribution_date"),
         F.max("date").alias("last_attribution_date"),
     )
@@ -287,7 +303,7 @@ def clv_by_channel_pair(attr: DataFrame, as_of: str, days: int = 90) -> DataFram
 def with_customer_segments(attr: DataFrame) -> DataFrame:
     """Order-count and value segment of the customer next to each journey."""
     m = attr.groupBy("customer_email").agg(
-        F.countDistinct("order_id").alias("total_orders"),
+        F.count("order_id").alias("total_orders"),
         F.sum("total_attributed_revenue").alias("lifetime_value"),
         F.avg("total_attributed_revenue").alias("avg_order_value"),
     )
@@ -310,7 +326,7 @@ def daily_touch_revenue(attr: DataFrame) -> DataFrame:
 
     return attr.groupBy(F.col("date").alias("attribution_date"), "product_id", "first_touch_channel", "last_touch_channel").agg(
         F.sum("total_attributed_revenue").alias("total_attributed_revenue"),
-        F.countDistinct("order_id").alias("attributed_orders"),
+        F.count("order_id").alias("attributed_orders"),
         rev("first", ADS).alias("ads_first_touch_revenue"),
         rev("last", ADS).alias("ads_last_touch_revenue"),
         rev("first", EMAIL).alias("email_first_touch_revenue"),
@@ -443,7 +459,7 @@ def campaign_totals(attr: DataFrame, as_of: str, days: int = 90) -> DataFrame:
         .agg(
             F.sum("ads_attributed_revenue").alias("ads_total_attributed"),
             F.sum("email_attributed_revenue").alias("email_total_attributed"),
-            F.countDistinct("order_id").alias("attributed_orders"),
+            F.count("order_id").alias("attributed_orders"),
         )
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import above, cases, count_if, dow, money, ratio, since, up_to
@@ -152,15 +152,13 @@ def order_attributes(orders: DataFrame) -> DataFrame:
 
 
 def order_totals(orders: DataFrame, items: DataFrame, as_of: str, days: int = 90) -> DataFrame:
-    """Recent orders with their line count, units and mean line value."""
-    recent = orders.filter(since("order_date", as_of, days)).select(
-        "order_id", "customer_email", "order_date", F.col("total_price").alias("order_value"), "financial_status"
-    )
-    per_order = items.groupBy("order_id").agg(F.count(F.lit(1)).alias("items_count"), F.sum("quantity").alias("total_units"))
-    joined = recent.join(per_order, "order_id", "left")
-    return joined.withColumns(
-        {"items_count": F.coalesce("items_count", F.lit(0)), "avg_item_value": ratio("order_value", "items_count")}
-    )
+    """Recent orders with their line count, units and mean line value. Lines meet the recent orders first and are folded
+    where the join has put them, so lines of older orders are neither kept nor shuffled again."""
+    keys = ["order_id", "customer_email", "order_date", "order_value", "financial_status"]
+    recent = orders.filter(since("order_date", as_of, days)).withColumn("order_value", F.col("total_price")).select(*keys)
+    lines = recent.join(items.select("order_id", "quantity", F.lit(1).alias("line")), "order_id", "left")
+    joined = lines.groupBy(*keys).agg(F.count("line").alias("items_count"), F.sum("quantity").alias("total_units"))
+    return joined.withColumn("avg_item_value", ratio("order_value", "items_count"))
 
 
 def order_products(orders: DataFrame, items: DataFrame, as_of: str, days: int = 90, span: int = 1000) -> DataFrame:
@@ -284,7 +282,7 @@ def lifecycle(orders: DataFrame, attribution: DataFrame, as_of: str, days: int =
 
 def customer_class(attribution: DataFrame) -> DataFrame:
     """New / returning / loyal per journey from the customer's order count, one aggregate and one join."""
-    n = attribution.groupBy("customer_email").agg(F.countDistinct("order_id").alias("n_orders"))
+    n = attribution.groupBy("customer_email").agg(F.count("order_id").alias("n_orders"))
     label = cases([(F.col("n_orders") == 1, "new_customer"), (F.col("n_orders").between(2, 5), "returning_customer")], "loyal_customer")
     return attribution.join(n, "customer_email").select("order_id", "customer_email", "date", label.alias("customer_segment"))
 
@@ -307,8 +305,8 @@ def sales_export(orders: DataFrame, items: DataFrame, products: DataFrame, credi
     o = orders.filter((F.col("financial_status") == "paid") & since("order_date", as_of, days) & (F.col("order_date") < F.lit(as_of).cast("date")))
     o = o.select("order_id", "order_date", "customer_email", "customer_orders_count", "shipping_country")
     per_order = items.select("order_id", "product_id", "quantity", "price", line_revenue().alias("rev"), "total_discount")
-    totals = per_order.groupBy("order_id").agg(F.sum("rev").alias("order_rev"))
-    lines = o.join(per_order, "order_id").join(totals, "order_id").join(credit, "order_id", "left")
+    # The total of an order is summed over its joined lines, which are together already: one pass over the line table.
+    lines = o.join(per_order, "order_id").withColumn("order_rev", F.sum("rev").over(Window.partitionBy("order_id"))).join(credit, "order_id", "left")
     share = ratio("rev", "order_rev", 0.0)
     g = lines.groupBy(F.col("order_date").alias("sale_date"), "product_id", "shipping_country").agg(
         F.sum("quantity").alias("units_sold"),
