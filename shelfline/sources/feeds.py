@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalar import product_list
 from ..session import cut
+from . import sinks
 from .versions import Versions
 
 # The declared columns of each feed (required first) with types, and fill-in defaults.
@@ -53,20 +54,30 @@ def text_schema(columns) -> T.StructType:
 FILE, BAD = "_file_name", "_bad_line"
 
 
+#: Files whose first line is read by opening them; endings of files that have to be unpacked for it.
+OPENED, PACKED = 1000, (".gz", ".bz2", ".zst", ".lz4", ".snappy", ".deflate")
+
+
 def layouts(spark: SparkSession, path: str | list[str]) -> dict[tuple[str, ...], list[str]]:
     """Files by the column names of their header line, in order. A byte-order mark and blanks around names are
-    dropped; a name that occurs again gets a number; files without any line are left out. One row per different
-    header line, with its file names, reaches the driver."""
-    lines = spark.read.text(path).filter("_metadata.file_block_start = 0")
-    lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"))
-    heads = lines.groupBy("file").agg(F.min_by("value", "row").alias("head")).groupBy("head").agg(F.collect_list("file").alias("files"))
+    dropped; a name that occurs again gets a number; files without any line are left out. Of up to OPENED plain files only
+    the first bytes are read; the headers of more, or of compressed ones, come from a pass over the text, which sends one
+    row per different header line, with its file names, to the driver."""
+    files = [r.path for r in spark.read.format("binaryFile").load(path).select("path").limit(OPENED + 1).collect()]
+    if len(files) <= OPENED and not any(f.lower().endswith(PACKED) for f in files):
+        heads = [(head, [f]) for f in files if (head := sinks.first_line(spark, f)) is not None]
+    else:
+        lines = spark.read.text(path).filter("_metadata.file_block_start = 0")
+        lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"))
+        first = lines.groupBy("file").agg(F.min_by("value", "row").alias("head")).groupBy("head").agg(F.collect_list("file").alias("files"))
+        heads = [(r.head, list(map(unquote, r.files))) for r in first.collect()]
     found: dict[tuple[str, ...], list[str]] = {}
-    for r in heads.collect():
+    for head, same in heads:
         names: list[str] = []
-        for name in next(csv.reader([r.head.lstrip("\ufeff")]), []):
+        for name in next(csv.reader([head.lstrip("\ufeff")]), []):
             name = name.strip()
             names.append(name if name not in names else f"{name}_{len(names) + 1}")
-        found.setdefault(tuple(names), []).extend(map(unquote, r.files))
+        found.setdefault(tuple(names), []).extend(same)
     return found
 
 

@@ -25,6 +25,21 @@ def listed(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in store.listStatus(p)) if store.exists(p) else []
 
 
+def first_line(spark: SparkSession, path: str) -> str | None:
+    """First line of a text file, of which no more is read than a few kilobytes; None of an empty file."""
+    store, p = _store(spark, path)
+    stream, head = store.open(p), b""
+    try:
+        while not re.search(rb"[\r\n]", head):
+            more = bytes(stream.readNBytes(1 << 16))
+            if not more:
+                break
+            head += more
+    finally:
+        stream.close()
+    return re.split(r"[\r\n]", head.decode("utf-8", "replace"), maxsplit=1)[0] if head else None
+
+
 def removed(spark: SparkSession, paths: list[str]) -> None:
     """Deletes files and folders with all they hold."""
     for path in paths:

@@ -33,7 +33,7 @@ def files(spark: SparkSession, path: str, schema: T.StructType, glob: str | None
     return r.load(path)
 
 
-def feed_files(spark: SparkSession, path: str, feed: str, per_trigger: int | None = None, glob: str | None = None) -> DataFrame:
+def feed_files(spark: SparkSession, path: str, feed: str, per_trigger: int = 1000, glob: str | None = None) -> DataFrame:
     """Paths of the files of one feed kind, found by name, each once. Their contents are read by `validated`, which
     looks up each file's own header."""
     schema = T.StructType.fromDDL("path string, modificationTime timestamp, length bigint, content binary")
