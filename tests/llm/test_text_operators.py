@@ -1,10 +1,15 @@
 """Phrases, HTML, chat, licenses: brute force on small fixtures and edge rows."""
 
 import hashlib
+import math
+import os
 import random
+import re
+import time
 
 import duckdb
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from shelfline.llm import chat, html, licenses, phrases
 
@@ -75,7 +80,54 @@ def test_text_without_an_article():
     assert len(html.main_text("<div>" * 5000 + "deep")) == 4
 
 
+PAGES_FILE = "/root/testdata/sf0.01/pages.parquet"
+
+
+@pytest.mark.skipif(not os.path.exists(PAGES_FILE), reason="no test tables")
+def test_density_decides_without_names():
+    """The given pages without the names of their elements and classes keep their texts."""
+    pages = pq.read_table(PAGES_FILE).column("html").to_pylist()
+    for page in pages:
+        bare = re.sub(r"<(/?)article\b", r"<\1div", page or "").replace('class="ad"', 'class="x91"')
+        assert html.main_text(bare) == html.main_text(page)
+
+
+def test_densities_by_plain_counts():
+    page = "<div><h1>Title of it</h1><p>Some <a href=x>linked words</a> and more text here.</p><ul><li><a href=y>one</a><li><a href=z>two</a></ul></div><p>Beside it.</p>"
+    order = html.measure(html.tree(page))
+    body = order[0]
+
+    def inside(node):
+        return [y for x in node.items if isinstance(x, html.Node) for y in [x, *inside(x)]]
+
+    def chars(node):
+        return sum(len(x.strip()) if isinstance(x, str) else chars(x) for x in node.items)
+
+    for n in order:
+        links = [x for x in inside(n) if x.tag == "a"]
+        c, t, lc, lt = chars(n), max(1, len(inside(n))), chars(n) if n.tag == "a" else sum(map(chars, links)), max(1, len(links))
+        whole = sum(chars(x) for x in inside(body) if x.tag == "a") / chars(body)
+        want = c / t * math.log(max(1, c / max(1, lc) * t / lt)) / math.log(math.log(c / max(1, c - lc) * lc + whole * c + math.e)) if c else 0
+        assert n.chars == c and (n.tag == "a" or abs(n.density - want) < 1e-9 * max(1, abs(want)))
+    blocks = [sum(x.density for x in n.items if isinstance(x, html.Node) and x.tag in html.BLOCK) for n in order]
+    assert [html.density_sum(n) for n in order] == blocks
+
+
+def test_titles_menus_and_adverts():
+    story = "<p>Soup and bread, and more of it for all of us.</p><p>And a long dessert to follow.</p>"
+    page = f'<body><div class="post-header"><h1>Title</h1></div><div><h2 class="menu">Menu of the day</h2>{story}</div><div class="q7">Buy now</div></body>'
+    assert html.main_text(page).split("\n")[:2] == ["Title", "Menu of the day"] and "Buy" not in html.main_text(page)
+
+
+@pytest.mark.parametrize("page", ["<p>x</p>" + "<a " * 350_000, "<div>" * 3000 + "</i>" * 100_000 + "<p>x", "<a \"'>" * 100_000, "<!--" * 200_000, "<div>" * 100_000], ids=["no end", "stray ends", "quotes", "comments", "depth"])
+def test_hostile_pages_take_linear_time(page):
+    began = time.time()
+    html.main_text(page)
+    assert time.time() - began < 5
+
+
 def test_pages_frame(spark):
+    assert html.extracted(spark.createDataFrame([], "page_id int, url string, html string")).count() == 0
     pages = spark.createDataFrame([(1, "u", "<p>x", "old")], "page_id int, url string, html string, text string")
     assert [tuple(r) for r in html.extracted(pages).collect()] == [(1, "u", "x")]
 
