@@ -143,6 +143,18 @@ class Lattice:
         return out
 
 
+def frequent_from(words: DataFrame, most: int) -> int:
+    """The least count for which no more than `most` words have it or more, from a histogram of a few hundred rows."""
+    steps = words.groupBy(F.floor(F.log2("n") * 8).alias("step")).agg(F.count("*").alias("words"), F.max("n").alias("top")).orderBy(F.desc("step")).collect()
+    least, left = (steps[0].top + 1 if steps else 1), most
+    for i, r in enumerate(steps):
+        left -= r.words
+        if left < 0:
+            break
+        least = steps[i + 1].top + 1 if i + 1 < len(steps) else 1
+    return least
+
+
 def scored(docs: DataFrame, learn: Column, path: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = docs.sparkSession
@@ -154,7 +166,7 @@ def scored(docs: DataFrame, learn: Column, path: str) -> DataFrame:
     words = counts.filter(F.col("kind") == WORD)
     different = words.count() + (ends > 0)
     n_train = sums.get(LENGTH, 0) + ends
-    common = words.orderBy(F.desc("n"), "key").limit(COMMON).select("key", "n").collect()
+    common = words.filter(F.col("n") >= frequent_from(words, COMMON)).select("key", "n").collect()
     shared = spark.sparkContext.broadcast(({r.key: math.log10(r.n + 1) for r in common}, pieces))
     state: dict = {}
 
