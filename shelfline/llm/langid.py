@@ -3,7 +3,8 @@
 Method. A text is a vector of its byte n-grams (one to three bytes of the lower-cased text with all but letters taken
 for a space), hashed into DIMENSIONS places, weighted by 1 + log(count) times IDF and scaled to length one. Document
 frequencies are counted over all documents to learn from. The centroids come from spherical k-means within each
-language, on a bounded sample: ROWS documents of a language, MOST_ROWS in all. A text gets the language of the
+language, on a bounded sample: ROWS texts of a language (those of the smallest hashes), MOST_ROWS in all; a cluster of
+less than a twentieth of its language's sample is noise and gives no centroid. A text gets the language of the
 centroid of greatest cosine. It is rejected where that cosine is below FAR times the tenth percentile among sample
 documents of about its number of n-grams.
 
@@ -19,10 +20,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_lists, numbered, renamed
+from .common import BROADCAST_ROWS, map_lists, numbered, renamed
 
 DIMENSIONS = 4096
 ROWS, MOST_ROWS = 400, 8000
@@ -103,20 +104,26 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def sample(docs: DataFrame) -> list:
-    """Up to about ROWS documents of each language as sparse counts: lang, place, n."""
-    sizes = {r.lang: r["count"] for r in docs.groupBy("lang").count().collect()}
-    if not sizes:
+    """Up to ROWS different texts of each language as sparse counts: lang, place, n."""
+    # The texts of the smallest hashes of each language, equal texts once.
+    hashed = docs.select("lang", "text", F.xxhash64("text", F.lit("sample")).alias("hash"))
+    hashes = hashed.select("lang", "hash").distinct()
+    langs = hashes.select("lang").distinct().count()
+    if not langs:
         return []
-    rows = min(ROWS, MOST_ROWS // len(sizes) + 1)
-    chance = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, rows / n))])
-    drawn = (F.pmod(F.xxhash64("doc_id", F.length("text"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)) < chance[F.col("lang")]
+    rows = min(ROWS, MOST_ROWS // langs + 1)
+    order = Window.partitionBy("lang").orderBy("hash")
+    few = hashes.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= rows)
+    upto = few.groupBy("lang").agg(F.max("hash").alias("upto")).withColumnRenamed("lang", "of")
+    upto = F.broadcast(upto) if langs <= BROADCAST_ROWS else upto
+    drawn = hashed.join(upto, (F.col("lang") == F.col("of")) & (F.col("hash") <= F.col("upto"))).dropDuplicates(["lang", "hash"])
 
     def run(texts):
         found = [grams(t) for t in texts]
         places = [np.flatnonzero(c) if c is not None else None for c in found]
         return {"place": places, "n": [c[p] if c is not None else None for c, p in zip(found, places, strict=True)]}
 
-    return map_lists(docs.filter(drawn).select("lang", "text"), run, "place array<int>, n array<int>", keep=["lang"]).filter("place is not null").collect()
+    return map_lists(drawn.select("lang", "text"), run, "place array<int>, n array<int>", keep=["lang"]).filter("place is not null").collect()
 
 
 def clustered(v: np.ndarray, k: int, steps: int = 12) -> np.ndarray:
