@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .common import pieces, small_batches
 
 #: Classes in a block, anchors in a pack and packs in a team, on average.
 BLOCK, PACK, TEAM = 4096, 128, 64
@@ -174,7 +175,7 @@ def _meetings(candidates: DataFrame, packs: DataFrame, units: int, width: int, k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, tree, waiting = None, None, ([], [], [])
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole)):
             found = []
             for row in batch.to_pylist():
                 if (row["block"], row["team"]) != unit:
@@ -192,7 +193,7 @@ def _meetings(candidates: DataFrame, packs: DataFrame, units: int, width: int, k
                     found += [(a["cid"], w["of"], min(max(score, LEAST), MOST), one) for w, best in zip(a["windows"], first, strict=True) for score, one in best]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)] if found else [pa.array([], pa.int64())] * 4, schema=out)
 
-    return dealt.mapInArrow(run, "cid bigint, of bigint, score bigint, id bigint")
+    return small_batches(dealt).mapInArrow(run, "cid bigint, of bigint, score bigint, id bigint")
 
 
 def _packed(asked: DataFrame, by: list[str], packs: Column) -> DataFrame:
