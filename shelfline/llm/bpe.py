@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from .common import map_lists
 
 #: Distinct pieces and token pairs a worker remembers; beyond that it starts afresh.
-MEMORY = 400_000
+MEMORY = 300_000
 CHUNK = 1_000_000
 
 

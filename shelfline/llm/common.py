@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -58,19 +59,28 @@ def map_lists(
             arrays = [batch.column(c) for c in keep]
             arrays += [x if isinstance(x := new[f.name], pa.Array) else pa.array(x, f.type) for f in arrow]
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in out])
+        give_back()
 
     return small_batches(df).select(*keep, *[c for c in given if c not in keep]).mapInArrow(run, out)
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system at the end of a task; a worker is kept for the next one and would hold it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU C library has it
+    if trim:
+        trim(0)
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """Batches of BATCH rows on their way to Python and back, so that texts in transit stay small on both sides."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     return df
 
 
-def small_side(df: DataFrame) -> DataFrame:
-    """A written table of a few numbers a row as the side of a join: broadcast if its rows are few."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table as the side of a join: broadcast if it has few rows (by default: of a few numbers each)."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def numbered(df: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import U64, byte_words, map_lists, minima, mixed, numbered, renamed, signed, spread, word_hashes
+from .common import U64, byte_words, map_lists, minima, mixed, numbered, renamed, signed, small_side, spread, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 75  # percent
@@ -152,14 +152,19 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
 
 def sets_of(cids: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """cid and its whole set of shingles."""
-    wanted = cut(cids.distinct().join(classes.select("cid", "set_key", "rep"), "cid"), "wanted")
-    texts = docs.select("doc_id", "text")
-    named = texts.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    unnamed = texts.filter("doc_id is null")
-    found = full_sets(named.union(unnamed), size)
+    wanted = cut(cids.distinct().join(classes.select("cid", "set_key", "place"), "cid"), "wanted")
+    # Each class has its set made from one text, found by the hash of its row; texts move only if the list is too long to broadcast.
+    texts = docs.select(row_place().alias("place"), "text")
+    found = full_sets(texts.join(small_side(wanted.select("place")), "place", "left_semi").dropDuplicates(["place"]), size)
     return cut(wanted.select("cid", "set_key").join(found, "set_key").select("cid", "shingles"), "sets")
 
 
+def row_place() -> Column:
+    """Hash of a row's id and text: where a class finds its text again. Rows that share it by chance are told apart by
+    the hash of their whole set."""
+    return F.xxhash64("doc_id", "text")
+
+
 def _similar(a: str, b: str, similarity: int) -> Column:
     return F.size(F.array_intersect(a, b)) * (100 + similarity) >= (F.size(a) + F.size(b)) * similarity
 
@@ -250,7 +255,7 @@ def _named(sketched: DataFrame, docs: DataFrame, size: int, similarity: int, per
     classes = cut(
         sketched.filter("n_shingles > 0")
         .groupBy("set_key")
-        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+        .agg(F.min("doc_id").alias("rep"), F.min("place").alias("place"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
         .withColumn("cid", F.monotonically_increasing_id()),
         "classes",
     )
@@ -265,7 +270,7 @@ def near_duplicates(
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable over links of at least
     `similarity` percent), kept (doc_id = component_id)."""
     docs = docs.select("doc_id", "text")
-    sketched = cut(sketches(docs, size, permutations, seed), "sketches")
+    sketched = cut(sketches(docs.withColumn("place", row_place()), size, permutations, seed, keep=("doc_id", "place")), "sketches")
     named = _named(sketched, docs, size, similarity, permutations)
     roots = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     homes = named.join(roots, "label").select("set_key", "component_id")
@@ -290,7 +295,7 @@ def deduplicated(
     doc_id, text = (f"_{columns.index(c)}" for c in ("doc_id", "text"))
     rows = numbered(docs).withColumn("text_key", F.unhex(F.md5(F.col(text).cast("binary"))))
     keyed = rows.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), "text_key")
-    sketched = cut(sketches(keyed, size, permutations, seed, keep=("doc_id", "text_key")), "sketches")
+    sketched = cut(sketches(keyed.withColumn("place", row_place()), size, permutations, seed, keep=("doc_id", "place", "text_key")), "sketches")
     named = _named(sketched, keyed.select("doc_id", "text"), size, similarity, permutations)
     # Rows of one id and text are one key, so that a key of any size is folded before the shuffle.
     keys = cut(sketched.groupBy("doc_id", "text_key").agg(F.first("set_key").alias("set_key"), F.count("*").alias("rows")), "keys")
@@ -298,7 +303,7 @@ def deduplicated(
     chosen = keys.join(named.select("set_key", "label"), "set_key").groupBy("label").agg(first).select("first.doc_id", "first.text_key", "first.rows")
     chosen = chosen.union(keys.filter("set_key is null").select("doc_id", "text_key", "rows"))
     chosen = cut(chosen, "chosen").toDF("chosen_id", "chosen_text", "chosen_rows")
-    kept = rows.join(chosen, F.col(doc_id).eqNullSafe(F.col("chosen_id")) & F.col("text_key").eqNullSafe(F.col("chosen_text")))
+    kept = rows.join(small_side(chosen), F.col(doc_id).eqNullSafe(F.col("chosen_id")) & F.col("text_key").eqNullSafe(F.col("chosen_text")))
     single = kept.filter("chosen_rows = 1")
     several = kept.filter("chosen_rows > 1").dropDuplicates([doc_id, text])
     return renamed(single.unionByName(several), columns)

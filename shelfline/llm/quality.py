@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import map_lists, numbered, renamed
+from .common import map_lists, numbered, renamed, small_side
 
 ALPHA = 0.75
 CUT = 0.999999
@@ -105,6 +105,8 @@ VECTOR = (
 #: What each statistic of VECTOR is counted over, and how many of these one event covers.
 COUNTED = (("n_words", 1), ("n_words", 1), ("n_lines", 0.25), ("n_words", 3), ("n_words", 1), ("word_chars", 1))
 P = len(VECTOR)
+#: Groups (a few hundred bytes each) up to which their table is broadcast; rows then stay where they are, also those of a hot group.
+GROUPS = 50_000
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 
 
@@ -181,15 +183,15 @@ def keys(stats: DataFrame) -> DataFrame:
 def vectors(stats: DataFrame, groups: DataFrame) -> DataFrame:
     """stats with the vector x and the key of the group that judges the row."""
     rows = stats.withColumn("x", F.array(*[v() for v in VECTOR]))
-    return rows.join(groups, F.expr("lang <=> _lang and source <=> _source")).drop("_lang", "_source")
+    return rows.join(small_side(groups, GROUPS), F.expr("lang <=> _lang and source <=> _source")).drop("_lang", "_source")
 
 
 def estimates(rows: DataFrame) -> DataFrame:
     """The minimum-covariance-determinant estimate of every key: key, center, inverse, log_det."""
     inside = 1 / (chi2(chi2_quantile(ALPHA, P), P + 2) / ALPHA)
     x = [F.col("x")[i] for i in range(P)]
-    middle = rows.groupBy("key").agg(F.array(*[F.percentile_approx(c, 0.5, 1000) for c in x]).alias("center"))
-    off = rows.join(middle, "key").groupBy("key").agg(
+    middle = cut(rows.groupBy("key").agg(F.array(*[F.percentile_approx(c, 0.5, 1000) for c in x]).alias("center")), "middle")
+    off = rows.join(small_side(middle, GROUPS), "key").groupBy("key").agg(
         F.first("center").alias("center"),
         F.array(*[F.percentile_approx(F.abs(c - F.col("center")[i]), 0.5, 1000) for i, c in enumerate(x)]).alias("off"),
     )
@@ -199,9 +201,9 @@ def estimates(rows: DataFrame) -> DataFrame:
     plain = _estimates(_moments(rows.withColumn("start", F.lit(1))), 1.0)
     now = cut(robust.unionByName(plain), "estimates")
     for _ in range(STEPS):
-        at = rows.select("key", "x").join(now, "key").select("key", "start", "x", _distance().alias("d"))
-        near = at.groupBy("key", "start").agg(F.percentile_approx("d", ALPHA, 1000).alias("limit"))
-        half = at.join(near, ["key", "start"]).filter("d <= limit")
+        at = rows.select("key", "x").join(small_side(now, GROUPS), "key").select("key", "start", "x", _distance().alias("d"))
+        near = cut(at.groupBy("key", "start").agg(F.percentile_approx("d", ALPHA, 1000).alias("limit")), "near")
+        half = at.join(small_side(near, GROUPS), ["key", "start"]).filter("d <= limit")
         now = cut(_estimates(_moments(half), inside), "estimates")
     return now.groupBy("key").agg(F.min_by(F.struct("center", "inverse"), "log_det").alias("best")).select("key", "best.*")
 
@@ -238,7 +240,7 @@ def _verdict(rows: DataFrame, found: DataFrame) -> DataFrame:
     off = [F.pow(F.col("x")[i] - F.col("center")[i], 2) for i in range(P)]
     flat = [F.coalesce(off[i] / (F.col("flat")[i] + _counting(F.col(c), covers)), F.lit(0.0)) for i, (c, covers) in enumerate(COUNTED)]
     return (
-        rows.join(found, "key", "left")
+        rows.join(small_side(found, GROUPS), "key", "left")
         .withColumn("base_failed", base_rule())
         .withColumn("distance", F.coalesce(_distance() + _total(flat), F.lit(0.0)))
         .withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= chi2_quantile(CUT, P)))
@@ -248,8 +250,8 @@ def _verdict(rows: DataFrame, found: DataFrame) -> DataFrame:
 def judged(docs: DataFrame) -> DataFrame:
     """doc_id, the statistics, base_failed, distance (squared) and kept."""
     stats = cut(measured(docs), "statistics")
-    rows = cut(vectors(stats, keys(stats)), "vectors")
-    found = judges(rows.filter(~base_rule()))
+    rows = cut(vectors(stats, cut(keys(stats), "keys")), "vectors")
+    found = cut(judges(rows.filter(~base_rule())), "judges")
     return _verdict(rows, found).select("doc_id", *STATISTICS, "base_failed", "distance", "kept")
 
 
@@ -259,7 +261,7 @@ def passed(docs: DataFrame) -> DataFrame:
     at = {c: f"_{columns.index(c)}" for c in ("text", "lang", "source")}
     stats = cut(measured(docs), "statistics")
     groups = cut(keys(stats), "keys")
-    found = judges(vectors(stats, groups).filter(~base_rule()))
+    found = cut(judges(cut(vectors(stats, groups).filter(~base_rule()), "vectors")), "judges")
     rows = numbered(docs)
     rows = map_lists(rows, _columns, SCHEMA, keep=rows.columns, read=[at["text"]])
     rows = vectors(rows.withColumns({c: F.col(at[c]) for c in ("lang", "source")}), groups)

@@ -64,7 +64,7 @@ SQL["op3_mixing"] = rf"""
 WITH RECURSIVE docs AS (
   SELECT doc_id, 'd' || coalesce(CAST(try_cast(regexp_extract(source, '(\d)$', 1) AS INTEGER) % 4 AS VARCHAR), 'x') AS domain,
     coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source,
-    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS tokens
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS tokens, md5(coalesce(text, '')) AS text_key
   FROM documents
 ), leaves AS (
   SELECT domain, lang, source, sum(tokens) AS tokens, CAST(sum(tokens) * {MIX_EPOCHS} AS DOUBLE) AS room,
@@ -98,7 +98,7 @@ d AS (
     CASE WHEN s.tokens > 0 THEN CAST(budget AS BIGINT) % s.tokens ELSE 0 END AS rest
   FROM docs JOIN s ON docs.domain = s.domain AND docs.lang = s.lang AND docs.source = s.source
 ), o AS (
-  SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{MIX_SEED}:' || whole || ':' || coalesce(CAST(doc_id AS VARCHAR), ''))) AS upto FROM p
+  SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{MIX_SEED}:' || whole || ':' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || text_key || ':' || tokens) ROWS UNBOUNDED PRECEDING) AS upto FROM p
 )
 SELECT doc_id, domain, lang, source, tokens, CAST(whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS INTEGER) AS epochs FROM o"""
 

@@ -52,8 +52,65 @@ def test_mix_of_odd_rows(spark):
     weights = {"domain": F.lit(1), "lang": F.lit(1), "source": F.lit(1)}
     choice = mixing.mixed(docs, weights, 1.0, 1, 5)
     assert choice.count() == 5 and choice.agg(F.sum(F.col("tokens") * F.col("epochs"))).first()[0] == 8
-    assert mixing.drawn(docs, choice).columns == docs.columns
+    groups = mixing.chosen(docs, weights, 1.0, 1, 5)
+    # Rows without tokens are taken where their turn comes before the rest is used up; a whole epoch takes all.
+    assert mixing.drawn(docs, groups).columns == docs.columns and mixing.drawn(docs, groups).count() == 4
     assert mixing.mixed(docs.limit(0), weights, 1.0, 1, 5).count() == 0
+    assert mixing.drawn(docs.limit(0), mixing.chosen(docs.limit(0), weights, 1.0, 1, 5)).count() == 0
+
+
+def many_rows(spark):
+    """A third without id, a third of ids that repeat in other leaves, a long text, a text repeated by a sixth of all."""
+    rng = random.Random(8)
+    text = lambda i: "same text here" if i % 6 == 0 else " ".join(["w"] * (20_000 if i == 7 else rng.randrange(1, 180)) + [str(i)])
+    rows = [(None if i % 3 == 0 else i % 400 if i % 3 == 1 else i, text(i), "en", f"s{i % 2}", i) for i in range(1800)]
+    return spark.createDataFrame(rows, DOCS + ", tokens int").drop("tokens")
+
+
+@pytest.mark.parametrize(("share", "epochs"), [(0.9, 1), (0.5, 1), (0.8, 3), (1.0, 2)])
+def test_budgets_are_met_within_a_document_of_each_leaf(spark, monkeypatch, share, epochs):
+    monkeypatch.setattr(mixing, "SLICE_ROWS", 50)
+    monkeypatch.setattr(mixing, "COPIES", 20)
+    docs = many_rows(spark)
+    weights = {"domain": F.lit(1), "lang": F.lit(1), "source": F.lit(1)}
+    total = docs.agg(F.sum(mixing.token_count())).first()[0]
+    choice = mixing.mixed(docs, weights, share, epochs, 3).collect()
+    assert len(choice) == 1800
+    assert sorted((str(r.doc_id), r.source) for r in choice) == sorted((str(r.doc_id), r.source) for r in docs.collect())
+    groups = mixing.chosen(docs, weights, share, epochs, 3)
+    taken = mixing.drawn(docs, groups)
+    got = {r.source: r.n for r in taken.groupBy("source").agg(F.sum(mixing.token_count()).alias("n")).collect()}
+    picked = {}
+    for r in choice:
+        picked[r.source] = picked.get(r.source, 0) + r.epochs * r.tokens
+    assert got == picked
+    room = {r.source: r.n * epochs for r in docs.groupBy("source").agg(F.sum(mixing.token_count()).alias("n")).collect()}
+    want = fill(total * share, {s: (1.0, float(n)) for s, n in room.items()})
+    assert all(want[s] - 20_001 <= n <= want[s] + 1 for s, n in got.items())
+    assert taken.filter("doc_id is null").count() > 0
+    # no document is taken more than one time above another of its leaf
+    spread = {}
+    for r in choice:
+        spread.setdefault(r.source, set()).add(r.epochs)
+    assert all(max(x) - min(x) <= 1 for x in spread.values())
+
+
+def test_op3_equals_its_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    df = queries.QUERIES["op3_mixing"](spark, SF)
+    want = con.sql(queries.SQL["op3_mixing"]).select(", ".join(df.columns)).fetchall()
+    assert sorted(map(tuple, df.collect()), key=str) == sorted(want, key=str)
+
+
+def test_language_sample_of_rows_without_ids(spark):
+    rows = [(None, f"text {chr(97 + i % 26) * 3} {i:06d}", "en") for i in range(3000)] + [(1, "the same text", "de")] * 1000
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    drawn = langid.sample(docs)
+    assert {x: sum(r.lang == x for r in drawn) for x in ("en", "de")} == {"en": langid.ROWS, "de": 1}
+    assert langid.fitted(docs).langs == ["de", "en"]
 
 
 def test_statistics_by_plain_counts():
