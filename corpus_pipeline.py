@@ -35,8 +35,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weights of domains, languages and sources let in."""
-    choice = mixing.mixed(docs, mix_weights(), SHARE, 1, SEED, domain=domain())
-    return mixing.drawn(docs, cut(choice, "mix"))
+    choice = mixing.chosen(docs, mix_weights(), SHARE, 1, SEED, domain=domain())
+    return mixing.drawn(docs, choice, domain=domain())
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
