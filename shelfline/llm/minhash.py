@@ -38,6 +38,8 @@ MARGIN = 5
 PILOTS = 16
 #: Rounds in which a bucket's members are tried against one of them, before outliers are tried against all.
 STAR_ROUNDS = 3
+#: Rows of two numbers each (links, labels) that one task works off without a shuffle.
+ROWS_PER_TASK = 200_000
 FIXED = U64(0x100000001B3)
 
 
@@ -169,40 +171,58 @@ def _similar(a: str, b: str, similarity: int) -> Column:
     return F.size(F.array_intersect(a, b)) * (100 + similarity) >= (F.size(a) + F.size(b)) * similarity
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, label: the smallest node reachable over the edges (a, b). Every node takes its smallest neighbour;
-    the trees so made are followed to their roots by doubling, and the graph shrinks to its roots until no edge
-    is left. Roots are never neighbours, so each round leaves at most half of the nodes."""
-    edges = cut(edges.filter("a <> b").distinct(), "edges")
-    labels = cut(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("label", F.col("node")), "labels")
+def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """node, label: the smallest node reachable over the edges (a, b) and, if given, those that led to the labels
+    `known`. Every node takes its smallest neighbour; the trees so made are followed to their roots by doubling, and the
+    graph shrinks to its roots until no edge is left. Roots are never neighbours, so each round leaves at most half of
+    the nodes. Tables of up to ROWS_PER_TASK rows are worked off in one task, without a shuffle; others are dealt out."""
+    edges = _few(cut(edges.filter("a <> b").distinct(), "edges"))
+    labels = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    if known is None:
+        labels = labels.withColumn("label", F.col("node"))
+    else:
+        known = _few(known)
+        labels = labels.join(known, "node", "full").select("node", F.coalesce("label", "node").alias("label"))
+        edges = _few(cut(_contracted(edges, known), "edges"))
+    labels = _few(cut(labels, "labels"))
     while not edges.isEmpty():
-        both = edges.union(edges.select("b", "a"))
-        up = cut(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("v")).alias("up")), "up")
+        ends = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = edges.select(F.explode(ends).alias("end")).select(F.col("end.a").alias("v"), "end.b")
+        up = _few(cut(both.groupBy("v").agg(F.least(F.min("b"), F.col("v")).alias("up")), "up"))
         while True:
             above = up.select(F.col("v").alias("up"), F.col("up").alias("top"))
             jumped = cut(up.join(above, "up").select("v", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")), "up")
-            up = jumped.select("v", "up")
+            up = _few(jumped.select("v", "up"))
             if jumped.filter("moved").isEmpty():
                 break
-        root_a, root_b = up.toDF("a", "root_a"), up.toDF("b", "root_b")
-        edges = cut(
-            edges.join(root_a, "a").join(root_b, "b").filter("root_a <> root_b")
-            .select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct(),
-            "edges",
-        )
-        labels = cut(labels.join(up.toDF("label", "root"), "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
+        edges = _few(cut(_contracted(edges, up.toDF("node", "label")), "edges"))
+        labels = labels.join(up.toDF("label", "root"), "label", "left").select("node", F.coalesce("root", "label").alias("label"))
+        labels = _few(cut(labels, "labels"))
     return labels
 
 
+def _contracted(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Edges between the labels of their ends; an end without a label stays."""
+    to_a, to_b = labels.toDF("a", "to_a"), labels.toDF("b", "to_b")
+    a, b = F.coalesce("to_a", "a"), F.coalesce("to_b", "b")
+    ends = edges.join(to_a, "a", "left").join(to_b, "b", "left")
+    return ends.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a <> b").distinct()
+
+
+def _few(written: DataFrame, rows: int = ROWS_PER_TASK) -> DataFrame:
+    """A written table of two numbers a row, in one partition if it has few rows."""
+    return written.coalesce(1) if written.count() <= rows else written
+
+
 def links(classes: DataFrame, docs: DataFrame, size: int, similarity: int, permutations: int) -> DataFrame:
-    """Confirmed links (a, b) of classes, enough of them for all components."""
+    """node, label: the component of every class that has a link."""
     spots = classes.select("cid", "n", F.posexplode("bands").alias("band", "bucket"))
     shared = spots.groupBy("bucket").count().filter("count > 1").select("bucket")
     sig = classes.select("cid", "sig", F.slice("bands", 1, PILOTS).alias("pilots"))
     members = cut(spots.join(shared, "bucket"), "members")
-    found = None
+    labels = None
     for turn in range(STAR_ROUNDS):
-        placed = _placed(members, found)
+        placed = _placed(members, labels)
         by = F.col("cid") if turn == 0 else F.xxhash64("cid", "bucket", F.lit(turn))
         lead = placed.groupBy("bucket").agg(F.min_by(F.struct("cid", "n", "label"), by).alias("lead"), F.min("label").alias("low"), F.max("label").alias("high"))
         lead = lead.filter("low <> high").select("bucket", F.col("lead.cid").alias("a"), F.col("lead.n").alias("n_a"), F.col("lead.label").alias("label_a"))
@@ -214,8 +234,8 @@ def links(classes: DataFrame, docs: DataFrame, size: int, similarity: int, permu
             .distinct()
         )
         new = cut(confirmed(promising(star, classes, similarity, permutations), classes, docs, size, similarity), "links")
-        found = new if found is None else found.union(new)
-    placed = _placed(members, found)
+        labels = components(new, labels)
+    placed = _placed(members, labels)
     # The label most members of a bucket have; the others are outliers, each against all other labels there.
     most = placed.groupBy("bucket", "label").count().groupBy("bucket").agg(F.max_by("label", F.struct("count", "label")).alias("most"), F.count("*").alias("labels"))
     placed = placed.join(most.filter("labels > 1").select("bucket", "most"), "bucket")
@@ -239,15 +259,14 @@ def links(classes: DataFrame, docs: DataFrame, size: int, similarity: int, permu
     sets = sets_of(left.select(F.col("a").alias("cid")).union(right.select("b")), classes, docs, size)
     left, right = left.join(sets.toDF("a", "s_a"), "a"), right.join(sets.toDF("b", "s_b"), "b")
     linked = left.join(right, near & _similar("s_a", "s_b", similarity)).select("a", "b")
-    return found.union(linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return components(linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), labels)
 
 
-def _placed(members: DataFrame, found: DataFrame | None) -> DataFrame:
+def _placed(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Members of shared buckets with the component they are known to be in."""
-    if found is None:
+    if labels is None:
         return members.withColumn("label", F.col("cid"))
-    labels = components(found).toDF("cid", "label")
-    return cut(members.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid")), "placed")
+    return cut(members.join(labels.toDF("cid", "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid")), "placed")
 
 
 def _named(sketched: DataFrame, docs: DataFrame, size: int, similarity: int, permutations: int) -> DataFrame:
@@ -259,7 +278,7 @@ def _named(sketched: DataFrame, docs: DataFrame, size: int, similarity: int, per
         .withColumn("cid", F.monotonically_increasing_id()),
         "classes",
     )
-    joined = components(links(classes, docs, size, similarity, permutations))
+    joined = links(classes, docs, size, similarity, permutations)
     named = classes.select("cid", "set_key", "rep").join(joined.toDF("cid", "label"), "cid", "left")
     return named.select("set_key", "rep", F.coalesce("label", "cid").alias("label"))
 

@@ -112,3 +112,25 @@ def test_estimate_is_unbiased(spark):
     both = len(sets_of(" ".join(a)) & sets_of(" ".join(b)))
     want = both / (len(sets_of(" ".join(a))) + len(sets_of(" ".join(b))) - both)
     assert abs(got - want) < 0.15
+
+
+@pytest.mark.parametrize("in_one_task", [200_000, 0])
+def test_components_in_steps(spark, monkeypatch, in_one_task):
+    """Labels taken on by further edges are those of all edges at once, in one task and dealt out."""
+    monkeypatch.setattr(minhash._few, "__defaults__", (in_one_task,))
+    rng = random.Random(4)
+    steps = [[(rng.randrange(120), rng.randrange(120)) for _ in range(n)] for n in (25, 0, 20)] + [[(i, i + 1) for i in range(200, 230)]]
+    root, labels = {}, None
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for edges in steps:
+        labels = minhash.components(spark.createDataFrame(edges, "a bigint, b bigint"), labels)
+        for a, b in edges:
+            if a != b:
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+        assert {tuple(r) for r in labels.collect()} == {(x, find(x)) for x in list(root)}
