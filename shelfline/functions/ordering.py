@@ -74,13 +74,17 @@ def sliced_row_number(
     return d.withColumn(out, (F.col("__off") + F.row_number().over(w)).cast("bigint")).drop(*keys, "__off")
 
 
-def percent_rank_of(df: DataFrame, value: str, out: str, descending: bool = True, n: int = 64) -> DataFrame:
+def percent_rank_of(df: DataFrame, value: str, out: str, descending: bool = True, n: int = 64, beside: Sequence[str] = ()) -> DataFrame:
     """percent_rank() over all non-null values of the table, ties sharing the lowest rank; null values get no rank.
 
     Ranks are computed on the distinct values (so a value shared by most rows costs one row),
-    inside value-range slices, then joined back on the value.
+    inside value-range slices, then joined back on the value. `beside` names further columns of an aggregate that are
+    known only where the value is: all uses of the table then need the same columns, and Spark shuffles it once.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    counts = df.filter(F.col(value).isNotNull())
+    for c in beside:
+        counts = counts.filter(F.col(c).isNotNull())
+    counts = counts.groupBy(F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
     cut = counts.withColumn("__b", quantile_bounds(counts, "__v", n)).withColumn("__s", slice_of("__v", "__b")).drop("__b")
 
     def ordered(c):

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import carry, split_row_number
 from ..functions.scalar import at_least, cases, count_if, lookup, money, ratio, since
-from ..session import cut
 
 # Touch channels, decay rate, position weights and class labels.
 ADS, EMAIL = "facebook", "email"
@@ -366,16 +365,16 @@ def journey_patterns(jt: DataFrame, as_of: str, days: int = 90, min_count: int =
 
     Paths are compared by a position-aware 128-bit fingerprint, folded before the shuffle, so no
     journey is gathered just to be counted; only the winning paths are spelled out, from one
-    example order each. The numbered touches are written once and read twice.
+    example order each, whose touches are picked out again before any of them is sorted.
     """
     recent = jt.filter(since("date", as_of, days)).select("order_id", "revenue", "channel", "touch_ts", "touch_id")
-    pos = cut(split_row_number(recent, ["order_id"], "touch_ts", "touch_id", "position").drop("touch_id"), "journeys")
+    pos = split_row_number(recent, ["order_id"], "touch_ts", "touch_id", "position")
     h1, h2 = F.xxhash64("position", "channel"), F.xxhash64("channel", F.lit("path"), "position")
     prints = pos.groupBy("order_id", "revenue").agg(
         F.bit_xor(h1).alias("h1"), F.bit_xor(h2).alias("h2"), F.count(F.lit(1)).alias("n"), F.min("touch_ts").alias("first_ts"), F.max("touch_ts").alias("last_ts")
     )
     hours = F.expr("timestampdiff(HOUR, first_ts, last_ts)")
-    best = cut(
+    best = (
         prints.groupBy("h1", "h2", "n")
         .agg(
             F.count(F.lit(1)).alias("journey_frequency"),
@@ -388,15 +387,12 @@ def journey_patterns(jt: DataFrame, as_of: str, days: int = 90, min_count: int =
         )
         .filter(F.col("journey_frequency") >= min_count)
         .orderBy(F.desc("total_revenue"), "order_id")
-        .limit(top),
-        "patterns",
+        .limit(top)
     )
-    path = (
-        pos.join(best.select("order_id"), "order_id")
-        .groupBy("order_id")
-        .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "channel"))), lambda x: x["channel"]), " -> ").alias("journey_pattern"))
-    )
-    return best.join(path, "order_id").drop("order_id", "h1", "h2", "n")
+    touches = recent.join(best, "order_id").groupBy("order_id", *[c for c in best.columns if c != "order_id"])
+    path = F.sort_array(F.collect_list(F.struct("touch_ts", "touch_id", "channel")))
+    spelled = touches.agg(F.array_join(F.transform(path, lambda x: x["channel"]), " -> ").alias("journey_pattern"))
+    return spelled.drop("order_id", "h1", "h2", "n")
 
 
 def model_comparison(attr: DataFrame, as_of: str, days: int = 30) -> DataFrame:

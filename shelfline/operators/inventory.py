@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import percent_rank_of
 from ..functions.scalar import above, at_least, cases, lookup, money, ratio, since, up_to
-from ..session import cut
 from .sales import line_revenue
 
 # Stock rules per category (reorder point, reorder quantity, maximum, minimum),
@@ -76,7 +75,8 @@ def recent_sales(orders: DataFrame, items: DataFrame, as_of: str) -> DataFrame:
 
 def with_revenue_ranks(sales: DataFrame, descending: bool = True) -> DataFrame:
     """Percent rank (0 to 100) by 30-day revenue; products without such revenue get none."""
-    return percent_rank_of(sales, "revenue_30d", "monthly_revenue_rank", descending).withColumn("monthly_revenue_rank", F.col("monthly_revenue_rank") * 100)
+    ranked = percent_rank_of(sales, "revenue_30d", "monthly_revenue_rank", descending, beside=["qty_90d"])
+    return ranked.withColumn("monthly_revenue_rank", F.col("monthly_revenue_rank") * 100)
 
 
 def revenue_ranks(sales: DataFrame, descending: bool = True) -> DataFrame:
@@ -114,6 +114,9 @@ def urgency_rank(c: Column) -> Column:
 
 
 def with_recent_sales(products: DataFrame, sales: DataFrame) -> DataFrame:
+    """Products with their sales and rank. Sales without a product are not ranked, so that the join and the ranks read
+    the same shuffled totals."""
+    sales = sales.filter(F.col("product_id").isNotNull())
     return products.join(with_revenue_ranks(sales).select("product_id", "qty_90d", "monthly_revenue_rank"), "product_id", "left")
 
 
@@ -129,9 +132,7 @@ def current_inventory(products: DataFrame, orders: DataFrame, items: DataFrame,
             "seasonality_factor": season_factor(F.lit(as_of).cast("date")),
         }
     )
-    # product-grain totals are ranked and joined: written once, so orders and lines are joined once
-    sales = cut(recent_sales(orders, items, as_of), "recent-sales")
-    d = stock_status(with_recent_sales(base, sales))
+    d = stock_status(with_recent_sales(base, recent_sales(orders, items, as_of)))
     return d.select(
         F.col("sku").alias("product_sku"), "product_id", F.col("name").alias("product_name"), "category", "current_inventory_level",
         "reserved_inventory", "available_inventory", *RULE_NAMES, "lead_time_days", "safety_stock_days", "unit_cost", "selling_price",

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from shelfline.functions import scalar as fn
 from shelfline.operators import features, inventory, kpi, marketing, quality, reorder, sales, snapshot, validate
+from shelfline.sources.tables import Tables
 
 
+SF = "/root/testdata/sf0.001"
 SNAP = "date date, product_id bigint, product_name string, product_category string, units_sold bigint, revenue double, avg_selling_price double, total_marketing_spend double, total_attributed_revenue double, organic_revenue double, ads_spend double, ads_attributed_revenue double, emails_sent bigint, email_attributed_revenue double"
 
 
@@ -115,3 +117,27 @@ def test_order_segments(spark):
     d = spark.createDataFrame([(0,), (1,), (2,), (5,), (6,)], "customer_orders_count bigint")
     got = [r[0] for r in d.select(sales.order_count_segment(rest="unknown")).collect()]
     assert got == ["unknown", "new_customer", "returning_customer", "returning_customer", "loyal_customer"]
+
+
+def test_inventory_model_reads_lines_once_and_plans_without_jobs(spark):
+    t = Tables(spark, SF)
+    products, orders, lines = t.products, t.shop_orders, t.line_items
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        spark.sparkContext.setJobGroup("planning", "no job is expected")
+        df = inventory.current_inventory(products, orders, lines, "2001-08-02")
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("planning")
+        df.collect()
+        final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sparkContext.setJobGroup("", "")
+    assert final.count("FileScan parquet") == 3 and "ReusedExchange" in final
+
+
+def test_sales_without_a_product_are_not_ranked(spark):
+    products = spark.createDataFrame([(1, 5), (2, 6), (3, 7)], "product_id bigint, inventory_quantity bigint")
+    sales = spark.createDataFrame([(1, 10, 50.0), (2, 10, 20.0), (3, 4, None), (None, 9, 30.0)], "product_id bigint, qty_90d bigint, revenue_30d double")
+    got = {r["product_id"]: r["monthly_revenue_rank"] for r in inventory.with_recent_sales(products, sales).collect()}
+    assert got == {1: 0.0, 2: 100.0, 3: None}
