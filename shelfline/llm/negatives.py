@@ -4,8 +4,10 @@ Method. Vectors are whole numbers; a score is their inner product. A vector x be
 greatest norm of its block, so that all lie on one sphere and a higher inner product with an anchor (a, 0) is a smaller distance.
 A block's cover tree has levels: the children of a node are chosen farthest first from its own centre on, until all its
 points are within half its covering radius of a child. The covering radius r bounds the scores in a node: they differ from the
-centre's by at most |a| r. The descent takes the node of the highest bound first, skips nodes that lie outside all of an
-anchor's windows of scores or below what these hold already, and scores the points of leaves exactly.
+centre's by at most |a| r. The anchors of a pack descend together: the node of the highest bound comes first, with the windows
+of scores that it may touch and that hold less already; its children's bounds, and exactly the points of a leaf, are scored
+for these in one matrix product. Where points are spread so evenly that a node would need a centre for every few of them, it
+is a leaf: bounds would skip nothing and cost a pass over all points each.
 
 Rows with the same label and vector are one class with its first ids, which are all that can be returned. Classes are
 dealt to blocks of about BLOCK, anchors (one per class) to packs of about PACK. Every pack meets every block that can
@@ -35,7 +37,8 @@ from .common import pieces, small_batches
 
 #: Classes in a block, anchors in a pack and packs in a team, on average.
 BLOCK, PACK, TEAM = 4096, 128, 64
-#: Nodes of so many points are leaves.
+#: Nodes of so many points are leaves; so are those whose points are spread so evenly that half their radius would need
+#: a centre for every LEAF points, whose parts would stay in this leaf.
 LEAF = 16
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
@@ -57,7 +60,8 @@ class CoverTree:
         self._grow()
 
     def _far(self, among: np.ndarray, centre: int) -> np.ndarray:
-        away = self.lifted[among] - self.lifted[centre]
+        """Distances of the vectors `among` from a point."""
+        away = among - self.lifted[centre]
         return np.sqrt(np.einsum("ij,ij->i", away, away))
 
     def _node(self, centre: int, radius: float) -> int:
@@ -71,7 +75,7 @@ class CoverTree:
         if not len(self.points):
             return
         every = np.arange(len(self.points))
-        far = self._far(every, 0)
+        far = self._far(self.lifted, 0)
         todo = [(self._node(0, float(far.max())), every, far)]
         while todo:
             node, points, near = todo.pop()
@@ -80,12 +84,15 @@ class CoverTree:
                 self.leaf[node] = points
                 continue
             # Farthest first: near is the distance to the closest centre so far, owner that centre.
-            owner, centres = np.zeros(len(points), np.int64), [self.centre[node]]
-            while near.max() > radius / 2:
+            owner, centres, vectors = np.zeros(len(points), np.int64), [self.centre[node]], self.lifted[points]
+            while near.max() > radius / 2 and len(centres) * LEAF <= len(points):
                 centres.append(int(points[near.argmax()]))
-                far = self._far(points, centres[-1])
+                far = self._far(vectors, centres[-1])
                 closer = far < near
                 owner[closer], near[closer] = len(centres) - 1, far[closer]
+            if near.max() > radius / 2:
+                self.leaf[node] = points
+                continue
             order = np.argsort(owner, kind="stable")
             parts = np.split(order, np.searchsorted(owner[order], np.arange(1, len(centres))))
             small = [part for part in parts if len(part) <= LEAF]
@@ -100,48 +107,68 @@ class CoverTree:
         self.centres = self.lifted[self.centre, :-1]
 
     def first_in(self, anchor: np.ndarray, windows: list[tuple[int, int]], k: int, other_than: int | None = None) -> list[list[tuple[int, int]]]:
-        """For each window [low, high] of scores the first k (score, id), by higher score, then smaller id, among
-        points of other labels than `other_than`."""
-        best: list[list[tuple[int, int]]] = [[] for _ in windows]
-        if not len(self.points) or not windows:
-            return best
-        rough = anchor.astype(np.float64)
-        norm = float(np.sqrt(rough @ rough))
+        """`first_of` for one anchor."""
+        return self.first_of(anchor[None, :], [windows], k, None if other_than is None else [other_than])[0]
+
+    def first_of(
+        self, anchors: np.ndarray, windows: list[list[tuple[int, int]]], k: int, other_than: list[int] | None = None
+    ) -> list[list[list[tuple[int, int]]]]:
+        """For each anchor and each of its windows [low, high] of scores the first k (score, id), by higher score, then
+        smaller id, among points of other labels than the anchor's `other_than`. All descend together, so that a node
+        costs one matrix product for the windows that still ask it."""
+        flat = [w for some in windows for w in some]
+        of = np.repeat(np.arange(len(windows)), [len(some) for some in windows])
+        best: list[list[tuple[int, int]]] = [[] for _ in flat]
+        if len(self.points) and flat:
+            self._descend(anchors, of, flat, k, None if other_than is None else np.array(other_than, np.int64)[of], best)
+        ends = np.cumsum([len(some) for some in windows]).tolist()
+        return [best[end - len(some) : end] for some, end in zip(windows, ends, strict=True)]
+
+    def _descend(self, anchors: np.ndarray, of: np.ndarray, windows: list, k: int, other_than: np.ndarray | None, best: list) -> None:
+        """of: each window's anchor; other_than: each window's label."""
+        rough = anchors.astype(np.float64)
+        norm = np.sqrt(np.einsum("ij,ij->i", rough, rough))[of]
         slack = 1.0 + 1e-9 * norm * self.top
-        low = np.array([w[0] for w in windows], np.float64)
-        high = np.array([w[1] for w in windows], np.float64)
-        heap = [(-(norm * self.top + slack), 0)]
+        low, high = (np.array([w[i] for w in windows], anchors.dtype) for i in (0, 1))
+        rough_low, rough_high = low.astype(np.float64), high.astype(np.float64)
+        heap = [(-np.inf, 0, np.arange(len(of)), norm * self.top + slack)]
         while heap:
-            bound, node = heappop(heap)
-            if -bound < low.min():
-                break
+            _, node, asking, upper = heappop(heap)
+            asking = asking[upper >= rough_low[asking]]
+            if not len(asking):
+                continue
             if len(self.leaf[node]):
-                self._verify(self.leaf[node], anchor, windows, low, k, other_than, best)
+                self._verify(self.leaf[node], asking, anchors, of, low, high, k, other_than, best)
+                rough_low[asking] = low[asking].astype(np.float64)
             inner = self.children[node]
             if len(inner):
-                score = self.centres[inner] @ rough
-                reach = norm * self.radii[inner] + slack
-                upper, lower = score + reach, score - reach
-                open_ = ((upper[:, None] >= low) & (lower[:, None] <= high)).any(axis=1)
-                for i in np.flatnonzero(open_).tolist():
-                    heappush(heap, (-float(upper[i]), int(inner[i])))
-        return best
-
-    def _verify(self, part: np.ndarray, anchor: np.ndarray, windows: list, low: np.ndarray, k: int, other_than: int | None, best: list) -> None:
-        score = self.points[part] @ anchor
-        fits = self.labels[part] != other_than if other_than is not None else np.ones(len(part), bool)
-        for j, (least, high) in enumerate(windows):
-            least = max(least, best[j][-1][0]) if len(best[j]) == k else least
-            at = np.flatnonzero(fits & (score >= least) & (score <= high))
-            if not len(at):
-                continue
+                who, place = np.unique(of[asking], return_inverse=True)
+                score = (self.centres[inner] @ rough[who].T)[:, place]
+                reach = self.radii[inner][:, None] * norm[asking] + slack[asking]
+                upper = score + reach
+                open_ = (upper >= rough_low[asking]) & (score - reach <= rough_high[asking])
+                for i in np.flatnonzero(open_.any(axis=1)).tolist():
+                    reached = upper[i, open_[i]]
+                    heappush(heap, (-float(reached.max()), int(inner[i]), asking[open_[i]], reached))
+
+    def _verify(
+        self, part: np.ndarray, asking: np.ndarray, anchors: np.ndarray, of: np.ndarray, low: np.ndarray, high: np.ndarray, k: int, other_than: np.ndarray | None, best: list
+    ) -> None:
+        """Scores the points of a leaf with the anchors of the windows `asking`; raises `low` to the last of a full list."""
+        who, place = np.unique(of[asking], return_inverse=True)
+        score = (anchors[who] @ self.points[part].T)[place]
+        fits = (score >= low[asking][:, None]) & (score <= high[asking][:, None])
+        if other_than is not None:
+            fits &= self.labels[part] != other_than[asking][:, None]
+        for i in np.flatnonzero(fits.any(axis=1)).tolist():
             # The first k points by score and first id hold the first k of all.
-            ids = self.first[part[at]]
+            j, at = asking[i], np.flatnonzero(fits[i])
+            found, ids = score[i, at], self.first[part[at]]
             if score.dtype == object:
-                at = at[sorted(range(len(at)), key=lambda i: (-score[at[i]], ids[i]))[:k]]
+                order = sorted(range(len(at)), key=lambda i, found=found, ids=ids: (-found[i], ids[i]))[:k]
             else:
-                at = at[np.lexsort((ids, -score[at]))[:k]]
-            more = [(int(score[i]), one) for i in at.tolist() for one in self.ids[part[i]]]
+                order = np.lexsort((ids, -found))[:k].tolist()
+            more = [(int(found[x]), one) for x in order for one in self.ids[part[at[x]]]]
             best[j] = sorted(best[j] + more, key=lambda x: (-x[0], x[1]))[:k]
             if len(best[j]) == k:
                 low[j] = max(low[j], best[j][-1][0])
@@ -187,10 +214,11 @@ def _meetings(candidates: DataFrame, packs: DataFrame, units: int, width: int, k
                 if tree is None:
                     tree = CoverTree(matrix(waiting[0], width, kind), np.array(waiting[1], np.int64), waiting[2])
                     waiting = ([], [], [])
-                for a in row["asked"]:
-                    windows = [(w["low"], w["high"]) for w in a["windows"]]
-                    first = tree.first_in(matrix([a["v"]], width, kind)[0], windows, k, a["label"] if other else None)
-                    found += [(a["cid"], w["of"], min(max(score, LEAST), MOST), one) for w, best in zip(a["windows"], first, strict=True) for score, one in best]
+                asked = row["asked"]
+                windows = [[(w["low"], w["high"]) for w in a["windows"]] for a in asked]
+                first = tree.first_of(matrix([a["v"] for a in asked], width, kind), windows, k, [a["label"] for a in asked] if other else None)
+                for a, per_window in zip(asked, first, strict=True):
+                    found += [(a["cid"], w["of"], min(max(score, LEAST), MOST), one) for w, best in zip(a["windows"], per_window, strict=True) for score, one in best]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)] if found else [pa.array([], pa.int64())] * 4, schema=out)
 
     return small_batches(dealt).mapInArrow(run, "cid bigint, of bigint, score bigint, id bigint")

@@ -86,6 +86,24 @@ def test_descent_skips_nodes_outside_the_windows(monkeypatch):
     assert [(-s, i) for s, i in got] == fit and sum(looked) < 2000
 
 
+def test_evenly_spread_points_cost_few_passes_and_a_pack_one_product(monkeypatch):
+    rng = np.random.default_rng(6)
+    points, labels = rng.integers(-100, 101, (1500, 48)).astype(float), rng.integers(0, 3, 1500)
+    passes, far = [], negatives.CoverTree._far
+    monkeypatch.setattr(negatives.CoverTree, "_far", lambda self, *a: (passes.append(1), far(self, *a))[1])
+    tree = negatives.CoverTree(points, labels, [[i] for i in range(1500)])
+    assert len(passes) <= 1500 // negatives.LEAF + 2
+    products, verify = [], tree._verify
+    monkeypatch.setattr(tree, "_verify", lambda *a: (products.append(1), verify(*a)))
+    windows = [[(0, 40_000), (-5_000, 20_000)][: 1 + i % 2] for i in range(60)]
+    got = tree.first_of(points[:60], windows, 3, labels[:60].tolist())
+    for i, some in enumerate(windows):
+        score = points @ points[i]
+        fit = [sorted((-s, j) for j, s in enumerate(score.tolist()) if low <= s <= high and labels[j] != labels[i])[:3] for low, high in some]
+        assert [[(-s, j) for s, j in found] for found in got[i]] == fit
+    assert len(products) <= len(tree.centre)
+
+
 def test_odd_rows(spark):
     rows = [
         (50, [1.0, 0.5], 1), (50, [1.0, 0.5], 1), (1, [1.0, 0.4], 1), (2, [0.6, 0.6], 2), (3, None, 1), (4, [1.0, None], 1), (5, [math.nan, 1.0], 1),
