@@ -16,6 +16,8 @@ RUNTIME_CONF = {
     # Split a hot join key even when an aggregate on the same key follows.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Shuffled bytes that one task is given: sorts and hash maps hold them at ten times their size and more.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
 }
 
 

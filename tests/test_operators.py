@@ -141,3 +141,20 @@ def test_sales_without_a_product_are_not_ranked(spark):
     sales = spark.createDataFrame([(1, 10, 50.0), (2, 10, 20.0), (3, 4, None), (None, 9, 30.0)], "product_id bigint, qty_90d bigint, revenue_30d double")
     got = {r["product_id"]: r["monthly_revenue_rank"] for r in inventory.with_recent_sales(products, sales).collect()}
     assert got == {1: 0.0, 2: 100.0, 3: None}
+
+
+def test_daily_sales_count_orders_once_without_a_hash_map_of_all_lines(spark):
+    d, e = dt.date(2024, 1, 1), dt.datetime(2024, 1, 1, 9)
+    orders = [(1, e, d, "a", "X", "web", 100.0, 10.0, 2000.0, "paid", None), (2, e, d, "a", "X", "web", 50.0, 0.0, 10.0, "paid", None), (3, e, d, None, "X", "web", 50.0, 0.0, 10.0, "paid", None)]
+    columns = "order_id long, created_at timestamp, order_date date, customer_email string, shipping_country string, source_name string, total_price double, total_discounts double, customer_total_spent double, financial_status string, cancelled_at timestamp"
+    lines = [(1, 7, 2, 10.0, 0.0), (1, 7, 1, 10.0, 1.0), (2, 7, 1, 30.0, 0.0), (3, 7, 1, 5.0, 0.0), (2, 8, None, 4.0, 0.0)]
+    # A repeated order row doubles its lines, but is no further order.
+    orders = spark.createDataFrame([*orders, orders[0]], columns)
+    items = spark.createDataFrame(lines, "order_id long, product_id long, quantity long, price double, total_discount double")
+    found = sales.daily_sales(orders, items)
+    got = {r.product_id: tuple(r)[2:] for r in found.collect()}
+    assert got[7] == (8, 93.0, 3, 1, pytest.approx((20 + 18 + 30 + 5) / 6), 58.0, pytest.approx(0.4 / 6)) and got[8] == (None, None, 1, 1, None, 0.0, 0.0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.split("\n") if "HashAggregate(keys=[order_id" in x]
+    Tables(spark, SF)
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
