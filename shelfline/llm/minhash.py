@@ -19,13 +19,16 @@ one class; rows with a null doc_id take part, and component_id is null only wher
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import U64, byte_words, map_lists, minima, mixed, numbered, renamed, signed, small_side, spread, word_hashes
+from .common import BATCH, U64, byte_words, map_lists, minima, mixed, numbered, renamed, signed, small_side, spread, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 75  # percent
@@ -175,13 +178,19 @@ def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """node, label: the smallest node reachable over the edges (a, b) and, if given, those that led to the labels
     `known`. Every node takes its smallest neighbour; the trees so made are followed to their roots by doubling, and the
     graph shrinks to its roots until no edge is left. Roots are never neighbours, so each round leaves at most half of
-    the nodes. Tables of up to ROWS_PER_TASK rows are worked off in one task, without a shuffle; others are dealt out."""
-    edges = _few(cut(edges.filter("a <> b").distinct(), "edges"))
+    the nodes. Up to ROWS_PER_TASK edges and labels take all their rounds in one task; others are dealt out, and each
+    round is a few queries, whose plans the driver holds."""
+    edges = cut(edges.filter("a <> b").distinct(), "edges")
+    few, few_known = _few(edges), known if known is None else _few(known)
+    if few is not edges and (known is None or few_known is not known):
+        # A label is an edge to the smallest node of its component.
+        ends = few.select("a", "b") if known is None else few.select("a", "b").union(few_known.select("node", "label"))
+        return cut(ends.coalesce(1).mapInArrow(_rooted, "node bigint, label bigint"), "labels")
+    edges, known = few, few_known
     labels = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     if known is None:
         labels = labels.withColumn("label", F.col("node"))
     else:
-        known = _few(known)
         labels = labels.join(known, "node", "full").select("node", F.coalesce("label", "node").alias("label"))
         edges = _few(cut(_contracted(edges, known), "edges"))
     labels = _few(cut(labels, "labels"))
@@ -201,6 +210,27 @@ def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return labels
 
 
+def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, label from the edges of one task: roots take their smallest neighbouring root until none is left."""
+    ends = [np.stack([np.asarray(batch.column(i), np.int64) for i in (0, 1)]) for batch in batches if batch.num_rows]
+    nodes, place = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *ends], axis=1), return_inverse=True)
+    a, b = place.reshape(2, -1)
+    root = np.arange(len(nodes))
+    while len(a):
+        up = root.copy()
+        np.minimum.at(up, a, b)
+        np.minimum.at(up, b, a)
+        while (above := up[up]).tobytes() != up.tobytes():
+            up = above
+        root = up[root]
+        a, b = up[a], up[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+    for i in range(0, len(nodes), BATCH):
+        columns = [pa.array(nodes[i : i + BATCH]), pa.array(nodes[root[i : i + BATCH]])]
+        yield pa.RecordBatch.from_arrays(columns, names=["node", "label"])
+
+
 def _contracted(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Edges between the labels of their ends; an end without a label stays."""
     to_a, to_b = labels.toDF("a", "to_a"), labels.toDF("b", "to_b")

@@ -134,3 +134,18 @@ def test_components_in_steps(spark, monkeypatch, in_one_task):
                 low, high = sorted((find(a), find(b)))
                 root[high] = low
         assert {tuple(r) for r in labels.collect()} == {(x, find(x)) for x in list(root)}
+
+
+def test_few_links_take_two_queries_however_long_their_chains(spark, monkeypatch):
+    written, cut = [], minhash.cut
+    monkeypatch.setattr(minhash, "cut", lambda df, label: (written.append(label), cut(df, label))[1])
+    order = random.Random(8).sample(range(3000), 3000)
+    chain = [(order[i], order[i + 1]) for i in range(2999) if i % 1000 != 999]
+    first = minhash.components(spark.createDataFrame(chain, "a bigint, b bigint"))
+    more = minhash.components(spark.createDataFrame([(order[0], order[2999]), (7000, 7001), (5, 5)], "a bigint, b bigint"), first)
+    parts = [order[:1000], order[1000:2000], order[2000:]]
+    assert {tuple(r) for r in first.collect()} == {(x, min(p)) for p in parts for x in p}
+    parts = [parts[0] + parts[2], parts[1], [7000, 7001]]
+    assert sorted(tuple(r) for r in more.collect()) == sorted((x, min(p)) for p in parts for x in p)
+    assert len(written) == 4
+    assert minhash.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
