@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, map_lists, numbered, renamed
+from .common import BROADCAST_ROWS, give_back, map_lists, numbered, renamed
 
 DIMENSIONS = 4096
 ROWS, MOST_ROWS = 400, 8000
@@ -31,6 +32,8 @@ CENTROIDS = 4
 FAR = 0.6
 BINS = 24
 UNKNOWN = "und"
+#: Sparse counts on their way to the driver: most significant byte first.
+COUNTS = np.dtype(">u4")
 SCHEMA = "lang_pred string, score double, rejected boolean"
 LETTER = regex.compile(r"\p{L}")
 KEEP = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
@@ -104,7 +107,8 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def sample(docs: DataFrame) -> list:
-    """Up to ROWS different texts of each language as sparse counts: lang, place, n."""
+    """Up to ROWS different texts of each language as sparse counts: lang, place, n (arrays of COUNTS as bytes, which
+    the driver holds as they are)."""
     # The texts of the smallest hashes of each language, equal texts once.
     hashed = docs.select("lang", "text", F.xxhash64("text", F.lit("sample")).alias("hash"))
     hashes = hashed.select("lang", "hash").distinct()
@@ -121,9 +125,22 @@ def sample(docs: DataFrame) -> list:
     def run(texts):
         found = [grams(t) for t in texts]
         places = [np.flatnonzero(c) if c is not None else None for c in found]
-        return {"place": places, "n": [c[p] if c is not None else None for c, p in zip(found, places, strict=True)]}
+        counts = [c[p] if c is not None else None for c, p in zip(found, places, strict=True)]
+        return {"place": [_raw(p) for p in places], "n": [_raw(c) for c in counts]}
 
-    return map_lists(drawn.select("lang", "text"), run, "place array<int>, n array<int>", keep=["lang"]).filter("place is not null").collect()
+    return map_lists(drawn.select("lang", "text"), run, "place binary, n binary", keep=["lang"]).filter("place is not null").collect()
+
+
+def _raw(x: np.ndarray | None) -> bytes | None:
+    return None if x is None else x.astype(COUNTS).tobytes()
+
+
+def _dense(rows: list) -> np.ndarray:
+    """The counts of sampled texts, a row each."""
+    counts = np.zeros((len(rows), DIMENSIONS))
+    for i, r in enumerate(rows):
+        counts[i, np.frombuffer(r.place, COUNTS)] = np.frombuffer(r.n, COUNTS)
+    return counts
 
 
 def clustered(v: np.ndarray, k: int, steps: int = 12) -> np.ndarray:
@@ -151,22 +168,22 @@ def fitted(docs: DataFrame) -> Model:
     docs = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     seen, n = frequencies(docs)
     idf = np.log((1 + n) / (1 + seen)) + 1
-    rows = sorted(sample(docs), key=lambda r: (r.lang, list(r.place), list(r.n)))
-    langs = sorted({r.lang for r in rows})
-    counts = np.zeros((len(rows), DIMENSIONS))
-    for i, r in enumerate(rows):
-        counts[i, list(r.place)] = list(r.n)
-    v = weighted(counts, idf)
-    of = np.array([langs.index(r.lang) for r in rows], int)
-    parts = [clustered(v[of == i], CENTROIDS) for i in range(len(langs))]
+    # Bytes of COUNTS are in the order of their numbers. One language's vectors are held at a time.
+    rows = sorted(sample(docs), key=lambda r: (r.lang, r.place, r.n))
+    by_lang = {lang: list(of) for lang, of in groupby(rows, key=lambda r: r.lang)}
+    langs = list(by_lang)
+    parts = [clustered(weighted(_dense(of), idf), CENTROIDS) for of in by_lang.values()]
     centroids = np.concatenate(parts) if parts else np.zeros((0, DIMENSIONS))
     owner = np.repeat(np.arange(len(langs)), [len(p) for p in parts])
     least = np.zeros(BINS)
     if len(rows):
-        best, bins = (v @ centroids.T).max(axis=1), size_bin(counts)
+        best = np.concatenate([(weighted(_dense(of), idf) @ centroids.T).max(axis=1) for of in by_lang.values()])
+        bins = np.concatenate([size_bin(_dense(of)) for of in by_lang.values()])
         known = [(b, FAR * float(np.quantile(best[bins == b], 0.1))) for b in range(BINS) if (bins == b).sum() >= 20]
         for b in range(BINS):  # sizes not seen often enough take the next smaller one's value
             least[b] = min((x for k, x in known if k >= b), default=least[b - 1] if b else 0.0) if any(k <= b for k, _ in known) else 0.0
+    del rows, by_lang
+    give_back()
     return Model(langs, idf, centroids, owner, least)
 
 

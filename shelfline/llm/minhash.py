@@ -263,8 +263,7 @@ def links(classes: DataFrame, docs: DataFrame, size: int, similarity: int, permu
             .select("a", "b")
             .distinct()
         )
-        new = cut(confirmed(promising(star, classes, similarity, permutations), classes, docs, size, similarity), "links")
-        labels = components(new, labels)
+        labels = components(confirmed(promising(star, classes, similarity, permutations), classes, docs, size, similarity), labels)
     placed = _placed(members, labels)
     # The label most members of a bucket have; the others are outliers, each against all other labels there.
     most = placed.groupBy("bucket", "label").count().groupBy("bucket").agg(F.max_by("label", F.struct("count", "label")).alias("most"), F.count("*").alias("labels"))

@@ -96,12 +96,14 @@ def chosen(
         leaves = leaves.withColumn(f"{level}_weight", F.coalesce(weights[level].cast("double"), F.lit(0.0)))
     total = leaves.agg(F.floor(F.sum("tokens") * share).cast("double").alias("given"))
     leaves = leaf_budgets(leaves, total.scalar(), epochs)
+    # Written once: the plans below, which use it four times, would each bring all levels along.
     plan = leaves.select(
         *LEVELS,
         F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0).cast("int").alias("whole"),
         F.when(F.col("tokens") > 0, F.col("budget") % F.col("tokens")).otherwise(0).cast("bigint").alias("rest"),
         F.ceil(F.col("rows") / SLICE_ROWS).alias("slices"),
     )
+    plan = cut(plan, "plan")
     text = [F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_key"), F.col("tokens").cast("string")]
     part = F.floor(F.conv(F.substring("place", 1, DIGITS), 16, 10).cast("double") / float(16**DIGITS) * F.col("slices")).cast("int")
     placed = groups.join(plan, list(LEVELS)).withColumn("place", F.md5(F.concat_ws(":", *text).cast("binary"))).withColumn("slice", part)

@@ -107,6 +107,8 @@ COUNTED = (("n_words", 1), ("n_words", 1), ("n_lines", 0.25), ("n_words", 3), ("
 P = len(VECTOR)
 #: Groups (a few hundred bytes each) up to which their table is broadcast; rows then stay where they are, also those of a hot group.
 GROUPS = 50_000
+#: Groups whose sums one task adds up.
+GROUPS_PER_TASK = 100
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 
 
@@ -191,20 +193,24 @@ def estimates(rows: DataFrame) -> DataFrame:
     inside = 1 / (chi2(chi2_quantile(ALPHA, P), P + 2) / ALPHA)
     x = [F.col("x")[i] for i in range(P)]
     middle = cut(rows.groupBy("key").agg(F.array(*[F.percentile_approx(c, 0.5, 1000) for c in x]).alias("center")), "middle")
-    off = rows.join(small_side(middle, GROUPS), "key").groupBy("key").agg(
+    # All tables below have two rows a key at most, so they are counted once, and a step is one query.
+    n = middle.count()
+    side = F.broadcast if 2 * n <= GROUPS else lambda table: table
+    tasks = 1 + 2 * n // GROUPS_PER_TASK
+    off = rows.join(side(middle), "key").groupBy("key").agg(
         F.first("center").alias("center"),
         F.array(*[F.percentile_approx(F.abs(c - F.col("center")[i]), 0.5, 1000) for i, c in enumerate(x)]).alias("off"),
     )
     spread = [F.pow(F.col("off")[i] * 1.4826, 2) + REGULAR**2 for i in range(P)]
     packed = F.array(*[1 / spread[i] if i == j else F.lit(0.0) for i, j in PAIRS])
     robust = off.select("key", F.lit(0).alias("start"), "center", packed.alias("inverse"), F.lit(0.0).alias("log_det"))
-    plain = _estimates(_moments(rows.withColumn("start", F.lit(1))), 1.0)
+    plain = _estimates(_moments(rows.withColumn("start", F.lit(1))).coalesce(tasks), 1.0)
     now = cut(robust.unionByName(plain), "estimates")
     for _ in range(STEPS):
-        at = rows.select("key", "x").join(small_side(now, GROUPS), "key").select("key", "start", "x", _distance().alias("d"))
-        near = cut(at.groupBy("key", "start").agg(F.percentile_approx("d", ALPHA, 1000).alias("limit")), "near")
-        half = at.join(small_side(near, GROUPS), ["key", "start"]).filter("d <= limit")
-        now = cut(_estimates(_moments(half), inside), "estimates")
+        at = rows.select("key", "x").join(side(now), "key").select("key", "start", "x", _distance().alias("d"))
+        near = at.groupBy("key", "start").agg(F.percentile_approx("d", ALPHA, 1000).alias("limit"))
+        half = at.join(side(near), ["key", "start"]).filter("d <= limit")
+        now = cut(_estimates(_moments(half).coalesce(tasks), inside), "estimates")
     return now.groupBy("key").agg(F.min_by(F.struct("center", "inverse"), "log_det").alias("best")).select("key", "best.*")
 
 
